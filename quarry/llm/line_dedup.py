@@ -37,8 +37,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1)
     long_enough = F.filter("__lines", lambda x: F.char_length(F.btrim(x, F.lit(SPACE))) >= min_points)
     hashed = cut(docs.select(F.col("doc_id").alias("__doc"), F.explode(F.array_distinct(F.transform(long_enough, key_hash))).alias("__key")), "line-keys")
     common = hashed.groupBy("__key").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_docs).select("__key")
-    losses = cut(hashed.join(common, "__key").groupBy("__doc").agg(F.collect_set("__key").alias("__lost")), "line-losses")
-    joined = docs.join(losses, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    # merge joins at every size: a hot key's rows can be split, and the plan does not change as tables outgrow a broadcast
+    losses = cut(hashed.join(cut(common, "line-common").hint("merge"), "__key").groupBy("__doc").agg(F.collect_set("__key").alias("__lost")), "line-losses")
+    joined = docs.join(losses.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     stays = F.filter("__lines", lambda x: (F.char_length(F.btrim(x, F.lit(SPACE))) < min_points) | ~F.array_contains("__lost", key_hash(x)))
     kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(stays)
     return (
