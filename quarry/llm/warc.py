@@ -120,21 +120,26 @@ def _batch(rows):
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Every record of the archives; a revisit's payload is that of the response it names."""
-    raw = cut(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parse_batches, PARSED), "warc-read")
-    kept = raw.filter("record_type = 'response'").select("page_id", "record_type", "url", "refers_to", "payload")
-    bodies = kept.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    own = kept.select("page_id", "record_type", "url", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    bodies = bodies.withColumnRenamed("page_id", "__of").distinct()
-    again = raw.filter("record_type = 'revisit'").join(bodies, (F.col("refers_to") == F.col("__of")) & (F.col("stated_digest") == F.col("payload_digest")), "left")
-    return own.unionByName(again.select("page_id", "record_type", "url", "refers_to", "payload_bytes", "payload_digest"))
+    """Every record of the archives as it lies there: a response has its payload, a revisit the page that it refers to."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parse_batches, PARSED)
+
+
+def resolved_heads(found: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to: a response's from its payload, a revisit's from the response it names."""
+    measured = found.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    measured = cut(measured, "warc-heads")
+    own = measured.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    bodies = own.select(F.col("page_id").alias("__of"), "payload_bytes", "payload_digest").distinct()
+    again = measured.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    again = again.join(bodies, (F.col("refers_to") == F.col("__of")) & (F.col("stated_digest") == F.col("payload_digest")), "left")
+    return own.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op8_warc_revisits(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolved_heads(read_archives(spark, path))
 
 
 SQL = r"""
