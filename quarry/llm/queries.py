@@ -1,11 +1,12 @@
 """The queries of this folder: name -> callable, and name -> DuckDB SQL where SQL can say the same."""
 
-from quarry.llm import chunk_dedup, line_dedup, pack, shard, warc
+from quarry.llm import chunk_dedup, line_dedup, pack, shard, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
     "op3_sharding": shard.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_substring_dedup": chunk_dedup.op7_substring_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
 }
