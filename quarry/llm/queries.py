@@ -1,17 +1,20 @@
 """The queries of this folder: name -> callable, and name -> DuckDB SQL where SQL can say the same."""
 
-from quarry.llm import chunk_dedup, line_dedup, pack, shard, toxicity, warc
+from quarry.llm import ann, chunk_dedup, line_dedup, pack, shard, topk, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
     "op3_sharding": shard.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_graph_neighbours": ann.op6_graph_neighbours,
     "op7_substring_dedup": chunk_dedup.op7_substring_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.SQL,
     "op8_warc_revisits": warc.SQL,
+    "op10_exact_topk": topk.SQL,
 }
