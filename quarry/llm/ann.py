@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut, table, tasks_for
 from quarry.llm.vectors import best_per_query, matrix, query_chunks, usable
 
-TOP, SHARD_ROWS, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, QUERY_CHUNK, STEP = 5, 4096, 32, 64, 128, 1.2, 8192, 512
+TOP, SHARD_ROWS, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, QUERY_CHUNK, STEP = 5, 4096, 32, 64, 200, 1.2, 8192, 512
 FOUND = "query_id long, vec_id long, score double"
 
 

@@ -1,9 +1,10 @@
 """The queries of this folder: name -> callable, and name -> DuckDB SQL where SQL can say the same."""
 
-from quarry.llm import ann, chunk_dedup, line_dedup, pack, shard, topk, toxicity, warc
+from quarry.llm import ann, chunk_dedup, jaccard, line_dedup, pack, shard, topk, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_sharding": shard.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
