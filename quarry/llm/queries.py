@@ -1,6 +1,6 @@
 """The queries of this folder: name -> callable, and name -> DuckDB SQL where SQL can say the same."""
 
-from quarry.llm import ann, chunk_dedup, jaccard, line_dedup, pack, shard, topk, toxicity, warc
+from quarry.llm import ann, bpe, chunk_dedup, jaccard, line_dedup, pack, shard, topk, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_graph_neighbours": ann.op6_graph_neighbours,
     "op7_substring_dedup": chunk_dedup.op7_substring_dedup,
     "op8_warc_revisits": warc.op8_warc_revisits,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
