@@ -2,7 +2,8 @@
 
 Tokens are hashes of word shingles. Documents with equal sets form one class; classes take part once.
 
-Order. Tokens are ordered by a corpus count kept in a fixed number of hashed counters (every token of every document counts;
+Order. Tokens are ordered by a corpus count kept in a fixed number of hashed counters (every token of every document counts,
+repeats included;
 a counter far above the median marks its tokens as heavy): light tokens first, by hash, then heavy ones by count. Any common
 order is right; this one keeps widely shared passages out of prefixes.
 
@@ -14,8 +15,10 @@ stands in both prefixes.
 Which tokens are crowded is settled after the easy links are found. In each token's bucket the class with the fewest unshared
 tokens is the hub; every class is verified against the hub that it shares most tokens with, and components are contracted. Only
 classes in different components still matter to each other. A token is crowded if its bucket still has more than CROWD such
-pairs for each member. What remains is joined by token or token pair, verified exactly, and contracted again. No link is lost;
-a group of thousands of near copies costs a few verifications each, not one for each pair.
+pairs for each member. Plain tokens then give pairs, CROWD for each index row at most, which are verified one by one. Classes
+that meet in pairs of crowded tokens form families; a family is verified in blocks of bounded size, two at a time, as products
+of 0/1 matrices, and of the links in such a step only a spanning forest leaves it. No link is lost, and no row is made for each
+pair of a large group.
 
 Defined cases: null or empty text has an empty set and is its own component; rows with equal texts share a component; rows
 that share a doc_id but not their text are documents of their own; a null doc_id is never the smallest, and a component of
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, table
 from quarry.llm.components import components
-from quarry.llm.shingles import shingle_sets, slices
+from quarry.llm.shingles import shingle_sets, shingles, slices
 
-SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS = 20, 1 << 14, 32, 3
+SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS, SHORT_LIST, BLOCK_TOKENS = 20, 1 << 14, 32, 2, 1_000_000, 500_000
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ def _count_slots(width: int):
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                counts += np.bincount(_slots(shingle_sets(part.column("text"), width)[1]), minlength=len(counts))
+                counts += np.bincount(_slots(shingles(part.column("text"), width)[1]), minlength=len(counts))
         pack = zstandard.ZstdCompressor(level=1).compress
         used = [i for i in range(0, len(counts), SLOT_BLOCK) if counts[i : i + SLOT_BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([i // SLOT_BLOCK for i in used], pa.int32()), pa.array([pack(counts[i : i + SLOT_BLOCK].tobytes()) for i in used], pa.binary())], names=["block", "counts"])
@@ -133,19 +136,57 @@ def _set_rows(width: int):
 
 
 class Join:
-    """The state of one join: sets of live classes, labels so far, links found."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent, self.edges, self.labels = sets, percent, None, None
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) whose similarity is high enough, and contract."""
-        a, b = self.sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), self.sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
+    """The state of one join: classes with their prefixes, links found, labels so far.
+
+    A pair is verified in two steps. If c of the tokens in two prefixes are equal, the sets share at most c tokens and what lies
+    beyond a prefix; pairs that this rules out need no more. Of the others, the whole sets are made from the texts anew.
+    """
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        self.edges = self.labels = None
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        a = self.classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        b = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        beyond = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        most = F.size(F.array_intersect("pa", "pb")) + beyond
+        fits = (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
+        return cut(pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b"), "promising")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """cid and tokens of the classes wanted (cid). The list of their documents is broadcast if short, else joined by shuffling texts."""
+        wanted = cut(wanted.join(self.classes, "cid").filter("first is not null").select(F.col("first").alias("doc_id"), "cid"), "wanted")
+        short = wanted.count() <= SHORT_LIST
+        texts = self.docs.join(F.broadcast(wanted) if short else wanted.hint("merge"), "doc_id").select("cid", "text")
+        return cut(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b)."""
+        pairs = self.promising(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+        a, b = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
-        linked = pairs.join(a, "a").join(b, "b").filter(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-        linked = cut(linked, "links")
-        self.edges = linked if self.edges is None else self.edges.unionByName(linked)
+        return pairs.join(a, "a").join(b, "b").filter(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+
+    def add(self, links: DataFrame) -> int:
+        """Take in links (a, b) that hold, and contract. How many there are."""
+        links = cut(links, "links")
+        self.edges = links if self.edges is None else self.edges.unionByName(links)
         self.labels = components(self.edges)
+        return links.count()
+
+    def families(self, keyed: DataFrame) -> DataFrame:
+        """Links among classes that share a key (cid, two), by way of the families that keys make, block by block."""
+        hubs = keyed.groupBy("two").agg(F.min("cid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("two", "hub")
+        label = components(keyed.join(hubs, "two").select(F.col("hub").alias("a"), F.col("cid").alias("b")))
+        member = cut(label.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(self.classes.select("cid", "n"), "cid"), "family")
+        blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+        placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        dealt = placed.select("cid", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("cid", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        sets = self.sets(member.select("cid"))
+        return dealt.join(sets, "cid").groupBy("family", "i", "j").applyInArrow(_family_links(self.percent), "a long, b long")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows with comp, the component of cid so far."""
@@ -154,6 +195,40 @@ class Join:
         return rows.join(self.labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
 
 
+def _family_links(percent: int):
+    """Links among the sets of two blocks, as a spanning forest: every row with the first row of its component."""
+
+    def run(block: pa.Table) -> pa.Table:
+        cids = block.column("cid").to_numpy()
+        lists = block.column("tokens").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(cids)), n)
+        _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        met = times[column] > 1
+        row, column = row[met], (np.cumsum(times > 1) - 1)[column[met]]
+        both = np.zeros((len(cids), len(cids)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            x = np.zeros((len(cids), 4096), np.float32)
+            x[row[a:b], column[a:b] - at] = 1
+            both += x @ x.T
+        linked = 100 * both >= percent * (n[:, None] + n - both)
+        label = np.arange(len(cids))
+        while True:
+            least = np.where(linked, label, len(cids)).min(axis=1, initial=len(cids))
+            least = np.minimum(least, label)
+            least = np.minimum(least, least[least])
+            if (least == label).all():
+                break
+            label = least
+        moved = np.flatnonzero(label != np.arange(len(cids)))
+        return pa.table({"a": cids[moved], "b": cids[label[moved]]})
+
+    return run
+
+
 def close_in_size(x, y, percent: int):
     return (100 * x >= percent * y) & (100 * y >= percent * x)
 
@@ -183,33 +258,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     tokens = classes.select("cid", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     index = cut(tokens.join(shared.hint("merge"), "token"), "index")
-    live = index.groupBy("cid").agg(F.count("*").alias("met"))
-    live = cut(live.join(classes.select("cid", "first", F.size("prefix").alias("long")), "cid").select("cid", "first", (F.col("long") - F.col("met")).alias("alone")), "live")
-    texts = docs.join(live.filter("first is not null").select(F.col("first").alias("doc_id"), "cid").hint("merge"), "doc_id").select("cid", "text")
-    sets = cut(_own_sets(texts, width), "sets")
-    join = Join(sets, percent)
-    index = index.join(live.select("cid", "alone"), "cid")
+    join = Join(docs, classes, width, percent)
+    alone = index.groupBy("cid").agg(F.count("*").alias("met")).join(classes.select("cid", F.size("prefix").alias("long")), "cid").select("cid", (F.col("long") - F.col("met")).alias("alone"))
+    index = cut(index.join(alone, "cid"), "index")
     for _ in range(ROUNDS):
         at = cut(join.labelled(index), "at")
-        open_now = cut(open_buckets(at, "token"), "open")
-        left = open_now.agg(F.sum("cross"), F.sum("members")).first()
-        if not left[0] or left[0] <= 2 * left[1]:
-            break
-        inside = at.join(open_now.select("token"), "token")
-        hubs = inside.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"))
-        met = inside.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & close_in_size(F.col("n"), F.col("hub.n"), percent))
+        hubs = at.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
+        met = at.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & close_in_size(F.col("n"), F.col("hub.n"), percent))
         votes = met.groupBy(F.col("cid").alias("b"), F.col("hub.cid").alias("a")).agg(F.count("*").alias("votes"))
         best = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-        join.verify(best.select("a", "b"))
+        tried = cut(best.select("a", "b"), "tried")
+        if 20 * join.add(join.linked(tried)) < tried.count():
+            break
     at = cut(join.labelled(index), "at")
     open_now = cut(open_buckets(at, "token").withColumn("crowded", F.col("cross") > CROWD * F.col("members")), "open")
     inside = at.join(open_now.select("token", "crowded"), "token")
     plain = cross_pairs(inside.filter("not crowded"), "token", percent)
-    many = inside.filter("crowded").groupBy("cid", "n", "comp").agg(F.array_sort(F.collect_set("token")).alias("own")).filter(F.size("own") > 1)
-    twos = many.select("cid", "n", "comp", "own", F.posexplode("own").alias("i", "x")).select("cid", "n", "comp", F.explode(F.transform(F.slice("own", F.col("i") + 2, F.size("own")), lambda y: F.xxhash64("x", y))).alias("two"))
-    open_twos = open_buckets(twos, "two").select("two")
-    crowded = cross_pairs(twos.join(open_twos, "two"), "two", percent)
-    join.verify(cut(plain.unionByName(crowded).distinct(), "pairs"))
+    many = inside.filter("crowded").groupBy("cid").agg(F.array_sort(F.collect_set("token")).alias("own")).filter(F.size("own") > 1)
+    twos = many.select("cid", "own", F.posexplode("own").alias("i", "x")).select("cid", F.explode(F.transform(F.slice("own", F.col("i") + 2, F.size("own")), lambda y: F.xxhash64("x", y))).alias("two"))
+    links = join.linked(cut(plain, "pairs"))
+    join.add(links.unionByName(join.families(cut(twos, "twos"))))
     named = join.labelled(classes.select("cid", "first"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = cut(named.join(smallest, "comp").select(F.col("cid").alias("class_id"), "component_id"), "named")
@@ -217,9 +285,5 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")
 
 
-def _own_sets(texts: DataFrame, width: int) -> DataFrame:
-    return texts.mapInArrow(_set_rows(width), "cid long, tokens array<long>")
-
-
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
