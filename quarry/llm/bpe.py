@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,21 @@ HOT, TASK_HOT, BLOCK_BYTES, BUCKET_BYTES = 1 << 17, 1 << 16, 8 << 20, 16 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Letters up to U+02C1, and the characters up to there that the standard library's patterns read like the tokenizer's.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
+SIMPLE = "\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u02c1"
+
+
 @functools.lru_cache(maxsize=1)
 def splitter():
+    """The pre-tokens of a text. A text of simple characters takes a pattern of explicit classes, which is more than twice as fast."""
     import public_tokenizers
     import regex
 
-    return regex.compile(public_tokenizers.PATTERN).findall
+    full = regex.compile(public_tokenizers.PATTERN).findall
+    spelled = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
+    fast, odd = re.compile(spelled).findall, re.compile(f"[^{SIMPLE}]").search
+    return lambda text: full(text) if odd(text) else fast(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -52,6 +63,11 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def piece_encoder(path: str):
+    """Ids of one pre-token, given as bytes."""
+    return encoding(path)._core_bpe.encode_single_piece
+
+
 @functools.lru_cache(maxsize=2)
 def decimals(n: int) -> list[str]:
     return [str(i) for i in range(n)]
@@ -65,13 +81,14 @@ def _frequent(batches):
     total: dict[str, int] = {}
     size = 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 * BLOCK_BYTES):
             text = pc.fill_null(part.column("text"), "")
             size += pc.sum(pc.binary_length(text)).as_py() or 0
-            words = pc.split_pattern(pc.replace_substring_regex(text, pattern="([\\n,.;:!?|]+)", replacement=" \\1 "), pattern=" ").flatten()
-            for pair in words.value_counts().to_pylist():
-                if pair["counts"] > 1:
-                    total[pair["values"]] = total.get(pair["values"], 0) + pair["counts"]
+            counts = pc.split_pattern(text, pattern=" ").flatten().value_counts()
+            counts = counts.filter(pc.greater_equal(counts.field("counts"), 3))
+            for w, k in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                w = w.rstrip(".,;:!?\n")
+                total[w] = total.get(w, 0) + k
     top = sorted(total.items(), key=lambda x: -x[1])[:TASK_HOT]
     yield pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in top)], pa.string()), pa.array([size, *(k for _, k in top)], pa.int64())], names=["word", "n"])
 
@@ -161,12 +178,12 @@ def _encode(path: str, buckets: int):
     """Packets of ids by document bucket. A task has all occurrences of its words, and encodes each word once."""
 
     def run(batches):
-        encode, known = encoding(path).encode_ordinary, {}
+        encode, known = piece_encoder(path), {}
 
         def ids_of(word: bytes) -> bytes:
             got = known.get(word)
             if got is None:
-                got = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+                got = known[word] = array("I", encode(word)).tobytes()
             return got
 
         entries, keys, places = [], [], []
@@ -254,8 +271,8 @@ def encode_documents(docs: DataFrame, finish, names: list, vocabulary: str, hot:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     words, size = frequent_words(docs, hot)
-    encode = encoding(vocabulary).encode_ordinary
-    ids = [encode(w) for w in words]
+    encode = piece_encoder(vocabulary)
+    ids = [encode(w.encode()) for w in words]
     table_of = ({w: i for i, w in enumerate(words)}, np.array([len(x) for x in ids], np.int64), np.array([t for x in ids for t in x], "<u4"))
     at_hand = spark.sparkContext.broadcast(table_of)  # at most hot words
     buckets = parts = max(8, -(-size // BUCKET_BYTES))
