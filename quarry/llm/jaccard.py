@@ -3,9 +3,8 @@
 Tokens are hashes of word shingles. Documents with equal sets form one class; classes take part once.
 
 Order. Tokens are ordered by a corpus count kept in a fixed number of hashed counters (every token of every document counts,
-repeats included;
-a counter far above the median marks its tokens as heavy): light tokens first, by hash, then heavy ones by count. Any common
-order is right; this one keeps widely shared passages out of prefixes.
+repeats included), in steps of half an octave, then by hash. Any common order is right; this one puts rare tokens first and
+keeps widely shared phrases and passages out of prefixes.
 
 Prefixes. A set of n tokens with at most e = n - ceil(t n) of them missing from a partner is indexed by its first e + 2 tokens.
 Tokens are of two kinds: plain ones index alone, crowded ones in pairs. If n1 plain and n2 crowded tokens stand in the prefix,
@@ -38,49 +37,61 @@ from quarry.llm.common import cut, table
 from quarry.llm.components import components
 from quarry.llm.shingles import shingle_sets, shingles, slices
 
-SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS, SHORT_LIST, BLOCK_TOKENS = 20, 1 << 14, 32, 2, 1_000_000, 500_000
+SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS, SHORT_LIST, BLOCK_TOKENS = 24, 1 << 14, 32, 2, 1_000_000, 500_000
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _count_slots(width: int):
     def run(batches):
-        import zstandard
-
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        counts = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
-                counts += np.bincount(_slots(shingles(part.column("text"), width)[1]), minlength=len(counts))
-        pack = zstandard.ZstdCompressor(level=1).compress
+                slot, n = np.unique(_slots(shingles(part.column("text"), width)[1]), return_counts=True)
+                counts[slot] += n.astype(np.uint32)
         used = [i for i in range(0, len(counts), SLOT_BLOCK) if counts[i : i + SLOT_BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i // SLOT_BLOCK for i in used], pa.int32()), pa.array([pack(counts[i : i + SLOT_BLOCK].tobytes()) for i in used], pa.binary())], names=["block", "counts"])
+        for k in range(0, len(used), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([i // SLOT_BLOCK for i in used[k : k + 64]], pa.int32()), pa.array([_pack(counts[i : i + SLOT_BLOCK].astype(np.uint64)) for i in used[k : k + 64]], pa.binary())], names=["block", "counts"])
 
     return run
 
 
-def _sum_slots(table: pa.Table) -> pa.Table:
-    import zstandard
+def _sum_slots(last: bool):
+    """Sum of the counters of a block; at last in steps of half an octave, a byte each."""
 
-    unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(SLOT_BLOCK, np.int64)
-    for cell in table.column("counts"):
-        total += np.frombuffer(unpack(cell.as_py()), np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLOT_BLOCK, np.uint64)
+        for cell in table.column("counts"):
+            total += _unpack(cell.as_py(), np.uint64)
+        out = (2 * np.log2(np.maximum(total, 1))).astype(np.uint8) if last else total
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([_pack(out)], pa.binary())})
 
+    return run
 
-def heavy_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Counter by slot, 0 where light. 2**SLOT_BITS numbers, whatever the corpus."""
-    import zstandard
 
-    parts = docs.select("text").mapInArrow(_count_slots(width), "block int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+def token_weights(docs: DataFrame, width: int) -> np.ndarray:
+    """A byte for each counter, 2**SLOT_BITS of them whatever the corpus: the larger, the more frequent."""
     form = "block int, counts binary"
-    total = parts.groupBy("block", "salt").applyInArrow(_sum_slots, form).groupBy("block").applyInArrow(_sum_slots, form)
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    parts = docs.select("text").mapInArrow(_count_slots(width), form).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    total = parts.groupBy("block", "salt").applyInArrow(_sum_slots(False), form).groupBy("block").applyInArrow(_sum_slots(True), form)
+    weights = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in total.collect():
-        counts[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), np.int64)
-    counts[counts < 4 * np.median(counts) + 32] = 0
-    return counts.clip(max=(1 << 31) - 1).astype(np.int32)
+        weights[r.block * SLOT_BLOCK : (r.block + 1) * SLOT_BLOCK] = _unpack(bytes(r.counts), np.uint8)
+    return weights
 
 
 def missing_allowed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -95,11 +106,11 @@ def _class_ids(offsets: np.ndarray, hashes: np.ndarray) -> list:
     return [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) - (1 << 63) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _prefixes(width: int, percent: int, heavy):
+def _prefixes(width: int, percent: int, weights):
     least = math.ceil(percent / (100 - percent))  # smaller sets only have equal partners
 
     def run(batches):
-        weight = heavy.value
+        weight = weights.value
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, hashes = shingle_sets(part.column("text"), width)
@@ -110,13 +121,9 @@ def _prefixes(width: int, percent: int, heavy):
                     if size < least:
                         prefixes.append(None)
                         continue
-                    w = weight[_slots(own)]
                     most = int(missing_allowed(size, percent)) + 2
-                    light = own[w == 0]
-                    if len(light) < most and w.any():
-                        some = np.flatnonzero(w)
-                        light = np.concatenate([light, own[some[np.lexsort((own[some], w[some]))]]])
-                    prefixes.append(light[:most].view(np.int64))
+                    order = np.argsort((weight[_slots(own)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")
+                    prefixes.append(own[order[:most]].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "cid", "n", "prefix"])
 
     return run
@@ -240,20 +247,32 @@ def open_buckets(rows: DataFrame, key: str) -> DataFrame:
     return total.select(key, "members", ((F.col("members").cast("double") * F.col("members") - F.col("squares")) / 2).alias("cross")).filter("cross > 0")
 
 
+def prefix_length(n, percent: int):
+    """Length of the prefix of a set of n tokens that is indexed."""
+    return n - F.ceil(n * percent / F.lit(100)) + 2
+
+
 def cross_pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Distinct pairs of classes that share a bucket, lie in different components and are close in size."""
-    a = rows.select(key, F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = rows.select(key, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    """Pairs of classes that share a bucket, lie in different components, are close in size and share enough of their prefixes.
+
+    rows: key, cid, n, comp and extra, how many prefix tokens of the class are not among the keys. Sets with c equal prefix tokens
+    have at most c and what lies beyond one of the prefixes in common.
+    """
+    a = rows.select(key, F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("extra").alias("xa"))
+    b = rows.select(key, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("extra").alias("xb"))
     met = a.join(b, [a[key] == b[key], F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), close_in_size(F.col("na"), F.col("nb"), percent)])
-    return met.select("a", "b").distinct()
+    beyond = F.greatest(F.col("na") - prefix_length(F.col("na"), percent), F.col("nb") - prefix_length(F.col("nb"), percent))
+    most = F.col("c") + F.least("xa", "xb") + F.greatest(beyond, F.lit(0))
+    fits = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    return met.groupBy("a", "b", "na", "nb", "xa", "xb").agg(F.count("*").alias("c")).filter(fits).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    heavy = spark.sparkContext.broadcast(heavy_counts(docs, width))
-    rows = cut(docs.mapInArrow(_prefixes(width, percent, heavy), "doc_id long, cid long, n long, prefix array<long>"), "prefixes")
+    weights = spark.sparkContext.broadcast(token_weights(docs, width))
+    rows = cut(docs.mapInArrow(_prefixes(width, percent, weights), "doc_id long, cid long, n long, prefix array<long>"), "prefixes")
     classes = cut(rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     tokens = classes.select("cid", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
@@ -273,7 +292,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     at = cut(join.labelled(index), "at")
     open_now = cut(open_buckets(at, "token").withColumn("crowded", F.col("cross") > CROWD * F.col("members")), "open")
     inside = at.join(open_now.select("token", "crowded"), "token")
-    plain = cross_pairs(inside.filter("not crowded"), "token", percent)
+    extra = inside.groupBy("cid").agg(F.count_if("crowded").alias("extra"))
+    plain = cross_pairs(inside.filter("not crowded").join(extra, "cid"), "token", percent)
     many = inside.filter("crowded").groupBy("cid").agg(F.array_sort(F.collect_set("token")).alias("own")).filter(F.size("own") > 1)
     twos = many.select("cid", "own", F.posexplode("own").alias("i", "x")).select("cid", F.explode(F.transform(F.slice("own", F.col("i") + 2, F.size("own")), lambda y: F.xxhash64("x", y))).alias("two"))
     links = join.linked(cut(plain, "pairs"))
