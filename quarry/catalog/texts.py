@@ -1 +1,164 @@
-"""Placeholder."""
+"""Queries over text and number functions, on whole documents and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.catalog.registry import query, read
+from quarry.catalog.retrieval import STEM_SQL, TOKENS_SQL, aliased
+from quarry.functions import numbers as N
+from quarry.functions import text as X
+
+WS = "[ \\t\\n\\r\\f\\x0B]+"
+
+
+def docs(spark, sf):
+    return read(spark, sf, "documents")
+
+
+@query("tokenise_alias", f"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {aliased('text')} AS k FROM documents)")
+def tokenise_alias(spark, sf):
+    return docs(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", " ")).alias("digest"))
+
+
+@query("norm_text", "SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), ' ')) AS digest FROM documents")
+def norm_text(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.norm(F.col("text"))).alias("digest"))
+
+
+@query("stem_words", f"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {STEM_SQL.format(t='text')} AS k FROM documents)")
+def stem_words(spark, sf):
+    return docs(spark, sf).select("doc_id", X.stem_words(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", " ")).alias("digest"))
+
+
+@query("clean_query", f"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(please|kindly|thanks|thank you)\\b[.,!]?', '', 'g'), '(?i),?[ ]*as originally reported', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS cleaned
+FROM conversations WHERE role = 'user'""")
+def clean_query(spark, sf):
+    """User turns without politeness and format instructions."""
+    t = F.regexp_replace("text", "(?i)\\b(please|kindly|thanks|thank you)\\b[.,!]?", "")
+    t = F.regexp_replace(t, "(?i),?[ ]*as originally reported", "")
+    return read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", X.squash(t).alias("cleaned"))
+
+
+@query("spell_fix", """
+WITH w AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations WHERE role = 'user') WHERE length(x) >= 5),
+v AS (SELECT unnest(['there','these','other','still','thing','early','never','heart','least','their','interest','statement']) AS y),
+m AS (SELECT x, y, levenshtein(x, y) AS d FROM w CROSS JOIN v),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS n FROM m WHERE d <= CASE WHEN length(x) >= 8 THEN 2 ELSE 1 END)
+SELECT x AS word, y AS fixed, d AS edits FROM r WHERE n = 1""")
+def spell_fix(spark, sf):
+    """The closest entry of a small vocabulary by edit distance, for distinct words of five letters or more."""
+    vocabulary = ["there", "these", "other", "still", "thing", "early", "never", "heart", "least", "their", "interest", "statement"]
+    words = read(spark, sf, "conversations").filter("role = 'user'").select(F.explode(X.found(F.col("text"), "[a-z]+")).alias("word")).distinct().filter(F.length("word") >= 5)
+    tried = words.select("word", F.explode(F.array(*map(F.lit, vocabulary))).alias("fixed")).withColumn("edits", F.levenshtein("word", "fixed"))
+    near = tried.filter(F.col("edits") <= F.when(F.length("word") >= 8, 2).otherwise(1))
+    return near.groupBy("word").agg(F.min(F.struct("edits", "fixed")).alias("m")).select("word", "m.fixed", F.col("m.edits").cast("long").alias("edits"))
+
+
+@query("ngrams_overlap", """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+qg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM q))
+SELECT item_id, doc_id, count(*) AS shared FROM dg JOIN qg USING (g) GROUP BY ALL""")
+def ngrams_overlap(spark, sf):
+    """Five-word grams that passages and documents share."""
+    grams = lambda df, key: df.select(key, X.plain_tokens(F.col("text")).alias("w")).select(key, F.explode(X.ngrams(F.col("w"), 5)).alias("g"))
+    return grams(docs(spark, sf), "doc_id").join(grams(read(spark, sf, "benchmark"), "item_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+
+
+@query("followup_resolve", """
+WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, length(text) < 60 AND previous IS NOT NULL AS inherits, CASE WHEN length(text) < 60 AND previous IS NOT NULL THEN previous || ' ' || text ELSE text END AS resolved FROM u""")
+def followup_resolve(spark, sf):
+    """A short user turn inherits the user turn before it; any other stands alone."""
+    turns = read(spark, sf, "conversations").filter("role = 'user'")
+    previous = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.withColumn("previous", previous).withColumn("inherits", (F.length("text") < 60) & F.col("previous").isNotNull())
+    return rows.select("conv_id", "turn", "inherits", F.when(F.col("inherits"), F.concat_ws(" ", "previous", "text")).otherwise(F.col("text")).alias("resolved"))
+
+
+@query("byte_size", "SELECT doc_id, strlen(text) AS bytes, length(text) AS points FROM documents")
+def byte_size(spark, sf):
+    return docs(spark, sf).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.char_length("text").cast("long").alias("points"))
+
+
+@query("squash_space", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS digest FROM documents")
+def squash_space(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.squash(F.col("text"))).alias("digest"))
+
+
+@query("label_keys", "SELECT p_partkey, regexp_replace(regexp_replace(lower(translate(p_name || ' (' || p_brand || ')', '¹²³⁰⁴⁵⁶⁷⁸⁹', '')), '\\([^()]*\\)', '', 'g'), '[^a-z0-9]+', '', 'g') AS k FROM part")
+def label_keys(spark, sf):
+    name = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")"))
+    return read(spark, sf, "part").select("p_partkey", X.label_key(name).alias("k"))
+
+
+RAW = "unnest(regexp_extract_all(text, '[-+(]?[0-9][0-9,.]*[%)]*'))"
+CELLS = f"WITH c AS (SELECT doc_id, {RAW} AS cell FROM documents UNION ALL SELECT doc_id, unnest(['', '-', '(1,234)', '12%', '1 234', '908,812)', '1,234.5', '–']) FROM documents)"
+
+
+def numeric_cells(spark, sf):
+    found = F.regexp_extract_all("text", F.lit("[-+(]?[0-9][0-9,.]*[%)]*"), F.lit(0))
+    odd = F.array(*map(F.lit, ["", "-", "(1,234)", "12%", "1 234", "908,812)", "1,234.5", "–"]))
+    return docs(spark, sf).select("doc_id", F.explode(F.concat(found, odd)).alias("cell"))
+
+
+STRICT = "^(-?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?|[(]([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?[)])%?$"
+
+
+@query("parse_number_strict", CELLS + f"""
+SELECT doc_id, count(*) AS cells, count(v) AS parsed, CAST(sum(v) AS DOUBLE) AS total FROM (
+  SELECT doc_id, CASE WHEN regexp_matches(trim(cell), '{STRICT}') THEN try_cast(CASE WHEN trim(cell) LIKE '(%' THEN '-' ELSE '' END || regexp_replace(trim(cell), '[%,()]', '', 'g') AS DECIMAL(20, 4)) END AS v FROM c) GROUP BY doc_id""")
+def parse_number_strict(spark, sf):
+    """Strict literals as decimals; blank and dash stay null and count as unparsed."""
+    rows = numeric_cells(spark, sf).withColumn("v", N.parse_number(F.col("cell")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("cells"), F.count("v").alias("parsed"), F.sum("v").cast("double").alias("total"))
+
+
+LOOSE = N.LOOSE.replace("\\t", "\t")
+
+
+@query("classify_cells", CELLS + f"""
+SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(trim(cell), '{LOOSE}') AND length(cell) - length(replace(cell, '%', '')) <= 1 THEN 'numeric_scalar' WHEN regexp_matches(cell, '[0-9]') THEN 'uncheckable_numeric_text'
+  WHEN trim(cell) = '' THEN 'empty' WHEN trim(cell) IN ('-', '–', '—') THEN 'placeholder_not_zero' ELSE 'non_numeric_text' END AS kind FROM c) GROUP BY ALL""")
+def classify_cells(spark, sf):
+    return numeric_cells(spark, sf).groupBy("doc_id", N.classify(F.col("cell")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("number_sets", """
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[(][0-9][0-9,]*(?:[.][0-9]+)?[)]|[-+]?[0-9][0-9,]*(?:[.][0-9]+)?')) AS x FROM documents),
+v AS (SELECT doc_id, try_cast(CASE WHEN x LIKE '(%' THEN '-' ELSE '' END || regexp_replace(x, '[,()+]', '', 'g') AS DECIMAL(38, 6)) AS v FROM r)
+SELECT doc_id, count(DISTINCT v) AS numbers, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM v WHERE v IS NOT NULL GROUP BY doc_id""")
+def number_sets(spark, sf):
+    rows = docs(spark, sf).select("doc_id", N.number_set(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("numbers"), F.col("s")[0].cast("double").alias("least"), F.element_at("s", -1).cast("double").alias("most"))
+
+
+@query("column_dates", """
+WITH h AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d %b %y') WHEN 1 THEN strftime(o_orderdate, '%b %Y') ELSE strftime(o_orderdate, '%b %y') || ' vs last' END AS header, o_orderdate AS d FROM orders)
+SELECT o_orderkey, header, CASE o_orderkey % 3 WHEN 2 THEN NULL WHEN 1 THEN CASE WHEN year(d) >= 2000 THEN strftime(last_day(d), '%Y-%m-%d') END WHEN 0 THEN CASE WHEN year(d) < 2000 THEN strftime(d + INTERVAL 100 YEAR, '%Y-%m-%d') ELSE strftime(d, '%Y-%m-%d') END END AS iso FROM h""")
+def column_dates(spark, sf):
+    """Headers written three ways from order dates and read back; years are of this century, comparisons and other years are no dates."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    header = F.when(k == 0, F.date_format(d, "dd MMM yy")).when(k == 1, F.date_format(d, "MMM yyyy")).otherwise(F.concat(F.date_format(d, "MMM yy"), F.lit(" vs last")))
+    return read(spark, sf, "orders").select("o_orderkey", header.alias("header")).withColumn("iso", N.column_date(F.col("header")))
+
+
+@query("unit_scale", """
+WITH u AS (SELECT p_partkey, p_retailprice, ['AUD million', 'AUD billion', 'AUD', 'cents/share', 'AUD/share', 'percent', 'unknown'][1 + p_partkey % 7] AS unit FROM part)
+SELECT p_partkey, unit, CASE WHEN unit IN ('AUD million', 'AUD billion', 'AUD') THEN 'AUD' WHEN unit IN ('cents/share', 'AUD/share') THEN 'AUD/share' WHEN unit = 'percent' THEN 'percent' END AS dimension,
+  CAST(round(CAST(p_retailprice AS DECIMAL(20, 4)) * CASE unit WHEN 'AUD million' THEN 1000000 WHEN 'AUD billion' THEN 1000000000 WHEN 'cents/share' THEN 0.01 WHEN 'unknown' THEN NULL ELSE 1 END, 6) AS DOUBLE) AS value FROM u""")
+def unit_scale(spark, sf):
+    names = F.array(*map(F.lit, ["AUD million", "AUD billion", "AUD", "cents/share", "AUD/share", "percent", "unknown"]))
+    rows = read(spark, sf, "part").withColumn("unit", F.element_at(names, (F.col("p_partkey") % 7 + 1).cast("int")))
+    dimension, scale = N.unit_scale(F.col("unit"))
+    return rows.select("p_partkey", "unit", dimension.alias("dimension"), (F.col("p_retailprice").cast("decimal(20,4)") * scale).cast("double").alias("value"))
+
+
+@query("thousands_format", """
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || regexp_replace(format('{:,}', CAST(floor(abs(CAST(c_acctbal AS DECIMAL(20, 4)))) AS BIGINT)), '^$', '') ||
+  regexp_replace(regexp_replace('.' || lpad(CAST(CAST((abs(CAST(c_acctbal AS DECIMAL(20, 4))) - floor(abs(CAST(c_acctbal AS DECIMAL(20, 4))))) * 10000 AS BIGINT) AS VARCHAR), 4, '0'), '0+$', ''), '^[.]$', '') AS shown FROM customer""")
+def thousands_format(spark, sf):
+    """Separators without rounding."""
+    return read(spark, sf, "customer").select("c_custkey", N.thousands(F.col("c_acctbal").cast("decimal(20,4)")).alias("shown"))
