@@ -1 +1,102 @@
-"""Placeholder."""
+"""Planning queries: intent, tags, guards, operations and requests over conversation turns; the streamed follow-up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.catalog.registry import query, read
+from quarry.functions import text as X
+from quarry.plans import intent as P
+
+#: Questions that every rule set can be tried on, as the corpus turns carry invented words.
+QUESTIONS = ["What does NIM mean?", "Why did operating expenses change?", "Give me a summary", "Compare CBA and NAB", "Reconcile cash profit", "Should I buy ANZ?", "Calculate the change in total assets", "2024 minus 2023 dividend per share", "Convert EPS to USD", "housing loans growth", "LCR and CET1"]
+ASKED = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT -1, CAST(i AS BIGINT), q FROM (SELECT unnest(range(%d)) AS i, unnest(%s) AS q)" % (len(QUESTIONS), str(QUESTIONS).replace('"', "'"))
+NORM = f"WITH t AS (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), ' ') AS s FROM ({ASKED}))"
+
+
+def asked(spark, sf):
+    """User turns and the fixed questions, normalised."""
+    turns = read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    fixed = spark.createDataFrame([(-1, i, q) for i, q in enumerate(QUESTIONS)], "conv_id long, turn long, text string")
+    return turns.unionByName(fixed).select("conv_id", "turn", X.norm(F.col("text")).alias("s"))
+
+
+@query("intent_cascade", f"{NORM} SELECT conv_id, turn, {P.first_match_sql('s', P.INTENTS, 'find')} AS intent FROM t")
+def intent_cascade(spark, sf):
+    return asked(spark, sf).select("conv_id", "turn", P.first_match(F.col("s"), P.INTENTS, "find").alias("intent"))
+
+
+@query("metric_tags", NORM + " SELECT conv_id, turn, tag FROM t JOIN (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in P.TAGS) + ") r(tag, pattern) ON regexp_matches(s, pattern)")
+def metric_tags(spark, sf):
+    return asked(spark, sf).select("conv_id", "turn", F.explode(P.all_matches(F.col("s"), P.TAGS)).alias("tag"))
+
+
+@query("guard_first_match", f"{NORM} SELECT conv_id, turn, {P.first_match_sql('s', P.GUARDS, None)} AS reason FROM t")
+def guard_first_match(spark, sf):
+    return asked(spark, sf).select("conv_id", "turn", P.first_match(F.col("s"), P.GUARDS, None).alias("reason"))
+
+
+@query("operation_plan", f"{NORM} SELECT conv_id, turn, {P.first_match_sql('s', P.OPERATIONS, 'none')} AS kind, NOT regexp_matches(s, 'signed (change|values)|preserve.*sign') AS expense_magnitude FROM t")
+def operation_plan(spark, sf):
+    rows = asked(spark, sf)
+    return rows.select("conv_id", "turn", P.first_match(F.col("s"), P.OPERATIONS, "none").alias("kind"), (~F.col("s").rlike("signed (change|values)|preserve.*sign")).alias("expense_magnitude"))
+
+
+@query("request_cross_product", NORM + """,
+q AS (SELECT conv_id, turn, tag FROM t JOIN (VALUES """ + ", ".join(f"('{n}', '{p}')" for n, p in P.TAGS) + """) r(tag, pattern) ON regexp_matches(s, pattern)),
+x AS (SELECT conv_id, turn, tag, n_name AS entity, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tag, n_name) AS nth FROM q CROSS JOIN nation)
+SELECT conv_id, turn, tag, entity, nth <= 12 AS accepted FROM x""")
+def request_cross_product(spark, sf):
+    """Every metric asked for, for every entity; beyond twelve requests a question is told so, not cut silently."""
+    from pyspark.sql import Window
+
+    tags = asked(spark, sf).select("conv_id", "turn", F.explode(P.all_matches(F.col("s"), P.TAGS)).alias("tag"))
+    rows = tags.crossJoin(F.broadcast(read(spark, sf, "nation").select(F.col("n_name").alias("entity"))))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("tag", "entity"))
+    return rows.withColumn("nth", nth).select("conv_id", "turn", "tag", "entity", (F.col("nth") <= 12).alias("accepted"))
+
+
+@query("scope_resolution", NORM + " SELECT conv_id, turn, coalesce(nullif(regexp_extract(s, '\\b(19|20)[0-9]{2}\\b'), ''), '2024') AS year, CASE WHEN regexp_matches(s, '\\b(19|20)[0-9]{2}\\b') THEN 'named' ELSE 'filter' END AS origin FROM t")
+def scope_resolution(spark, sf):
+    """A year in the question wins over the filter's."""
+    year = F.nullif(F.regexp_extract("s", "\\b(19|20)[0-9]{2}\\b", 0), F.lit(""))
+    return asked(spark, sf).select("conv_id", "turn", F.coalesce(year, F.lit("2024")).alias("year"), F.when(year.isNotNull(), "named").otherwise("filter").alias("origin"))
+
+
+@query("answer_status", """
+WITH c AS (SELECT o_custkey, count(*) AS parts, count(*) FILTER (o_orderstatus = 'F') AS claims, count(*) FILTER (o_totalprice < 0) AS issues FROM orders GROUP BY o_custkey)
+SELECT o_custkey, parts, CASE WHEN parts > 0 AND claims = parts AND issues = 0 THEN 'source_bound_answer' WHEN claims > 0 THEN 'partial_answer' ELSE 'unable_to_verify' END AS status FROM c""")
+def answer_status(spark, sf):
+    """Parts with and without claims make the status of an answer; orders stand for parts, filled ones for claims."""
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("parts"), F.count_if(F.col("o_orderstatus") == "F").alias("claims"), F.count_if(F.col("o_totalprice") < 0).alias("issues"))
+    return rows.select("o_custkey", "parts", P.status(F.col("parts"), F.col("claims"), F.col("issues")).alias("status"))
+
+
+@query("citations_first", "SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS quotes FROM events GROUP BY ALL")
+def citations_first(spark, sf):
+    """First wins per key, with how many there were."""
+    return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.count("*").alias("quotes"))
+
+
+@query("excerpt_render", "SELECT conv_id, md5(string_agg(role || ': ' || left(text, 200), chr(10) ORDER BY turn)) AS rendered FROM conversations GROUP BY conv_id")
+def excerpt_render(spark, sf):
+    line = F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 200))
+    rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return rows.select("conv_id", F.md5(F.array_join("l.line", "\n")).alias("rendered"))
+
+
+@query("followup_stream")
+def followup_stream(spark, sf):
+    """Follow-ups resolved over a stream of conversations, with state by conversation; run to its end."""
+    from quarry.streaming.followup import resolve_all
+
+    return resolve_all(spark, f"{sf}/conversations.parquet")
+
+
+@query("trec_roundtrip", None)
+def trec_roundtrip(spark, sf):
+    """A run written in six-field form and read back."""
+    from quarry.catalog.retrieval import bm25_topk
+    from quarry.sources import trec
+
+    return trec.parse_run(trec.format_run(bm25_topk(spark, sf), "quarry"))

@@ -1 +1,177 @@
-"""Placeholder."""
+"""Coverage, data-quality and integrity queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.catalog.registry import query, read
+from quarry.catalog.structure import BLOCKS, blocks
+from quarry.functions import text as X
+from quarry.operators import coverage as C
+
+SPANS = """
+WITH s AS (SELECT doc_id, length(text) AS n, unnest(range(0, greatest(length(text), 1), 1050)) AS start FROM documents),
+spans AS (SELECT doc_id, start, least(start + CASE WHEN doc_id % 5 = 0 AND start > 0 THEN 900 ELSE 1200 END, n) AS stop, n FROM s)"""
+
+
+def spans(spark, sf):
+    """Windows over every document; every fifth document's later windows are too short to touch."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text"), F.lit(1)) - 1, F.lit(1050))
+    rows = read(spark, sf, "documents").select("doc_id", F.char_length("text").alias("n"), F.explode(starts).alias("start"))
+    width = F.when((F.col("doc_id") % 5 == 0) & (F.col("start") > 0), 900).otherwise(1200)
+    return rows.select("doc_id", "start", F.least(F.col("start") + width, "n").alias("stop"))
+
+
+@query("interval_coverage", SPANS + """,
+o AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM spans)
+SELECT doc_id, CAST(sum(greatest(0, stop - greatest(start, reach))) AS BIGINT) AS covered, (max(CASE WHEN start > reach THEN 1 ELSE 0 END) = 0 AND max(stop) >= max(n)) OR max(n) = 0 AS complete FROM o GROUP BY doc_id""")
+def interval_coverage(spark, sf):
+    units = read(spark, sf, "documents").select("doc_id", F.char_length("text").alias("length"))
+    return C.interval_cover(spans(spark, sf), units, "doc_id")
+
+
+@query("exact_once_partition", SPANS + """,
+o AS (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start) AS previous FROM spans)
+SELECT doc_id, count(*) FILTER (previous > start) AS overlaps, count(*) FILTER (previous < start) AS gaps FROM o GROUP BY doc_id""")
+def exact_once_partition(spark, sf):
+    """Where consecutive spans overlap or leave a gap; an exact partition does neither."""
+    previous = F.lag("stop").over(Window.partitionBy("doc_id").orderBy("start"))
+    rows = spans(spark, sf).withColumn("previous", previous)
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("previous") > F.col("start")).alias("overlaps"), F.count_if(F.col("previous") < F.col("start")).alias("gaps"))
+
+
+@query("chunk_constraints", """
+WITH d AS (SELECT d.*, l.doc_id AS labelled FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS entity, 'n_chars' AS check FROM documents WHERE n_chars <> length(text)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'too_large' FROM documents WHERE strlen(text) > 10000 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'too_short' FROM documents WHERE n_chars < 80
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unlabelled' FROM d WHERE labelled IS NULL UNION ALL SELECT CAST(doc_id AS VARCHAR), 'duplicate_text' FROM (SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) WHERE n > 1
+UNION ALL SELECT CAST(l.doc_id AS VARCHAR), 'dangling_label' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)""")
+def chunk_constraints(spark, sf):
+    """Broken constraints as (entity, check) rows: sizes, keys, references, uniqueness."""
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    hashed = docs.select("doc_id", F.md5("text").alias("h"))
+    twice = hashed.groupBy("h").count().filter("count > 1").select("h")
+    found = [
+        C.issue(docs, "doc_id", "n_chars", F.col("n_chars") != F.char_length("text")),
+        C.issue(docs, "doc_id", "too_large", F.octet_length("text") > 10000),
+        C.issue(docs, "doc_id", "too_short", F.col("n_chars") < 80),
+        C.issue(docs.join(labels, "doc_id", "left_anti"), "doc_id", "unlabelled", F.lit(True)),
+        C.issue(hashed.join(twice, "h", "left_semi"), "doc_id", "duplicate_text", F.lit(True)),
+        C.issue(labels.join(docs, "doc_id", "left_anti"), "doc_id", "dangling_label", F.lit(True)),
+    ]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+@query("draft_number_support", """
+WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums FROM conversations),
+u AS (SELECT conv_id, list_distinct(flatten(list(nums))) AS support FROM t WHERE role = 'user' GROUP BY conv_id)
+SELECT a.conv_id, a.turn, len(a.nums) AS claimed, len(list_filter(a.nums, lambda x: NOT list_contains(coalesce(u.support, []), x))) AS unsupported FROM t a LEFT JOIN u ON u.conv_id = a.conv_id WHERE a.role = 'assistant'""")
+def draft_number_support(spark, sf):
+    """Numbers of an assistant turn that no user turn of its conversation has."""
+    rows = read(spark, sf, "conversations").withColumn("nums", F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))))
+    support = rows.filter("role = 'user'").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("nums"))).alias("support"))
+    drafts = rows.filter("role = 'assistant'").join(support, "conv_id", "left")
+    return drafts.select("conv_id", "turn", F.size("nums").cast("long").alias("claimed"), F.size(F.array_except("nums", F.coalesce("support", F.array().cast("array<string>")))).cast("long").alias("unsupported"))
+
+
+@query("passage_registry", BLOCKS + """,
+p AS (SELECT page_id, min(pos) AS pos, text FROM b WHERE tag IN ('p', 'li') AND len(regexp_extract_all(text, '[^ ]+')) >= 8 AND length(text) <= 2200 GROUP BY page_id, text)
+SELECT page_id, pos, md5(text) AS passage FROM p""")
+def passage_registry(spark, sf):
+    """Quotable passages, once each per page."""
+    rows = blocks(spark, sf).filter(F.col("tag").isin("p", "li") & (F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))) >= 8) & (F.char_length("text") <= 2200))
+    return rows.groupBy("page_id", F.md5("text").alias("passage")).agg(F.min("pos").alias("pos"))
+
+
+RULES = [("first_person", "\\b(i|we|my|our)\\b"), ("thanks", "\\bthank"), ("number", "[0-9]"), ("and_of", "\\b(and|of)\\b")]
+
+
+@query("subject_relevance", """
+WITH r AS (SELECT * FROM (VALUES (0, 'first_person', '\\b(i|we|my|our)\\b'), (1, 'thanks', '\\bthank'), (2, 'number', '[0-9]'), (3, 'and_of', '\\b(and|of)\\b')) v(nth, subject, pattern)),
+p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked, role FROM conversations),
+m AS (SELECT p.conv_id, p.turn, min(nth) AS nth FROM p JOIN r ON regexp_matches(lower(asked), pattern) AND NOT regexp_matches(lower(text), pattern) WHERE role = 'assistant' GROUP BY ALL)
+SELECT p.conv_id, p.turn, m.nth IS NULL AS allowed, r.subject AS reason FROM p LEFT JOIN m USING (conv_id, turn) LEFT JOIN r ON r.nth = m.nth WHERE role = 'assistant'""")
+def subject_relevance(spark, sf):
+    """If the turn before names a subject, the answer must; the first rule that fails is the reason."""
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = read(spark, sf, "conversations").withColumn("asked", asked).filter("role = 'assistant'")
+    reason = F.lit(None).cast("string")
+    for name, pattern in reversed(RULES):
+        reason = F.when(F.lower("asked").rlike(pattern) & ~F.lower("text").rlike(pattern), name).otherwise(reason)
+    return rows.select("conv_id", "turn", reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
+@query("integrity_diff", """
+WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 97 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 101 <> 7)
+SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'changed' END AS status FROM a LEFT JOIN b USING (doc_id) WHERE b.doc_id IS NULL OR a.h <> b.h""")
+def integrity_diff(spark, sf):
+    """A manifest of hashes against a copy that lost and changed some rows."""
+    docs = read(spark, sf, "documents")
+    manifest = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    copy = docs.filter("doc_id % 101 <> 7").select("doc_id", F.sha2(F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h2"))
+    rows = manifest.join(copy, "doc_id", "left").filter("h2 is null or h <> h2")
+    return rows.select("doc_id", F.when(F.col("h2").isNull(), "missing").otherwise("changed").alias("status"))
+
+
+@query("corpus_vocab_anti", """
+WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations)
+SELECT w AS word FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.w = q.w)""")
+def corpus_vocab_anti(spark, sf):
+    """Words that conversations use and the corpus does not."""
+    words = lambda t: read(spark, sf, t).select(F.explode(F.array_distinct(X.found(F.col("text"), "[a-z]+"))).alias("word"))
+    return words("conversations").distinct().join(words("documents"), "word", "left_anti")
+
+
+@query("greedy_budget_pack", """
+WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+g AS (SELECT conv_id, rn, CASE WHEN size <= 900 THEN size ELSE 0 END AS used, CASE WHEN size <= 900 THEN [turn] ELSE CAST([] AS BIGINT[]) END AS kept FROM p WHERE rn = 1
+  UNION ALL SELECT p.conv_id, p.rn, g.used + CASE WHEN g.used + p.size <= 900 THEN p.size ELSE 0 END, CASE WHEN g.used + p.size <= 900 THEN list_append(g.kept, p.turn) ELSE g.kept END FROM g JOIN p ON p.conv_id = g.conv_id AND p.rn = g.rn + 1),
+l AS (SELECT conv_id, max(rn) AS rn FROM p GROUP BY conv_id)
+SELECT g.conv_id, len(kept) AS turns, array_to_string(kept, ',') AS kept FROM g JOIN l USING (conv_id, rn)""")
+def greedy_budget_pack(spark, sf):
+    """Turns kept in order under 900 characters; one that does not fit is skipped and the next is tried."""
+    rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("rank"), F.char_length("text").cast("long").alias("size"), F.col("turn").alias("id"))).alias("items"))
+    kept = rows.select("conv_id", C.greedy_keep(F.col("items"), 900).alias("ids"))
+    return kept.select("conv_id", F.size("ids").cast("long").alias("turns"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("kept"))
+
+
+@query("profile_cube", """
+SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS source, count(*) AS docs, max(strlen(text)) AS max_bytes, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY CUBE (lang, source)""")
+def profile_cube(spark, sf):
+    rows = read(spark, sf, "documents").cube("lang", "source").agg(F.grouping("lang").alias("gl"), F.grouping("source").alias("gs"), F.count("*").alias("docs"), F.max(F.octet_length("text")).cast("long").alias("max_bytes"), F.sum("n_chars").alias("chars"))
+    return rows.select(F.when(F.col("gl") == 1, "ALL").otherwise(F.col("lang")).alias("lang"), F.when(F.col("gs") == 1, "ALL").otherwise(F.col("source")).alias("source"), "docs", "max_bytes", "chars")
+
+
+@query("quality_gate", """
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'development_unreviewed' WHEN quality = 1 AND toxic = 0 THEN 'validated' ELSE 'quarantined' END AS status,
+  len(regexp_extract_all(list_last(string_split(text, chr(10))), '[A-Za-z]+')) >= 4 AS complete_tail FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def quality_gate(spark, sf):
+    """Review status, and whether the last line has four words."""
+    rows = read(spark, sf, "documents").join(read(spark, sf, "labels").withColumn("seen", F.lit(1)), "doc_id", "left")
+    status = F.when(F.col("seen").isNull(), "development_unreviewed").when((F.col("quality") == 1) & (F.col("toxic") == 0), "validated").otherwise("quarantined")
+    tail = F.element_at(F.split("text", "\n", -1), -1)
+    return rows.select("doc_id", status.alias("status"), (F.size(F.regexp_extract_all(tail, F.lit("[A-Za-z]+"), F.lit(0))) >= 4).alias("complete_tail"))
+
+
+@query("cell_crosscheck", """
+WITH c AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '[0-9]+(?:[.][0-9]+)?'))) AS v FROM pages), b AS (""" + BLOCKS + """ SELECT DISTINCT page_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS v FROM b)
+SELECT c.page_id, count(*) AS page_numbers, count(b.v) AS in_blocks FROM c LEFT JOIN b ON b.page_id = c.page_id AND b.v = c.v GROUP BY c.page_id""")
+def cell_crosscheck(spark, sf):
+    """Numbers of the raw page against those of its extracted blocks."""
+    pattern = F.lit("[0-9]+(?:[.][0-9]+)?")
+    page = read(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", pattern, F.lit(0)))).alias("v"))
+    found = blocks(spark, sf).select("page_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("v")).distinct().withColumn("hit", F.lit(1))
+    return page.join(found, ["page_id", "v"], "left").groupBy("page_id").agg(F.count("*").alias("page_numbers"), F.count("hit").alias("in_blocks"))
+
+
+@query("source_profile", """
+SELECT source, count(*) AS docs, count(DISTINCT md5(text)) AS bodies, round(avg(n_chars), 6) AS mean_chars, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_numbers FROM documents GROUP BY source""")
+def source_profile(spark, sf):
+    rows = read(spark, sf, "documents").select("source", "n_chars", F.md5("text").alias("h"), F.col("text").rlike("[0-9]").alias("numbers"))
+    return rows.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("h").alias("bodies"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if("numbers").alias("with_numbers"))
+
+

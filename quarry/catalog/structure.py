@@ -49,15 +49,14 @@ def adjacent_band_join(spark, sf):
 
 
 @query("bridge_range_join", BLOCKS + """,
-p AS (SELECT x.page_id, x.pos AS start, y.pos AS stop FROM b x JOIN b y ON x.page_id = y.page_id AND y.pos > x.pos AND y.pos - x.pos <= 12 WHERE x.tag LIKE 'h%' AND y.tag = 'li')
+p AS (SELECT x.page_id, x.pos AS start, y.pos AS stop FROM b x JOIN b y ON x.page_id = y.page_id AND y.pos > x.pos AND y.pos - x.pos <= 12 WHERE x.tag = 'li' AND y.tag = 'p')
 SELECT p.page_id, start, stop, count(b.pos) AS rows_between, sum(length(b.text)) AS chars FROM p JOIN b ON b.page_id = p.page_id AND b.pos > start AND b.pos < stop GROUP BY ALL""")
 def bridge_range_join(spark, sf):
-    """A heading and a list item at most twelve places below it with the rows between them; prefix sums replace the range join."""
+    """A list item and a paragraph at most twelve places below it with the rows between them; prefix sums replace the range join."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = blocks(spark, sf).withColumn("upto", F.sum(F.char_length("text")).over(w)).withColumn("size", F.char_length("text"))
-    heads = rows.filter(S.is_heading(F.col("tag")))
-    a = heads.select("page_id", F.col("pos").alias("start"), F.col("upto").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("d")).withColumn("stop", F.col("start") + F.col("d"))
-    b = rows.filter("tag = 'li'").select("page_id", F.col("pos").alias("stop"), (F.col("upto") - F.col("size")).alias("b"))
+    a = rows.filter("tag = 'li'").select("page_id", F.col("pos").alias("start"), F.col("upto").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("d")).withColumn("stop", F.col("start") + F.col("d"))
+    b = rows.filter("tag = 'p'").select("page_id", F.col("pos").alias("stop"), (F.col("upto") - F.col("size")).alias("b"))
     return a.join(b, ["page_id", "stop"]).filter("stop - start > 1").select("page_id", "start", "stop", (F.col("stop") - F.col("start") - 1).cast("long").alias("rows_between"), (F.col("b") - F.col("a")).alias("chars"))
 
 
