@@ -37,7 +37,7 @@ from quarry.llm.common import cut, table
 from quarry.llm.components import components
 from quarry.llm.shingles import shingle_sets, shingles, slices
 
-SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS, SHORT_LIST, BLOCK_TOKENS = 24, 1 << 14, 32, 2, 1_000_000, 500_000
+SLOT_BITS, SLOT_BLOCK, CROWD, ROUNDS, SHORT_LIST, BLOCK_TOKENS, BLOCK_ROWS, SLICE = 24, 1 << 14, 32, 2, 1_000_000, 500_000, 1000, 1 << 20
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def _count_slots(width: int):
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 slot, n = np.unique(_slots(shingles(part.column("text"), width)[1]), return_counts=True)
                 counts[slot] += n.astype(np.uint32)
         used = [i for i in range(0, len(counts), SLOT_BLOCK) if counts[i : i + SLOT_BLOCK].any()]
@@ -112,7 +112,7 @@ def _prefixes(width: int, percent: int, weights):
     def run(batches):
         weight = weights.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 offsets, hashes = shingle_sets(part.column("text"), width)
                 n = np.diff(offsets)
                 keys, prefixes = _class_ids(offsets, hashes), []
@@ -132,7 +132,7 @@ def _prefixes(width: int, percent: int, weights):
 def _set_rows(width: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 offsets, hashes = shingle_sets(part.column("text"), width)
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
                 # rows that share the doc_id but not the text do not pass for the class
@@ -188,7 +188,7 @@ class Join:
         hubs = keyed.groupBy("two").agg(F.min("cid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("two", "hub")
         label = components(keyed.join(hubs, "two").select(F.col("hub").alias("a"), F.col("cid").alias("b")))
         member = cut(label.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(self.classes.select("cid", "n"), "cid"), "family")
-        blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+        blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
         placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = placed.select("cid", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("cid", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -221,7 +221,8 @@ def _family_links(percent: int):
             x = np.zeros((len(cids), 4096), np.float32)
             x[row[a:b], column[a:b] - at] = 1
             both += x @ x.T
-        linked = 100 * both >= percent * (n[:, None] + n - both)
+        n = n.astype(np.float32)
+        linked = (100 + percent) * both >= percent * (n[:, None] + n)  # exact: whole numbers below 2**24
         label = np.arange(len(cids))
         while True:
             least = np.where(linked, label, len(cids)).min(axis=1, initial=len(cids))

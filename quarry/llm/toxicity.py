@@ -123,7 +123,7 @@ class Automaton:
 
     def lookup(self, word: str):
         if word not in self.found:
-            if len(self.found) > 400_000:
+            if len(self.found) > 100_000:
                 self.found.clear()
             self.found[word] = self.match(plain(word))
         return self.found[word]
