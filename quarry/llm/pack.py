@@ -181,30 +181,48 @@ def bins_of(patterns) -> int:
     return sum(n for _, n in patterns)
 
 
-def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000) -> list[tuple[tuple, int]]:
+def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=(1.1, 1.05, 1.15, 1.02, 1.3)) -> list[tuple[tuple, int]]:
     """Patterns with multiplicities that place every piece: bin completion with branch and bound.
 
-    nodes bounds the search, never the result: when it runs out, the best packing so far stands.
+    Branches go depth first from the largest piece left; of the undominated fillings the one with the largest sum of powers comes
+    first, which saves small pieces for gaps that need them. Each exponent in weights is one search with its share of nodes, and
+    what one search finds is the next one's incumbent. nodes bounds the search, never the result: when it runs out, the best packing
+    so far stands.
     """
     counts = counts.astype(np.int64)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    for weight in weights:
+        if bins_of(best) <= bound:
+            break
+        best = _search(counts, capacity, best, bound, weight, nodes // len(weights))
+    return best
+
+
+def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
+    items: tuple = ()
+    while gap > 0 and (x := next((x for x in range(gap, 0, -1) if left[x] > items.count(x)), 0)):
+        items, gap = (*items, x), gap - x
+    return items
+
+
+def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
+    """The best packing that a search with this weight finds within nodes; best is the incumbent."""
     total = int((np.arange(len(counts)) * counts).sum())
-    if bins_of(best) <= bound:
-        return best
-    # depth-first over an explicit stack of (counts left, fillings not yet tried, patterns length)
     path: list[tuple[tuple, int]] = []
     spent = 0
 
     def expand(left, waste):
-        some = np.flatnonzero(left)
-        large = int(some[-1])
+        large = int(np.flatnonzero(left)[-1])
         left[large] -= 1
         slack = (bins_of(best) - 1) * capacity - total - waste
-        found = fillings(capacity - large, left, slack)
+        found = {*fillings(capacity - large, left, slack, most=3), best_fit_filling(capacity - large, left)}
+        if large < capacity and left[capacity - large]:
+            found = {(capacity - large,)}
         left[large] += 1
-        return [(large, *f) for f in found]
+        return iter(sorted(((large, *f) for f in found), key=lambda f: -sum(x**weight for x in f)))
 
-    stack = [(counts.copy(), 0, iter(expand(counts.copy(), 0)), 0)]
+    first = counts.copy()
+    stack = [(first, 0, expand(first, 0), 0)] if counts.any() else []
     while stack and spent < nodes:
         left, waste, options, depth = stack[-1]
         del path[depth:]
@@ -216,7 +234,7 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000) -> list[
         n = times_of(items, left)
         lost = waste + n * (capacity - sum(items))
         if total + lost > (bins_of(best) - 1) * capacity:
-            continue
+            continue  # even without further waste this is no better than the incumbent
         rest = left.copy()
         for x in items:
             rest[x] -= n
@@ -226,7 +244,7 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000) -> list[
             if bins_of(best) <= bound:
                 break
             continue
-        stack.append((rest, lost, iter(expand(rest, lost)), depth + 1))
+        stack.append((rest, lost, expand(rest, lost), depth + 1))
     return best
 
 
