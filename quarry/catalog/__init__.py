@@ -1,4 +1,4 @@
 """All queries of the library outside the llm folder."""
 
-from quarry.catalog import evaluation, figures, planning, quality, retrieval, structure, texts  # noqa: F401
+from quarry.catalog import evaluation, evidence, figures, planning, quality, retrieval, structure, texts  # noqa: F401
 from quarry.catalog.registry import ORACLES, QUERIES  # noqa: F401
