@@ -31,7 +31,7 @@ from quarry.llm.common import cut, table
 from quarry.llm.pack import encoding
 from quarry.llm.shingles import slices
 
-HOT, TASK_HOT, BLOCK_BYTES, BUCKET_BYTES = 1 << 17, 1 << 16, 8 << 20, 16 << 20
+HOT, TASK_HOT, BLOCK_BYTES, BUCKET_BYTES = 1 << 18, 1 << 17, 8 << 20, 32 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -122,8 +122,8 @@ def row_key(doc, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(f"{doc}/".encode() + text) - (1 << 63)
 
 
-#: A packet of words or ids: sizes, keys and places of the entries, and the entries' bytes one after the other.
-PACKET = "target int, sizes binary, keys binary, places binary, data binary"
+#: A packet of words or ids by key: the distinct keys, how many entries each has, the entries' places and sizes, and their bytes one after the other.
+PACKET = "target int, sizes binary, keys binary, runs binary, places binary, data binary"
 
 
 def packets(targets: np.ndarray, parts: int, entries: list[bytes], keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
@@ -131,15 +131,16 @@ def packets(targets: np.ndarray, parts: int, entries: list[bytes], keys: np.ndar
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
-    order = np.argsort(targets, kind="stable")
+    order = np.lexsort((places, keys, targets))
     begin = np.searchsorted(targets[order], np.arange(parts + 1))
     rows = []
     for p in np.flatnonzero(np.diff(begin)):
         own = order[begin[p] : begin[p + 1]]
         mine = [entries[i] for i in own.tolist()]
-        rows.append((int(p), pack_planes(np.fromiter(map(len, mine), np.uint32, len(mine))), keys[own].astype("<i8").tobytes(), pack_planes(places[own]), pack(b"".join(mine))))
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["target", "sizes", "keys", "places", "data"])
+        distinct, runs = np.unique(keys[own], return_counts=True)
+        rows.append((int(p), pack_planes(np.fromiter(map(len, mine), np.uint32, len(mine))), distinct.astype("<i8").tobytes(), pack_planes(runs), pack_planes(places[own]), pack(b"".join(mine))))
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["target", "sizes", "keys", "runs", "places", "data"])
 
 
 def opened(batch_or_table):
@@ -147,8 +148,8 @@ def opened(batch_or_table):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for sizes, keys, places, data in zip(*(batch_or_table.column(c) for c in ("sizes", "keys", "places", "data")), strict=True):
-        yield unpack_planes(sizes.as_py()), np.frombuffer(keys.as_py(), "<i8"), unpack_planes(places.as_py()), unpack(data.as_py())
+    for sizes, keys, runs, places, data in zip(*(batch_or_table.column(c) for c in ("sizes", "keys", "runs", "places", "data")), strict=True):
+        yield unpack_planes(sizes.as_py()), np.repeat(np.frombuffer(keys.as_py(), "<i8"), unpack_planes(runs.as_py())), unpack_planes(places.as_py()), unpack(data.as_py())
 
 
 def _rare_words(hot, parts: int):
