@@ -58,11 +58,11 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 def _count_slots(width: int):
     def run(batches):
-        counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        counts = np.zeros(1 << SLOT_BITS, np.uint16)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 slot, n = np.unique(_slots(shingles(part.column("text"), width)[1]), return_counts=True)
-                counts[slot] += n.astype(np.uint32)
+                counts[slot] = np.minimum(counts[slot] + n, 65535)  # of one task: the order needs no more
         used = [i for i in range(0, len(counts), SLOT_BLOCK) if counts[i : i + SLOT_BLOCK].any()]
         for k in range(0, len(used), 64):
             yield pa.RecordBatch.from_arrays([pa.array([i // SLOT_BLOCK for i in used[k : k + 64]], pa.int32()), pa.array([_pack(counts[i : i + SLOT_BLOCK].astype(np.uint64)) for i in used[k : k + 64]], pa.binary())], names=["block", "counts"])
@@ -154,12 +154,14 @@ class Join:
         self.edges = self.labels = None
 
     def promising(self, pairs: DataFrame) -> DataFrame:
-        a = self.classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        b = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        """Pairs (a written table) that their prefixes do not rule out. A short list is broadcast, so that prefixes of other classes stay where they are."""
+        known = F.broadcast(pairs) if pairs.count() <= SHORT_LIST else pairs
+        one = self.classes.join(known, F.col("cid") == F.col("a")).select("a", "b", F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        two = self.classes.join(known, F.col("cid") == F.col("b")).select("a", "b", F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         beyond = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
         most = F.size(F.array_intersect("pa", "pb")) + beyond
         fits = (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
-        return cut(pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b"), "promising")
+        return cut(one.join(two, ["a", "b"]).filter(fits).select("a", "b"), "promising")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cid and tokens of the classes wanted (cid). The list of their documents is broadcast if short, else joined by shuffling texts."""
@@ -279,8 +281,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     index = cut(tokens.join(shared.hint("merge"), "token"), "index")
     join = Join(docs, classes, width, percent)
-    alone = index.groupBy("cid").agg(F.count("*").alias("met")).join(classes.select("cid", F.size("prefix").alias("long")), "cid").select("cid", (F.col("long") - F.col("met")).alias("alone"))
-    index = cut(index.join(alone, "cid"), "index")
+    # partners have two prefix tokens in common at least, so a class that shares fewer with all others together has none
+    met = index.groupBy("cid").agg(F.count("*").alias("met")).filter("met > 1")
+    alone = met.join(classes.select("cid", F.size("prefix").alias("long")), "cid").select("cid", (F.col("long") - F.col("met")).alias("alone"))
+    index = index.join(alone, "cid")
+    index = cut(index.join(index.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token").hint("merge"), "token"), "index")
     for _ in range(ROUNDS):
         at = cut(join.labelled(index), "at")
         hubs = at.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
