@@ -142,6 +142,11 @@ def _set_rows(width: int):
     return run
 
 
+def short_list(rows: DataFrame) -> DataFrame:
+    """rows (a written table of a few numbers a row) marked for broadcast up to SHORT_LIST of them, for a merge join beyond."""
+    return F.broadcast(rows) if rows.count() <= SHORT_LIST else rows.hint("merge")
+
+
 class Join:
     """The state of one join: classes with their prefixes, links found, labels so far.
 
@@ -155,7 +160,7 @@ class Join:
 
     def promising(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a written table) that their prefixes do not rule out. A short list is broadcast, so that prefixes of other classes stay where they are."""
-        known = F.broadcast(pairs) if pairs.count() <= SHORT_LIST else pairs
+        known = short_list(pairs)
         one = self.classes.join(known, F.col("cid") == F.col("a")).select("a", "b", F.col("n").alias("na"), F.col("prefix").alias("pa"))
         two = self.classes.join(known, F.col("cid") == F.col("b")).select("a", "b", F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         beyond = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
@@ -166,8 +171,7 @@ class Join:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cid and tokens of the classes wanted (cid). The list of their documents is broadcast if short, else joined by shuffling texts."""
         wanted = cut(wanted.join(self.classes, "cid").filter("first is not null").select(F.col("first").alias("doc_id"), "cid"), "wanted")
-        short = wanted.count() <= SHORT_LIST
-        texts = self.docs.join(F.broadcast(wanted) if short else wanted.hint("merge"), "doc_id").select("cid", "text")
+        texts = self.docs.join(short_list(wanted), "doc_id").select("cid", "text")
         return cut(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -201,7 +205,7 @@ class Join:
         """rows with comp, the component of cid so far."""
         if self.labels is None:
             return rows.withColumn("comp", F.col("cid"))
-        return rows.join(self.labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+        return rows.join(short_list(self.labels.withColumnRenamed("node", "cid")), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
 
 
 def _family_links(percent: int):
@@ -284,8 +288,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # partners have two prefix tokens in common at least, so a class that shares fewer with all others together has none
     met = index.groupBy("cid").agg(F.count("*").alias("met")).filter("met > 1")
     alone = met.join(classes.select("cid", F.size("prefix").alias("long")), "cid").select("cid", (F.col("long") - F.col("met")).alias("alone"))
-    index = index.join(alone, "cid")
-    index = cut(index.join(index.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token").hint("merge"), "token"), "index")
+    index = cut(index.join(short_list(cut(alone, "alone")), "cid"), "index")
     for _ in range(ROUNDS):
         at = cut(join.labelled(index), "at")
         hubs = at.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
