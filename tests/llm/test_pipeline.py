@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
             t += " rotten beastly " + prose(5)
         if i % 12 == 1:
             t = "The same first line\n" + t
-        if i % 40 == 2:
+        if i % 40 == 2 and i % 6:
             t = prose(30) + " " + passage + " " + prose(30)
         texts.append(t)
     texts[50] = texts[49]
