@@ -186,15 +186,17 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=
 
     Branches go depth first from the largest piece left; of the undominated fillings the one with the largest sum of powers comes
     first, which saves small pieces for gaps that need them. Each exponent in weights is one search with its share of nodes, and
-    what one search finds is the next one's incumbent. nodes bounds the search, never the result: when it runs out, the best packing
+    what one search finds is the next one's incumbent. A descent to a full packing takes about one node for each length, so each
+    search gets two for each length besides its share. nodes bounds the search, never the result: when it runs out, the best packing
     so far stands.
     """
     counts = counts.astype(np.int64)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    share = nodes // len(weights) + 2 * int(np.count_nonzero(counts))
     for weight in weights:
         if bins_of(best) <= bound:
             break
-        best = _search(counts, capacity, best, bound, weight, nodes // len(weights))
+        best = _search(counts, capacity, best, bound, weight, share)
     return best
 
 
@@ -206,10 +208,10 @@ def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
 
 
 def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
-    """The best packing that a search with this weight finds within nodes; best is the incumbent."""
+    """The best packing that a search with this weight finds within nodes, the last descent to its end; best is the incumbent."""
     total = int((np.arange(len(counts)) * counts).sum())
     path: list[tuple[tuple, int]] = []
-    spent = 0
+    spent, down = 0, True
 
     def expand(left, waste):
         large = int(np.flatnonzero(left)[-1])
@@ -223,9 +225,10 @@ def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
 
     first = counts.copy()
     stack = [(first, 0, expand(first, 0), 0)] if counts.any() else []
-    while stack and spent < nodes:
+    while stack and (down or spent < nodes):
         left, waste, options, depth = stack[-1]
         del path[depth:]
+        down = False
         items = next(options, None)
         if items is None:
             stack.pop()
@@ -245,6 +248,7 @@ def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
                 break
             continue
         stack.append((rest, lost, expand(rest, lost), depth + 1))
+        down = True
     return best
 
 
