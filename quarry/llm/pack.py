@@ -3,7 +3,7 @@
 A document's ids are cut into pieces of at most `capacity`; pieces are packed into sequences of that capacity. What matters
 for packing is only how many pieces there are of each length, so the driver works on that histogram (at most `capacity`
 rows, whatever the corpus): bin completion takes the largest length left, enumerates the undominated fillings around it,
-and applies one as often as the counts allow, branching over fillings in order of waste and pruning a branch whose waste
+and applies one as often as the counts allow, branching over good fillings first and pruning a branch whose waste
 already rules out beating the incumbent. The incumbent starts as best-fit decreasing. The result is a list of patterns with
 multiplicities, again bounded by the number of lengths; pieces find their place in it by their rank within their length,
 which comes from counts of salted cells. No task sees all pieces of a length.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,45 @@ def fillings(gap: int, left: np.ndarray, slack: int, width: int = 6, most: int =
     return kept
 
 
+def all_fillings(gap: int, left: np.ndarray):
+    """Every undominated filling of gap, one at a time, larger pieces first; None for each set that was looked at and is dominated.
+
+    A filling is dominated if one more piece fits, or if a spare piece can stand for some of its pieces (two or more, or a smaller
+    one) within the waste. There may be very many: the caller stops.
+    """
+    sizes = [int(x) for x in np.flatnonzero(left[: gap + 1])[::-1]]
+    have, used = [int(left[x]) for x in sizes], [0] * len(sizes)
+    spare = sum(1 << x for x in sizes)
+    items: list[int] = []
+    i = 0
+    while True:
+        while i < len(sizes) and gap:
+            if sizes[i] <= gap and used[i] < have[i]:
+                items.append(i)
+                used[i] += 1
+                gap -= sizes[i]
+                if used[i] == have[i]:
+                    spare ^= 1 << sizes[i]
+            else:
+                i += 1
+        one = many = 0  # sums of one of the pieces, of two and more, as bits
+        for k in items:
+            many |= (many | one) << sizes[k]
+            one |= 1 << sizes[k]
+        larger = many
+        for more in range(1, gap + 1):
+            larger |= (1 | one | many) << more
+        yield None if larger & spare else tuple(sizes[k] for k in items)
+        if not items:
+            return
+        i = items.pop()
+        if used[i] == have[i]:
+            spare ^= 1 << sizes[i]
+        used[i] -= 1
+        gap += sizes[i]
+        i += 1
+
+
 def lower_bound(left: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: by total size, and by pieces over half with what cannot lie beside them."""
     n = np.arange(len(left))
@@ -187,8 +227,9 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=
     Branches go depth first from the largest piece left; of the undominated fillings the one with the largest sum of powers comes
     first, which saves small pieces for gaps that need them. Each exponent in weights is one search with its share of nodes, and
     what one search finds is the next one's incumbent. A descent to a full packing takes about one node for each length, so each
-    search gets two for each length besides its share. nodes bounds the search, never the result: when it runs out, the best packing
-    so far stands.
+    search gets two for each length besides its share. These searches branch over a few good fillings; a last one branches over all
+    undominated ones. A filling is always applied as often as the counts allow. nodes bounds the search, never the result: when it
+    runs out, the best packing so far stands.
     """
     counts = counts.astype(np.int64)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
@@ -197,7 +238,7 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=
         if bins_of(best) <= bound:
             break
         best = _search(counts, capacity, best, bound, weight, share)
-    return best
+    return best if bins_of(best) <= bound else _search(counts, capacity, best, bound, weights[0], share, every=True)
 
 
 def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
@@ -207,8 +248,11 @@ def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
     return items
 
 
-def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
-    """The best packing that a search with this weight finds within nodes, the last descent to its end; best is the incumbent."""
+def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int, every: bool = False):
+    """The best packing that a search with this weight finds within nodes, the last descent to its end; best is the incumbent.
+
+    every: branch over all undominated fillings, after the good ones.
+    """
     total = int((np.arange(len(counts)) * counts).sum())
     path: list[tuple[tuple, int]] = []
     spent, down = 0, True
@@ -218,10 +262,12 @@ def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
         left[large] -= 1
         slack = (bins_of(best) - 1) * capacity - total - waste
         found = {*fillings(capacity - large, left, slack, most=3), best_fit_filling(capacity - large, left)}
+        rest = all_fillings(capacity - large, left.copy()) if every else ()
         if large < capacity and left[capacity - large]:
-            found = {(capacity - large,)}
+            found, rest = {(capacity - large,)}, ()
         left[large] += 1
-        return iter(sorted(((large, *f) for f in found), key=lambda f: -sum(x**weight for x in f)))
+        good = sorted(((large, *f) for f in found), key=lambda f: -sum(x**weight for x in f))
+        return itertools.chain(good, (None if f is None or f in found else (large, *f) for f in rest))
 
     first = counts.copy()
     stack = [(first, 0, expand(first, 0), 0)] if counts.any() else []
@@ -229,11 +275,13 @@ def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int):
         left, waste, options, depth = stack[-1]
         del path[depth:]
         down = False
-        items = next(options, None)
-        if items is None:
+        items = next(options, ())
+        if items == ():
             stack.pop()
             continue
         spent += 1
+        if items is None:
+            continue
         n = times_of(items, left)
         lost = waste + n * (capacity - sum(items))
         if total + lost > (bins_of(best) - 1) * capacity:

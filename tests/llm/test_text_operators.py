@@ -84,6 +84,26 @@ def test_searches_complete_with_all_lengths_and_large_counts():
     assert pack.lower_bound(counts, 1024) <= pack.bins_of(patterns) < 26_422_000
 
 
+def test_fillings_of_many_small_pieces():
+    """The optimum needs a filling that the good ones leave out."""
+    for capacity, lengths in ((30, [2, 2, 4, 4, 5, 5, 5, 6, 6, 7, 7, 7, 12, 18]), (49, [3, 6, 7, 8, 9, 10, 10, 12, 12, 16, 19, 35])):
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        assert pack.bins_of(pack.complete_bins(counts, capacity, nodes=3000)) == brute_bins(lengths, capacity) == 3
+
+
+def test_all_fillings_are_the_undominated_ones():
+    for seed in range(40):
+        rng = random.Random(seed)
+        lengths, gap = [rng.randint(1, 12) for _ in range(7)], rng.randint(3, 20)
+        sets = {tuple(sorted((x for k, x in enumerate(lengths) if m >> k & 1), reverse=True)) for m in range(1 << 7)}
+        sets = {f for f in sets if sum(f) <= gap}
+        got = [f for f in pack.all_fillings(gap, np.bincount(lengths, minlength=gap + 1)) if f is not None]
+        assert len(got) == len(set(got)) and set(got) <= sets
+        assert all(any(pack.fits_into(f, g) for g in got) for f in sets)
+        if len(set(lengths)) == len(lengths):
+            assert not any(f != g and pack.fits_into(f, g) for f in got for g in sets)
+
+
 def test_pieces_and_places(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
