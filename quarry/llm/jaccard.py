@@ -124,7 +124,7 @@ def _prefixes(width: int, percent: int, weights):
                     most = int(missing_allowed(size, percent)) + 2
                     order = np.argsort((weight[_slots(own)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")
                     prefixes.append(own[order[:most]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "cid", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "version", "cid", "n", "prefix"])
 
     return run
 
@@ -170,9 +170,12 @@ class Join:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cid and tokens of the classes wanted (cid). The list of their documents is broadcast if short, else joined by shuffling texts."""
-        wanted = cut(wanted.join(self.classes, "cid").filter("first is not null").select(F.col("first").alias("doc_id"), "cid"), "wanted")
-        texts = self.docs.join(short_list(wanted), "doc_id").select("cid", "text")
-        return cut(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
+        wanted = cut(wanted.join(self.classes, "cid").select(F.col("first").alias("__doc"), F.col("version").alias("__version"), "cid"), "wanted")
+        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("version") == F.col("__version"))
+        texts = self.docs.join(short_list(wanted), same).select("cid", "text")
+        sets = cut(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
+        # rows that share the doc_id and the text bring their class more than once
+        return cut(sets.dropDuplicates(["cid"]), "sets") if sets.count() > wanted.count() else sets
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -276,11 +279,18 @@ def cross_pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id for each row of docs (doc_id, text)."""
+    return component_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def component_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """What jaccard_components gives, with version (xxhash64 of the text) and comp, which names the component whatever its ids; null for empty sets."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
     weights = spark.sparkContext.broadcast(token_weights(docs, width))
-    rows = cut(docs.mapInArrow(_prefixes(width, percent, weights), "doc_id long, cid long, n long, prefix array<long>"), "prefixes")
-    classes = cut(rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    rows = cut(docs.mapInArrow(_prefixes(width, percent, weights), "doc_id long, version long, cid long, n long, prefix array<long>"), "prefixes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
+    classes = rows.filter("cid is not null").groupBy("cid").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = cut(classes.select("cid", F.col("least.doc_id").alias("first"), F.col("least.version").alias("version"), "n", "prefix"), "classes")
     tokens = classes.select("cid", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     index = cut(tokens.join(shared.hint("merge"), "token"), "index")
@@ -309,9 +319,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     join.add(links.unionByName(join.families(cut(twos, "twos"))))
     named = join.labelled(classes.select("cid", "first"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = cut(named.join(smallest, "comp").select(F.col("cid").alias("class_id"), "component_id"), "named")
-    out = rows.select("doc_id", "n", "cid").join(named.hint("merge"), F.col("cid") == F.col("class_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")
+    named = cut(named.join(smallest, "comp").select(F.col("cid").alias("class_id"), "component_id", "comp"), "named")
+    out = rows.select("doc_id", "version", "n", "cid").join(named.hint("merge"), F.col("cid") == F.col("class_id"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id", "version", "comp")
 
 
 def op2_jaccard_join(spark, sf_dir):

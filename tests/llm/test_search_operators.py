@@ -71,6 +71,15 @@ def test_join_of_nothing_and_null_ids(spark):
     assert got == [(5, 5), (5, 5), (6, 6), (None, 5)]
 
 
+def test_null_ids_take_part_in_links(spark):
+    """A text that only rows with a null id have is a near copy of one document, and joins two others."""
+    w = [f"w{i}" for i in range(60)]
+    text = lambda a: " ".join([*(f"x{i}" for i in range(a)), *w[a:]])
+    docs = [(None, text(4)), (None, text(4)), (8, text(0)), (9, text(8)), (None, "p q r s t u v w x y"), (None, "p q r s t u v w x y z"), (4, "none of these")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80).collect()), key=str)
+    assert got == [(4, 4), (8, 8), (9, 8), (None, 8), (None, 8), (None, None), (None, None)]
+
+
 def test_shingles_read_whole_texts():
     big = [f"t{i} " * (i * 700 + 1) for i in range(12)]
     offsets, _ = shingles.shingle_sets(pa.array(ODD + big), 3)
