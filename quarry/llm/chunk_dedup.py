@@ -11,7 +11,7 @@ Counting digests is partially aggregated and the join that brings the verdict ba
 digest's rows together, so a passage that a third of the documents share does not gather in one task.
 
 Defined cases: null and empty texts have no chunks; repeats within one document are left alone; rows that share a doc_id
-count as one document, and a row with a null doc_id takes no part; a document all of whose text is a copy ends up empty;
+count as one document when it is settled who keeps a chunk, but each text has spans of its own; a row with a null doc_id takes no part; a document all of whose text is a copy ends up empty;
 other columns stay as they are.
 """
 
@@ -85,7 +85,7 @@ def _chunks(radius: int, limit: int = 4 << 20):
 
     digest = xxhash.xxh3_64_intdigest
 
-    def block(ids, texts):
+    def block(ids, versions, texts):
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes + PAD) - sizes
         whole = bytearray(int(begins[-1] + sizes[-1] + PAD))
@@ -98,30 +98,32 @@ def _chunks(radius: int, limit: int = 4 << 20):
         a, b, doc = edges[real], edges[real + 1], doc[real]
         view = memoryview(bytes(whole))
         digests = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array((a - begins[doc]).astype(np.int32)), pa.array((b - begins[doc]).astype(np.int32)), pa.array(digests)], names=["doc_id", "start", "stop", "digest"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(versions, np.int64)[doc]), pa.array((a - begins[doc]).astype(np.int32)), pa.array((b - begins[doc]).astype(np.int32)), pa.array(digests)], names=["doc_id", "version", "start", "stop", "digest"])
 
     def run(batches):
         for batch in batches:
-            ids, texts, held = [], [], 0
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids, versions, texts, held = [], [], [], 0
+            for doc, text, version in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = (text.as_py() or "").replace("\0", " ").encode() if doc.is_valid else b""
                 if not data:
                     continue
                 ids.append(doc.as_py())
+                versions.append(version.as_py())
                 texts.append(data)
                 held += len(data)
                 if held > limit:
-                    yield block(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield block(ids, versions, texts)
+                    ids, versions, texts, held = [], [], [], 0
             if ids:
-                yield block(ids, texts)
+                yield block(ids, versions, texts)
 
     return run
 
 
 def chunks(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, start, stop (bytes of the UTF-8 text) and digest of every chunk."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(radius), "doc_id long, start int, stop int, digest long")
+    """doc_id, version (xxhash64 of the text), start, stop (bytes of the UTF-8 text) and digest of every chunk."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
+    return rows.mapInArrow(_chunks(radius), "doc_id long, version long, start int, stop int, digest long")
 
 
 def repeated_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -129,35 +131,40 @@ def repeated_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_B
 
     A span is a run of adjacent chunks that are each found in two documents or more, min_bytes long together; it is reported in
     parts of one keeper kind: kept is true where this document is the first to have the chunks. keeper: the smallest id that has
-    the first of the chunks.
+    the first of the chunks. Of rows that share a doc_id but not their text, each text has its spans.
     """
+    return text_spans(docs, radius, min_bytes).drop("version")
+
+
+def text_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """repeated_spans with version, the xxhash64 of the text that the offsets are of; rows with equal doc_id and text have their spans once."""
     shared = chunks(docs, radius).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").select("digest", "keeper")
-    hits = chunks(docs, radius).join(shared, "digest").select("doc_id", "start", "stop", "keeper")
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    hits = chunks(docs, radius).join(shared, "digest").select("doc_id", "version", "start", "stop", "keeper")
+    order = Window.partitionBy("doc_id", "version").orderBy("start", "stop")
     first = F.col("keeper") == F.col("doc_id")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.coalesce((reach < F.col("start")).cast("int"), F.lit(1))
     turn = F.when((gap == 1) | F.coalesce(F.lag(first).over(order) != first, F.lit(True)), 1).otherwise(0)
     marked = hits.withColumn("gap", gap).withColumn("turn", turn).withColumn("run", F.sum("gap").over(order)).withColumn("part", F.sum("turn").over(order))
-    parts = marked.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("keeper", "start").alias("keeper"))
-    whole = Window.partitionBy("doc_id", "run")
+    parts = marked.groupBy("doc_id", "version", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("keeper", "start").alias("keeper"))
+    whole = Window.partitionBy("doc_id", "version", "run")
     return (
         parts.withColumn("whole", F.max("stop").over(whole) - F.min("start").over(whole))
         .filter(F.col("whole") >= min_bytes)
-        .select("doc_id", "start", "stop", "keeper", (F.col("keeper") == F.col("doc_id")).alias("kept"))
+        .select("doc_id", "version", "start", "stop", "keeper", (F.col("keeper") == F.col("doc_id")).alias("kept"))
     )
 
 
 def drop_repeats(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs whose text has lost the spans that a document with a smaller id keeps."""
-    spans = cut(repeated_spans(docs, radius, min_bytes).filter("not kept"), "repeat-spans")
-    lost = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__lost"))
-    joined = docs.join(lost, F.col("doc_id") == F.col("__doc"), "left")
+    spans = cut(text_spans(docs, radius, min_bytes).filter("not kept"), "repeat-spans")
+    lost = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__lost"))
+    joined = docs.join(lost, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
     data = F.encode("text", "UTF-8")
     begin = F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "UTF-8").alias("kept"))
     folded = F.aggregate("__lost", begin, lambda s, x: F.struct(x.stop.alias("at"), F.concat(s.kept, F.substring(data, s.at + 1, F.greatest(x.start - s.at, F.lit(0)))).alias("kept")), lambda s: F.concat(s.kept, F.substring(data, s.at + 1, F.octet_length("text"))))
     text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.decode(folded, "UTF-8"))
-    return joined.withColumn("text", text).drop("__doc", "__lost")
+    return joined.withColumn("text", text).drop("__doc", "__version", "__lost")
 
 
 def op7_substring_dedup(spark, sf_dir):

@@ -277,6 +277,18 @@ def test_copies_repeats_and_nothing(spark):
     assert chunk_dedup.repeated_spans(twice).count() == 0
 
 
+def test_texts_under_one_id_keep_their_own_offsets(spark):
+    rng = random.Random(4)
+    passage, one, two = prose(rng, 120), prose(rng, 300), prose(rng, 300)
+    docs = spark.createDataFrame([(1, passage), (7, passage + " " + one), (7, two)], "doc_id long, text string")
+    after = [r.text for r in chunk_dedup.drop_repeats(docs).collect()]
+    assert two in after and passage in after and len(after) == 3
+    cleaned = next(t for t in after if t not in (two, passage))
+    assert len(cleaned) < len(one) + 60 and cleaned.endswith(one[60:])
+    spans = [r for r in chunk_dedup.repeated_spans(docs).collect() if r.doc_id == 7]
+    assert len(spans) == 1 and spans[0].start == 0 and not spans[0].kept
+
+
 def test_gear_hash_rolls():
     data = np.frombuffer(b"the quick brown fox jumps over", np.uint8)
     h = chunk_dedup.gear_hashes(data)
