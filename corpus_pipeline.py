@@ -38,11 +38,25 @@ def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies (five-word shingles, similarity 0.8)."""
+    """One row of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    A null id comes after all others; of rows with equal ids the one whose text has the smallest hash stays, and of rows with equal
+    ids and texts any one. Rows without words are components of their own and all stay.
+    """
     prepare(spark)
-    found = jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = cut(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__doc")).distinct(), "near-copies")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc"), "left_anti").select(*docs.columns)
+    rows = jaccard.component_rows(docs, width=5, percent=80).filter("comp is not null")
+    found = cut(rows.groupBy("comp", "doc_id", "version").agg(F.count("*").alias("n")), "near-copies")
+    keeper = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("k"))
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("version") == F.col("k.version"))
+    named = found.join(keeper, "comp").select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "n", stays.alias("stays"))
+    marked = cut(named.filter("not stays or n > 1"), "near-copies-marked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__version"))
+    left = docs.join(marked.filter("not stays").hint("merge"), same, "left_anti")
+    repeated = marked.filter("stays")
+    if not repeated.isEmpty():
+        once = left.join(repeated.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated.hint("merge"), same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def drop_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_stages(spark, folder):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, null ids, and two texts under one id."""
+    w = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join(w), " ".join(w[:-1]), " ".join(f"y{i}" for i in range(40))
+    rows = [(3, near), (3, near), (5, other), (5, third), (None, near), (None, "a b c d e f g"), (None, "a b c d e f g"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, near), (5, third), (None, "a b c d e f g"), (9, ""), (9, ""), (None, None)], key=str)
+
+
 def test_run_equals_stages(spark, folder):
     rows = P.run(spark, folder).collect()
     assert {r.doc_id for r in rows} == set(range(240)) - {i for i in range(240) if i % 6 == 0} - {50, 52}
