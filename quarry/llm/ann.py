@@ -3,8 +3,9 @@
 Rows are dealt to shards of bounded size by a hash of their id. A shard's graph is built by inserting rows in growing batches:
 greedy beam searches over the graph so far propose neighbours, relaxed distance pruning keeps a diverse set of edges (an edge
 goes when a kept neighbour is closer to its end by the factor alpha), reverse edges are added and pruned alike. Queries are
-answered by beam search in every shard, rescored in double precision on the original vectors, and merged. Equal vectors in a
-shard are one node that lists its ids, so a vector that a third of the rows share is found with all of its ids.
+answered by beam search in every shard, the whole beam rescored in double precision on the original vectors, and merged. Vectors of
+one direction (equal unit vectors in single precision) in a shard are one node that lists its ids, so a vector that a third of the
+rows share, in whatever lengths, is found with all of its ids.
 
 Every row is indexed. Queries come in chunks of bounded size; a task holds one shard and one chunk. Searches of a batch walk
 in step, as matrix operations.
@@ -137,19 +138,21 @@ def _search_shard(chunk, top: int, width: int, beam: int, degree: int):
         if len(ids):
             order = np.argsort(ids, kind="stable")
             ids, rows, length = ids[order], rows[order], length[order]
-            _, first, node = np.unique(rows, axis=0, return_index=True, return_inverse=True)
-            members = np.argsort(node, kind="stable")
-            begin = np.searchsorted(node[members], np.arange(len(first) + 1))
-            points = (rows[first] / length[first][:, None]).astype(np.float32)
+            points, node = np.unique((rows / length[:, None]).astype(np.float32), axis=0, return_inverse=True)
+            # of the ids of equal vectors, top + 1 are enough: one may be the query's own, and smaller ids win ties
+            _, vector = np.unique(rows, axis=0, return_inverse=True)
+            same = np.argsort(vector, kind="stable")
+            place = np.arange(len(same)) - np.searchsorted(vector[same], vector[same])
+            members = np.sort(same[place <= top])
+            members = members[np.argsort(node[members], kind="stable")]
+            begin = np.searchsorted(node[members], np.arange(len(points) + 1))
             edges, entry = build_graph(points, degree)
             unit = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32)
             for at in range(0, len(qid), STEP):
                 near, _ = beam_search(points, edges, entry, unit[at : at + STEP], beam)
-                near = near[:, : 4 * top + 8]
                 for k, found in enumerate(near):
                     nodes = found[found >= 0]
-                    # of a node's ids, top + 1 are enough: one may be the query's own, and smaller ids win ties
-                    spread = [members[begin[v] : min(begin[v + 1], begin[v] + top + 1)] for v in nodes]
+                    spread = [members[begin[v] : begin[v + 1]] for v in nodes]
                     cand = np.concatenate(spread) if spread else np.array([], int)
                     cand = cand[ids[cand] != qid[at + k]]
                     a = q[at + k]

@@ -71,6 +71,21 @@ def test_join_of_nothing_and_null_ids(spark):
     assert got == [(5, 5), (5, 5), (6, 6), (None, 5)]
 
 
+def test_one_direction_in_many_lengths():
+    """More rows of one direction than the rescored part of the beam held; the smallest ids win the tie."""
+    rng = np.random.default_rng(3)
+    base = np.array([1.0, 2.0, 2.0, 4.0])
+    vectors = [base * 2.0 ** (i % 90 - 45) for i in range(90)] + list(rng.normal(size=(200, 4)))
+    ids = [*rng.permutation(90).tolist(), *range(1000, 1200)]
+
+    class Chunk:
+        value = (np.array([5000]), base[None])
+
+    shard = pa.table({"vec_id": pa.array(ids, pa.int64()), "v": pa.array([list(v) for v in vectors], pa.list_(pa.float64()))})
+    found = ann._search_shard(Chunk, 5, 4, ann.QUERY_BEAM, ann.DEGREE)(shard)
+    assert found.column("vec_id").to_pylist() == [0, 1, 2, 3, 4]
+
+
 def test_null_ids_take_part_in_links(spark):
     """A text that only rows with a null id have is a near copy of one document, and joins two others."""
     w = [f"w{i}" for i in range(60)]
