@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, spend, table
 from quarry.llm.components import components
 from quarry.llm.shingles import shingle_sets, shingles, slices
 
@@ -157,6 +157,13 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
         self.edges = self.labels = None
+        self.used: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table that goes when the links made from it are in."""
+        df = cut(df, name)
+        self.used.append(df)
+        return df
 
     def promising(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a written table) that their prefixes do not rule out. A short list is broadcast, so that prefixes of other classes stay where they are."""
@@ -166,16 +173,16 @@ class Join:
         beyond = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
         most = F.size(F.array_intersect("pa", "pb")) + beyond
         fits = (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
-        return cut(one.join(two, ["a", "b"]).filter(fits).select("a", "b"), "promising")
+        return self.keep(one.join(two, ["a", "b"]).filter(fits).select("a", "b"), "promising")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cid and tokens of the classes wanted (cid). The list of their documents is broadcast if short, else joined by shuffling texts."""
-        wanted = cut(wanted.join(self.classes, "cid").select(F.col("first").alias("__doc"), F.col("version").alias("__version"), "cid"), "wanted")
+        wanted = self.keep(wanted.join(self.classes, "cid").select(F.col("first").alias("__doc"), F.col("version").alias("__version"), "cid"), "wanted")
         same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("version") == F.col("__version"))
         texts = self.docs.join(short_list(wanted), same).select("cid", "text")
-        sets = cut(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
+        sets = self.keep(texts.mapInArrow(_set_rows(self.width), "cid long, tokens array<long>"), "sets")
         # rows that share the doc_id and the text bring their class more than once
-        return cut(sets.dropDuplicates(["cid"]), "sets") if sets.count() > wanted.count() else sets
+        return self.keep(sets.dropDuplicates(["cid"]), "sets") if sets.count() > wanted.count() else sets
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -187,16 +194,24 @@ class Join:
 
     def add(self, links: DataFrame) -> int:
         """Take in links (a, b) that hold, and contract. How many there are."""
-        links = cut(links, "links")
-        self.edges = links if self.edges is None else self.edges.unionByName(links)
-        self.labels = components(self.edges)
-        return links.count()
+        new = cut(links, "links")
+        spend(*self.used)
+        self.used, n = [], new.count()
+        if self.edges is not None:  # what is connected so far goes in as a star around each component
+            before, edges, labels = self.edges, new.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), self.labels
+            self.labels = components(edges)
+            spend(before, labels)
+        else:
+            self.labels = components(new)
+        self.edges = new
+        return n
 
     def families(self, keyed: DataFrame) -> DataFrame:
         """Links among classes that share a key (cid, two), by way of the families that keys make, block by block."""
         hubs = keyed.groupBy("two").agg(F.min("cid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("two", "hub")
         label = components(keyed.join(hubs, "two").select(F.col("hub").alias("a"), F.col("cid").alias("b")))
-        member = cut(label.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(self.classes.select("cid", "n"), "cid"), "family")
+        self.used.append(label)
+        member = self.keep(label.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(self.classes.select("cid", "n"), "cid"), "family")
         blocks = member.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
         placed = member.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = placed.select("cid", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -287,40 +302,53 @@ def component_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
     weights = spark.sparkContext.broadcast(token_weights(docs, width))
-    rows = cut(docs.mapInArrow(_prefixes(width, percent, weights), "doc_id long, version long, cid long, n long, prefix array<long>"), "prefixes")
+    prefixes = cut(docs.mapInArrow(_prefixes(width, percent, weights), "doc_id long, version long, cid long, n long, prefix array<long>"), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
-    classes = rows.filter("cid is not null").groupBy("cid").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = cut(classes.select("cid", F.col("least.doc_id").alias("first"), F.col("least.version").alias("version"), "n", "prefix"), "classes")
-    tokens = classes.select("cid", "n", F.explode("prefix").alias("token"))
+    classes = prefixes.filter("cid is not null").groupBy("cid").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = cut(classes.select("cid", F.col("least.doc_id").alias("first"), F.col("least.version").alias("version"), "n", "prefix", F.size("prefix").alias("long")), "classes")
+    rows = cut(prefixes.select("doc_id", "version", "n", "cid"), "rows")
+    spend(prefixes)
+    tokens = classes.select("cid", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    index = cut(tokens.join(shared.hint("merge"), "token"), "index")
-    join = Join(docs, classes, width, percent)
+    bare = cut(tokens.join(shared.hint("merge"), "token"), "bare-index")
     # partners have two prefix tokens in common at least, so a class that shares fewer with all others together has none
-    met = index.groupBy("cid").agg(F.count("*").alias("met")).filter("met > 1")
-    alone = met.join(classes.select("cid", F.size("prefix").alias("long")), "cid").select("cid", (F.col("long") - F.col("met")).alias("alone"))
-    index = cut(index.join(short_list(cut(alone, "alone")), "cid"), "index")
+    met = bare.groupBy("cid").agg(F.count("*").alias("met")).filter("met > 1")
+    alone = cut(met.join(classes.select("cid", "n", "long"), "cid").select("cid", "n", (F.col("long") - F.col("met")).alias("alone")), "alone")
+    index = cut(bare.join(short_list(alone), "cid").select("token", "cid", "n", "alone"), "index")
+    spend(bare, alone)
+    join = Join(docs, classes, width, percent)
+    at = index.withColumn("comp", F.col("cid"))
     for _ in range(ROUNDS):
-        at = cut(join.labelled(index), "at")
-        hubs = at.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub")
-        met = at.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & close_in_size(F.col("n"), F.col("hub.n"), percent))
-        votes = met.groupBy(F.col("cid").alias("b"), F.col("hub.cid").alias("a")).agg(F.count("*").alias("votes"))
+        hubs = at.groupBy("token").agg(F.min(F.struct("alone", "cid", "n", "comp")).alias("hub"))
+        near = at.join(hubs, "token").filter((F.col("comp") != F.col("hub.comp")) & close_in_size(F.col("n"), F.col("hub.n"), percent))
+        votes = near.groupBy(F.col("cid").alias("b"), F.col("hub.cid").alias("a")).agg(F.count("*").alias("votes"))
         best = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
         tried = cut(best.select("a", "b"), "tried")
-        if 20 * join.add(join.linked(tried)) < tried.count():
+        few = 20 * join.add(join.linked(tried)) < tried.count()
+        spend(tried)
+        # a bucket whose classes are all connected by now is closed for good
+        at = join.labelled(index.select("token", "cid", "n", "alone"))
+        still = at.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+        at = cut(at.join(still, "token"), "index")
+        spend(index)
+        index = at
+        if few:
             break
-    at = cut(join.labelled(index), "at")
     open_now = cut(open_buckets(at, "token").withColumn("crowded", F.col("cross") > CROWD * F.col("members")), "open")
     inside = at.join(open_now.select("token", "crowded"), "token")
     extra = inside.groupBy("cid").agg(F.count_if("crowded").alias("extra"))
-    plain = cross_pairs(inside.filter("not crowded").join(extra, "cid"), "token", percent)
+    plain = cut(cross_pairs(inside.filter("not crowded").join(extra, "cid"), "token", percent), "pairs")
     many = inside.filter("crowded").groupBy("cid").agg(F.array_sort(F.collect_set("token")).alias("own")).filter(F.size("own") > 1)
     twos = many.select("cid", "own", F.posexplode("own").alias("i", "x")).select("cid", F.explode(F.transform(F.slice("own", F.col("i") + 2, F.size("own")), lambda y: F.xxhash64("x", y))).alias("two"))
-    links = join.linked(cut(plain, "pairs"))
-    join.add(links.unionByName(join.families(cut(twos, "twos"))))
+    twos = cut(twos, "twos")
+    spend(at, open_now)
+    join.add(join.linked(plain).unionByName(join.families(twos)))
+    spend(plain, twos)
     named = join.labelled(classes.select("cid", "first"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = cut(named.join(smallest, "comp").select(F.col("cid").alias("class_id"), "component_id", "comp"), "named")
-    out = rows.select("doc_id", "version", "n", "cid").join(named.hint("merge"), F.col("cid") == F.col("class_id"), "left")
+    spend(classes, join.edges, join.labels)
+    out = rows.join(named.hint("merge"), F.col("cid") == F.col("class_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id", "version", "comp")
 
 
