@@ -1,86 +1,19 @@
-"""What the operators of this folder share: the shared folder, cut tables, table readers."""
+"""What the operators of this folder share: table readers, column names, ASCII rules; written tables come from quarry.scratch."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-import weakref
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.scratch import cut, fresh_path, scoped, spend  # noqa: F401
+
 #: ASCII white space, as every contract of this folder has it.
 SPACE = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none on a local master (tests) a folder of our own takes its place; a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-
-
-#: Where the tables written by cut lie, while their DataFrames live.
-_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
-
-    The shuffle files of the write go as soon as it is done. The table stays until spend() takes it.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _written[out] = path
-    return out
-
-
-def spend(*tables: DataFrame | None) -> None:
-    """Delete tables that cut wrote and that nothing will read again: whatever was made from them is written itself.
-
-    Other DataFrames are left alone.
-    """
-    for df in tables:
-        path = _written.pop(df, None) if df is not None else None
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Rows in an Arrow batch: texts make rows large, and a batch is held several times over on its way to Python and back.
 BATCH_ROWS = 2000
 
@@ -105,5 +38,20 @@ def fold_ascii(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores at its end as it takes to differ from every column of df, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def tasks_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))

@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _powers: dict[str, np.ndarray] = {}
 
 
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n, kept for the next call."""
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -46,7 +46,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before[1:] |= space[:-1]
     after[:-1] |= space[1:]
     begins, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _powers_of(len(data) + 1)
+    up, down = powers_of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     h = (sums[ends] - sums[begins]) * down[begins]
