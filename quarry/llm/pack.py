@@ -8,8 +8,10 @@ already rules out beating the incumbent. The incumbent starts as best-fit decrea
 multiplicities, again bounded by the number of lengths; pieces find their place in it by their rank within their length,
 which comes from counts of salted cells. No task sees all pieces of a length.
 
-Defined cases: null text is empty, and an empty document is the one piece that holds the end mark; equal rows are packed
-each for itself; a null doc_id is carried along; an empty table gives an empty result.
+Defined cases: null text is empty, and an empty document is the one piece that holds the end mark; a very long text becomes as
+many pieces as it fills; equal rows and rows that share a doc_id are packed each for itself; a null doc_id is carried along;
+added tokens of the vocabulary inside a text are one id each; extra columns of docs are left out, extra columns of pieces are
+kept, whatever their names but those of the two added columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +30,27 @@ from quarry.llm.common import cut, table
 from quarry.llm.shard import places
 
 CAPACITY, END = 1024, 2
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 @functools.lru_cache(maxsize=2)
-def encoding(path: str):
-    """The ranks in a file as an encoder; ids equal those of the JSON file of the same vocabulary."""
+def encoding(path: str, vocabulary: str | None = None):
+    """The ranks in a file as an encoder. With the JSON file of the same vocabulary, its added tokens are known as well."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary) if vocabulary else {})
+
+
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, which stand for themselves wherever a text holds them."""
+    with open(vocabulary, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that do not stand for themselves alone: {odd}")
+    return {t["content"]: t["id"] for t in added}
 
 
 def piece_spans(n: int, capacity: int):
@@ -49,9 +61,15 @@ def piece_spans(n: int, capacity: int):
         yield start, capacity
 
 
-def _pieces(path: str, capacity: int, end: int):
+def _pieces(ranks: str, vocabulary: str, capacity: int, end: int):
     def run(batches):
-        encode = encoding(path).encode_ordinary
+        coder = encoding(ranks, vocabulary)
+        names = coder.special_tokens_set
+
+        def encode(text: str) -> list[int]:
+            """Ids as the JSON file's reader gives them: added tokens inside a text are taken whole."""
+            return coder.encode(text, allowed_special="all") if any(x in text for x in names) else coder.encode_ordinary(text)
+
         for batch in batches:
             rows, held = ([], [], [], [], []), 0
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -74,13 +92,15 @@ def _piece_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
 
-def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document."""
-    if vocabulary is None:
-        import public_tokenizers
+def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document.
+
+    vocabulary: a tokenizer's JSON file; ranks: the rank file of the same vocabulary, which is read several times as fast.
+    """
+    import public_tokenizers
 
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, capacity, end), "doc_id long, piece int, start long, length long, ids binary")
+    vocabulary, ranks = vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(ranks, vocabulary, capacity, end), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def fits_into(items: tuple, bins: tuple) -> bool:
