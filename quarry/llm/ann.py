@@ -7,11 +7,13 @@ answered by beam search in every shard, the whole beam rescored in double precis
 one direction (equal unit vectors in single precision) in a shard are one node that lists its ids, so a vector that a third of the
 rows share, in whatever lengths, is found with all of its ids.
 
-Every row is indexed. Queries come in chunks of bounded size; a task holds one shard and one chunk. Searches of a batch walk
-in step, as matrix operations.
+Every row is indexed. Graphs are built once and written, a row for each shard; queries come in chunks of bounded size, and a
+task holds one shard and one chunk. Searches of a batch walk in step, as matrix operations.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components take no part; a shorter vector ends
-in zeros; rows with the query's own vec_id are not its candidates; with fewer candidates than asked, all are returned.
+in zeros; rows with the query's own vec_id are not its candidates; rows that repeat a vec_id are candidates each for itself, and
+as query one of them is asked, the one whose vector sorts first; ties go to the smaller vec_id; with fewer candidates than asked, all are returned; a row
+without vec_id takes no part; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table, tasks_for
-from quarry.llm.vectors import best_per_query, matrix, query_chunks, usable
+from quarry.llm.common import cut, scoped, spend, table, tasks_for
+from quarry.llm.vectors import best_per_query, by_chunks, matrix, usable
 
 TOP, SHARD_ROWS, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, QUERY_CHUNK, STEP = 5, 4096, 32, 64, 128, 1.2, 8192, 512
 FOUND = "query_id long, vec_id long, score double"
@@ -128,61 +130,89 @@ def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: flo
     return edges, entry
 
 
-def _search_shard(chunk, top: int, width: int, beam: int, degree: int):
+#: A shard's graph: node vectors, edges and, by node, the rows that stand for it. A shard has shard_rows rows on average.
+GRAPH = "shard long, entry int, nodes int, points binary, edges binary, begin binary, ids binary, rows binary"
+
+
+def _build_shard(top: int, width: int, degree: int):
     def run(shard: pa.Table) -> pa.Table:
-        qid, q = chunk.value
         ids, rows = shard.column("vec_id").to_numpy(), matrix(shard.column("v"), width)
-        length = np.sqrt((rows * rows).sum(axis=1))
-        ids, rows, length = ids[length > 0], rows[length > 0], length[length > 0]
-        out = ([], [], [])
-        if len(ids):
-            order = np.argsort(ids, kind="stable")
-            ids, rows, length = ids[order], rows[order], length[order]
-            points, node = np.unique((rows / length[:, None]).astype(np.float32), axis=0, return_inverse=True)
-            # of the ids of equal vectors, top + 1 are enough: one may be the query's own, and smaller ids win ties
-            _, vector = np.unique(rows, axis=0, return_inverse=True)
-            same = np.argsort(vector, kind="stable")
-            place = np.arange(len(same)) - np.searchsorted(vector[same], vector[same])
-            members = np.sort(same[place <= top])
-            members = members[np.argsort(node[members], kind="stable")]
-            begin = np.searchsorted(node[members], np.arange(len(points) + 1))
-            edges, entry = build_graph(points, degree)
-            unit = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32)
-            for at in range(0, len(qid), STEP):
-                near, _ = beam_search(points, edges, entry, unit[at : at + STEP], beam)
-                for k, found in enumerate(near):
-                    nodes = found[found >= 0]
-                    spread = [members[begin[v] : begin[v + 1]] for v in nodes]
-                    cand = np.concatenate(spread) if spread else np.array([], int)
-                    cand = cand[ids[cand] != qid[at + k]]
-                    a = q[at + k]
-                    cos = (rows[cand] * a).sum(axis=1) / (length[cand] * np.sqrt((a * a).sum()))  # row by row alike, so equal vectors tie
-                    best = np.lexsort((ids[cand], -cos))[:top]
-                    out[0].append(np.full(len(best), qid[at + k]))
-                    out[1].append(ids[cand[best]])
-                    out[2].append(cos[best])
-        flat = [np.concatenate(x) if x else np.array([]) for x in out]
-        return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
+        order = np.argsort(ids, kind="stable")
+        ids, rows = ids[order], rows[order]
+        points, node = np.unique((rows / np.sqrt((rows * rows).sum(axis=1))[:, None]).astype(np.float32), axis=0, return_inverse=True)
+        # of the ids of equal vectors, top + 1 are enough: one may be the query's own, and smaller ids win ties
+        _, vector = np.unique(rows, axis=0, return_inverse=True)
+        same = np.argsort(vector, kind="stable")
+        place = np.arange(len(same)) - np.searchsorted(vector[same], vector[same])
+        members = np.sort(same[place <= top])
+        members = members[np.argsort(node[members], kind="stable")]
+        begin = np.searchsorted(node[members], np.arange(len(points) + 1))
+        edges, entry = build_graph(points, degree)
+        cells = (points.astype("<f4"), edges.astype("<i4"), begin.astype("<i4"), ids[members].astype("<i8"), rows[members].astype("<f8"))
+        name = shard.column("shard")[0].as_py()
+        return pa.table([pa.array([name], pa.int64()), pa.array([entry], pa.int32()), pa.array([len(points)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=["shard", "entry", "nodes", "points", "edges", "begin", "ids", "rows"])
+
+    return run
+
+
+def _search_graphs(chunk, top: int, width: int, beam: int, degree: int):
+    def run(batches):
+        qid, q = chunk.value
+        unit = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32)
+        for batch in batches:
+            for g in batch.to_pylist():
+                points = np.frombuffer(g["points"], "<f4").reshape(g["nodes"], width)
+                edges = np.frombuffer(g["edges"], "<i4").reshape(g["nodes"], degree)
+                begin, ids, rows = np.frombuffer(g["begin"], "<i4"), np.frombuffer(g["ids"], "<i8"), np.frombuffer(g["rows"], "<f8").reshape(-1, width)
+                length = np.sqrt((rows * rows).sum(axis=1))
+                out = ([], [], [])
+                for at in range(0, len(qid), STEP):
+                    near, _ = beam_search(points, edges, g["entry"], unit[at : at + STEP], beam)
+                    for k, found in enumerate(near):
+                        nodes = found[found >= 0]
+                        cand = np.concatenate([np.arange(begin[v], begin[v + 1]) for v in nodes])
+                        cand = cand[ids[cand] != qid[at + k]]
+                        a = q[at + k]
+                        cos = (rows[cand] * a).sum(axis=1) / (length[cand] * np.sqrt((a * a).sum()))  # row by row alike, so equal vectors tie
+                        best = np.lexsort((ids[cand], -cos))[:top]
+                        out[0].append(np.full(len(best), qid[at + k]))
+                        out[1].append(ids[cand[best]])
+                        out[2].append(cos[best])
+                flat = [np.concatenate(x) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def build_graphs(vectors: DataFrame, top: int, width: int, degree: int = DEGREE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The written graphs of all shards of vectors (vec_id, v without zero vectors; a written table)."""
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(tasks_for(vectors.count(), shard_rows)))
+    return cut(vectors.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard(top, width, degree), GRAPH), "ann-graphs")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, beam: int = QUERY_BEAM, degree: int = DEGREE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) of each query's nearest found. vectors and queries: vec_id and v."""
     spark = vectors.sparkSession
-    vectors = cut(vectors, "ann-rows")
-    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
-    found = None
     nonzero = F.exists("v", lambda x: x != 0)
-    for qid, q in query_chunks(queries.filter(nonzero), QUERY_CHUNK):
-        q = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width]
+    vectors = cut(vectors.filter(nonzero), "ann-rows")
+    width, asked = (df.agg(F.max(F.size("v"))).first()[0] for df in (vectors, queries))
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not width or not asked:
+        return nothing
+    width = max(width, asked)
+    graphs = build_graphs(vectors, top, width, degree, shard_rows)
+    spend(vectors)
+
+    def search(qid, q):
         chunk = spark.sparkContext.broadcast((qid, q))
-        shard = F.pmod(F.xxhash64("vec_id"), F.lit(tasks_for(n, shard_rows)))
-        part = vectors.withColumn("shard", shard).groupBy("shard").applyInArrow(_search_shard(chunk, top, width, beam, degree), FOUND)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return best_per_query(found, top)
+        with scoped(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": 1}):  # a shard's graph at a time
+            found = cut(best_per_query(graphs.mapInArrow(_search_graphs(chunk, top, width, beam, degree), FOUND), top), "ann-found")
+        chunk.destroy()
+        return found
+
+    found = by_chunks(queries.filter(nonzero), QUERY_CHUNK, width, search)
+    spend(graphs)
+    return nothing if found is None else found
 
 
 def op6_graph_neighbours(spark, sf_dir):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import tasks_for
+from quarry.llm.common import cut, spend, tasks_for
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -33,19 +33,28 @@ def matrix(column, width: int | None = None) -> np.ndarray:
     return out
 
 
-def query_chunks(queries: DataFrame, per_chunk: int):
-    """Query ids and vectors, chunk by chunk, each of about per_chunk rows: all that is ever on the driver or broadcast at once."""
+def by_chunks(queries: DataFrame, per_chunk: int, width: int, search) -> DataFrame | None:
+    """search(ids, vectors) for chunk after chunk of the queries, each of about per_chunk rows; the written results together, or None.
+
+    One chunk at a time is on the driver and broadcast, whatever the number of queries. Queries are written once by chunk, so a chunk
+    is read from its own files.
+    """
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))  # of rows that repeat an id one is asked
     n = queries.count()
-    chunks = tasks_for(n, per_chunk)
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(chunks))
-    for k in range(chunks if n else 0):
-        got = queries.filter(part == k).select("vec_id", "v").toArrow()
+    chunk = F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(tasks_for(n, per_chunk))).cast("int")
+    dealt = cut(queries.select("vec_id", "v", chunk.alias("chunk")), "queries", by="chunk")
+    out = None
+    for k in range(tasks_for(n, per_chunk) if n else 0):
+        got = dealt.filter(F.col("chunk") == k).select("vec_id", "v").toArrow()
         if got.num_rows:
-            yield got.column("vec_id").to_numpy(), matrix(got.column("v"))
+            found = search(got.column("vec_id").to_numpy(), matrix(got.column("v"), width))
+            out = found if out is None else out.unionByName(found)
+    spend(dealt)
+    return out
 
 
 def best_per_query(found: DataFrame, top: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the top of each query, ties to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the top of each query, ties to the smaller vec_id. A task brings at most top rows of a query."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -81,8 +81,9 @@ def test_one_direction_in_many_lengths():
     class Chunk:
         value = (np.array([5000]), base[None])
 
-    shard = pa.table({"vec_id": pa.array(ids, pa.int64()), "v": pa.array([list(v) for v in vectors], pa.list_(pa.float64()))})
-    found = ann._search_shard(Chunk, 5, 4, ann.QUERY_BEAM, ann.DEGREE)(shard)
+    shard = pa.table({"vec_id": pa.array(ids, pa.int64()), "v": pa.array([list(v) for v in vectors], pa.list_(pa.float64())), "shard": pa.array([0] * len(ids), pa.int64())})
+    graphs = ann._build_shard(5, 4, ann.DEGREE)(shard).to_batches()
+    found = pa.Table.from_batches(list(ann._search_graphs(Chunk, 5, 4, ann.QUERY_BEAM, ann.DEGREE)(graphs)))
     assert found.column("vec_id").to_pylist() == [0, 1, 2, 3, 4]
 
 
@@ -194,6 +195,44 @@ def test_top_products_equal_brute_force(spark, top):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("size", [3e7, 2.0**40])
+def test_large_products_are_exact(spark, size):
+    """Beyond 2**53, and beyond 2**62 where what is left after cancelling fits a long."""
+    rows = [(0, [size, 1.0], ""), (1, [size, 1 / 64], ""), (2, [size, 2 / 64], ""), (3, [-size, 3.0], ""), (20, [1.0, -5.0], "")]
+    if size > 1e9:
+        rows = [(0, [size, 1.0], ""), (1, [1 / 64, 7.0], ""), (2, [1 / 64, 6.0], ""), (3, [0.0, -3.0], "")]
+    ints = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string").drop("v"))
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_products(ints, ints.filter("vec_id = 0")).collect())
+    whole = {i: [int(64 * x // 1) for x in v] for i, v, _ in rows}
+    want = sorted(((sum(a * b for a, b in zip(whole[0], w, strict=True)), i) for i, w in whole.items() if i), key=lambda t: (-t[0], t[1]))
+    assert got == [(k + 1, i, s) for k, (s, i) in enumerate(want)]
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>")
+    ints = topk.integers(rows)
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big"):
+        topk.top_products(ints, ints).collect()
+
+
+def test_repeated_ids_and_ties(spark):
+    rows = vector_table(spark, [(0, [1.0, 0.0], ""), (0, [0.0, 1.0], ""), (1, [1.0, 1.0], ""), (2, [1.0, 1.0], ""), (2, [1.0, 1.0], ""), (None, [9.0, 9.0], "")])
+    ints, near = topk.integers(rows), usable(rows)
+    asked = [[(r["rank"], r.vec_id) for r in found.orderBy("rank").collect()] for found in (topk.top_products(ints, ints.filter("vec_id = 0")), ann.nearest(near, near.filter("vec_id = 0")))]
+    assert asked == [[(1, 1), (2, 2), (3, 2)]] * 2
+
+
+def test_many_chunks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 7)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(60, 4)), 3)
+    rows = vector_table(spark, [(i, v.tolist(), "") for i, v in enumerate(x)])
+    ints, near = topk.integers(rows), usable(rows)
+    assert topk.top_products(ints, ints.filter("vec_id % 2 = 0"), 3).groupBy("query_id").count().filter("count = 3").count() == 30
+    assert ann.nearest(near, near.filter("vec_id % 2 = 0"), 3).groupBy("query_id").count().filter("count = 3").count() == 30
+
+
 def test_few_and_no_vectors(spark):
     two = topk.integers(vector_table(spark, [(0, [1.0, 0.0], ""), (1, [0.5, 0.5], "")]))
     assert [(r.query_id, r.vec_id, r.score) for r in topk.top_products(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 2048)]
