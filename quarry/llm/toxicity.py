@@ -7,11 +7,15 @@ words around it: inside quotation marks, or after a word that reports speech, it
 regression over hit counts gives the score. Scoring is one pass over the texts without a shuffle.
 
 The lexicon and the regression are fitted on a bounded sample: the SAMPLE_ROWS labelled rows with the smallest hash of doc_id.
-Nothing but that sample's ids, the lexicon (at most MAX_TERMS) and a few weights reaches the driver or a broadcast.
-
-Defined cases: null text counts as empty and gets the score of a text without hits; without labelled rows of both kinds
-there is no lexicon and every score is the base rate (0.5 * (toxic + 1) / (rows + 2) at its smallest sample); repeated rows
-get equal scores; a null doc_id is held out; a doc_id labelled twice with both values is left out of the fit.
+Nothing but that sample's ids, the lexicon and a few weights reaches the driver or a broadcast. The lexicon has all terms that the
+evidence test admits; a term must stand in 0.2 % of the toxic rows of the sample, so there are at most 500 times as many as one
+such row has on average, whatever the corpus.
+
+Defined cases: null text counts as empty and gets the score of a text without hits; a text of any length is read as a whole;
+without labelled rows of both kinds there is no lexicon and every score is the base rate, (toxic + 1) / (rows + 2) of the sample;
+repeated rows and ties get equal scores; a null doc_id is held out; a doc_id labelled twice with both values is left out of the
+fit; an empty table gives an empty result; extra columns are kept, whatever their names: where one is called score, the added
+column gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, free_names, spend, table
 
-SAMPLE_ROWS, MAX_TERMS, PREFIXES, MIN_FUZZY, WINDOW = 20_000, 4096, (4, 5, 6), 5, 6
+#: WINDOW words around a hit are searched for quotation marks, REPORT_WINDOW words before it for a word that reports speech.
+SAMPLE_ROWS, PREFIXES, MIN_FUZZY, WINDOW, REPORT_WINDOW = 20_000, (4, 5, 6), 5, 12, 6
 WORD = re.compile(r"\w+")
 LEET = str.maketrans("013457", "oieast")
 #: Words that report speech, in the languages of the corpus.
@@ -129,28 +134,31 @@ class Automaton:
         return self.found[word]
 
 
-def quoted(text: str, start: int, stop: int) -> bool:
-    """Whether the words around a hit make it a quotation: marks on both sides within the window, or a report before it."""
-    before, after = text[max(0, start - 12 * WINDOW) : start], text[stop : stop + 12 * WINDOW]
+def quoted(text: str, words: list, k: int) -> bool:
+    """Whether the words around the k-th (matches of WORD) make it a quotation: marks on both sides within the window, or a report before it."""
+    start, stop = words[k].span()
+    before = text[words[k - WINDOW - 1].end() if k > WINDOW else 0 : start]
+    after = text[stop : words[k + WINDOW + 1].start() if k + WINDOW + 1 < len(words) else len(text)]
     opened = max((before.rfind(c) for c in OPEN), default=-1)
     closed = max((before.rfind(c) for c in CLOSE if c not in OPEN), default=-1)
     if opened > closed and "\n" not in before[opened:] and any(c in after.split("\n")[0] for c in CLOSE):
         if before[opened] != '"' or before.count('"') % 2:
             return True
-    return any(w in REPORTS for w in words_of(before)[-WINDOW:])
+    return any(m.group() in REPORTS for m in words[max(0, k - REPORT_WINDOW) : k])
 
 
 def features(text: str, lexicon: dict[str, float], machine: Automaton) -> list[float]:
-    """Counts by kind of hit: abuse, misspelt abuse, quotation, weight of the strongest abuse, abuse in a hundred words."""
+    """Counts by kind of hit: abuse, misspelt abuse, quotation, weight of the strongest abuse, abuse in a hundred words (10 stands for more)."""
     lower = text.lower()
     tokens = WORD.findall(lower)
     hits = {w: m for w in set(tokens) if (m := machine.lookup(w))}
     if not hits:
         return [0.0] * 5
     abuse = misspelt = cited = top = 0.0
-    for m in WORD.finditer(lower):
-        if hit := hits.get(m.group()):
-            if quoted(lower, *m.span()):
+    words = list(WORD.finditer(lower))
+    for k, word in enumerate(tokens):
+        if hit := hits.get(word):
+            if quoted(lower, words, k):
                 cited += 1
             else:
                 abuse += 1
@@ -219,7 +227,7 @@ def choose_terms(counts, n_tox: int, n_rest: int, tested: int) -> dict[str, floa
             word = max(words)[1]
             del chosen[term]
             chosen[word] = odds[word][0]
-    return dict(sorted(chosen.items(), key=lambda kv: (-odds[kv[0]][1], kv[0]))[:MAX_TERMS])
+    return chosen
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60):
@@ -240,11 +248,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     ids = usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select(F.col("doc_id").alias("__doc"), "toxic")
     ids = cut(ids.orderBy(F.xxhash64("__doc"), "__doc").limit(rows), "toxic-sample")
-    return cut(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__doc")).select("text", "toxic"), "toxic-rows")
+    out = cut(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__doc")).select("text", "toxic"), "toxic-rows")
+    spend(ids)
+    return out
 
 
 def learn(sample: DataFrame) -> dict:
-    """lexicon (term: log-odds), fuzzy (terms that admit an edit) and weights of the regression."""
+    """lexicon (term: log-odds), fuzzy (terms that admit an edit) and weights of the regression. sample: a written table of SAMPLE_ROWS or so."""
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_tox, n_rest = n.get(1, 0), n.get(0, 0)
     base = (n_tox + 1) / (n_tox + n_rest + 2)
@@ -272,22 +282,29 @@ def learn(sample: DataFrame) -> dict:
     return {"lexicon": lexicon, "fuzzy": kept, "weights": fit_logistic(x, y).tolist()}
 
 
-def _scores(model: dict, column: str):
+def _scores(shared, column: str, name: str):
     def run(batches):
+        model = shared.value
         machine = Automaton(model["lexicon"], model["fuzzy"])
         bias, weights = model["weights"][0], model["weights"][1:]
         for batch in batches:
             z = [bias + sum(w * x for w, x in zip(weights, features(t.as_py() or "", model["lexicon"], machine), strict=True)) for t in batch.column(column)]
             scores = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with score added, whatever columns they have."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_scores(model, "text"), schema).withColumnRenamed("__score", "score")
+    """docs with score added (see score_name)."""
+    name = score_name(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), "text", name), schema)
+
+
+def score_name(docs: DataFrame) -> str:
+    """What score() calls its column for these docs."""
+    return free_names(docs, "score")[0]
 
 
 def op5_toxicity(spark, sf_dir):
