@@ -8,11 +8,14 @@ chunk, and a run of adjacent chunks that others also have counts once it is `min
 until the spans to drop are known.
 
 Counting digests is partially aggregated and the join that brings the verdict back has no raw aggregate above it that needs a
-digest's rows together, so a passage that a third of the documents share does not gather in one task.
-
-Defined cases: null and empty texts have no chunks; repeats within one document are left alone; rows that share a doc_id
-count as one document when it is settled who keeps a chunk, but each text has spans of its own; a row with a null doc_id takes no part; a document all of whose text is a copy ends up empty;
-other columns stay as they are.
+digest's rows together, so a passage that a third of the documents share does not gather in one task. Texts are cut once to count
+digests and once to join the verdict: writing all chunks down would take as much room as the texts.
+
+Defined cases: null and empty texts have no chunks; a very long text is cut in windows, with the same cuts as in one piece; repeats
+within one document are left alone; rows that share a doc_id count as one document when it is settled who keeps a chunk, but each
+text has spans of its own, and repeated rows have them once; a row with a null doc_id takes no part; of equal documents the one
+with the smallest id keeps all; a document all of whose text is a copy ends up empty; an empty table gives an empty result; other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, free_names, own_columns, spend, table
+from quarry.llm.shingles import mix, powers_of
 
 RADIUS, MIN_BYTES, WINDOW = 16, 128, 16
-PAD = 48
+PAD, STEP, LONG = 48, 1 << 20, 1 << 16
 
 
 def _gear() -> np.ndarray:
@@ -59,8 +63,19 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def cut_places(data: np.ndarray, radius: int) -> np.ndarray:
-    """Cuts in texts that stand PAD zero bytes apart in data, ascending."""
+def cut_places(data: np.ndarray, radius: int, step: int = STEP) -> np.ndarray:
+    """Cuts in texts that stand PAD zero bytes apart in data, ascending. A cut depends on radius + WINDOW bytes around it, so data may be read in windows."""
+    if len(data) <= 2 * step:
+        return _cut_places(data, radius)
+    margin, found = radius + WINDOW + 1, []
+    for at in range(0, len(data), step):
+        low = max(0, at - margin)
+        here = _cut_places(data[low : at + step + margin], radius) + low
+        found.append(here[(here >= at) & (here < at + step)])
+    return np.concatenate(found)
+
+
+def _cut_places(data: np.ndarray, radius: int) -> np.ndarray:
     h = gear_hashes(data)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -80,25 +95,46 @@ def cut_places(data: np.ndarray, radius: int) -> np.ndarray:
     return at[(mid != FREE) & (mid < before[at - radius]) & (mid <= after[at])]
 
 
-def _chunks(radius: int, limit: int = 4 << 20):
+def digests(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of data[a[i] : b[i]] for each i; a and b ascend. Sums of one polynomial serve all chunks of a window; a long chunk is hashed alone.
+
+    One digest decides nothing: only runs of MIN_BYTES count, which are several chunks.
+    """
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
+    out = np.empty(len(a), np.uint64)
+    short = np.flatnonzero(b - a <= LONG)
+    at = 0
+    while at < len(short):
+        first = a[short[at]]
+        stop = max(at + 1, int(np.searchsorted(b[short], first + STEP, "right")))
+        own = short[at:stop]
+        part = data[first : b[own[-1]]]
+        up, down = powers_of(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        begin, end = a[own] - first, b[own] - first
+        out[own] = mix((sums[end] - sums[begin]) * down[begin] ^ mix((end - begin).astype(np.uint64)))
+        at = stop
+    for i in np.flatnonzero(b - a > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[a[i] : b[i]].tobytes())
+    return out
 
+
+def _chunks(radius: int, limit: int = 4 << 20):
     def block(ids, versions, texts):
         sizes = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(sizes + PAD) - sizes
         whole = bytearray(int(begins[-1] + sizes[-1] + PAD))
         for b, t in zip(begins.tolist(), texts, strict=True):
             whole[b : b + len(t)] = t
-        cuts = cut_places(np.frombuffer(whole, np.uint8), radius)
+        data = np.frombuffer(whole, np.uint8)
+        cuts = cut_places(data, radius)
         edges = np.unique(np.concatenate([cuts, begins, begins + sizes]))
         doc = np.searchsorted(begins, edges, "right") - 1
         real = np.flatnonzero(doc[:-1] == doc[1:])
         a, b, doc = edges[real], edges[real + 1], doc[real]
-        view = memoryview(bytes(whole))
-        digests = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(versions, np.int64)[doc]), pa.array((a - begins[doc]).astype(np.int32)), pa.array((b - begins[doc]).astype(np.int32)), pa.array(digests)], names=["doc_id", "version", "start", "stop", "digest"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(versions, np.int64)[doc]), pa.array((a - begins[doc]).astype(np.int32)), pa.array((b - begins[doc]).astype(np.int32)), pa.array(digests(data, a, b).view(np.int64))], names=["doc_id", "version", "start", "stop", "digest"])
 
     def run(batches):
         for batch in batches:
@@ -139,6 +175,7 @@ def repeated_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_B
 def text_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """repeated_spans with version, the xxhash64 of the text that the offsets are of; rows with equal doc_id and text have their spans once."""
     shared = chunks(docs, radius).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").select("digest", "keeper")
+    shared = cut(shared, "shared-chunks")
     hits = chunks(docs, radius).join(shared, "digest").select("doc_id", "version", "start", "stop", "keeper")
     order = Window.partitionBy("doc_id", "version").orderBy("start", "stop")
     first = F.col("keeper") == F.col("doc_id")
@@ -148,23 +185,27 @@ def text_spans(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES
     marked = hits.withColumn("gap", gap).withColumn("turn", turn).withColumn("run", F.sum("gap").over(order)).withColumn("part", F.sum("turn").over(order))
     parts = marked.groupBy("doc_id", "version", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("keeper", "start").alias("keeper"))
     whole = Window.partitionBy("doc_id", "version", "run")
-    return (
+    spans = (
         parts.withColumn("whole", F.max("stop").over(whole) - F.min("start").over(whole))
         .filter(F.col("whole") >= min_bytes)
         .select("doc_id", "version", "start", "stop", "keeper", (F.col("keeper") == F.col("doc_id")).alias("kept"))
     )
+    spans = cut(spans, "repeat-spans")
+    spend(shared)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, radius: int = RADIUS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """docs whose text has lost the spans that a document with a smaller id keeps."""
-    spans = cut(text_spans(docs, radius, min_bytes).filter("not kept"), "repeat-spans")
-    lost = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__lost"))
-    joined = docs.join(lost, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
+    """docs whose text has lost the spans that a document with a smaller id keeps. Texts are shuffled once, to meet their spans."""
+    spans = text_spans(docs, radius, min_bytes)
+    doc, version, gone = free_names(docs, "__doc", "__version", "__gone")
+    lost = spans.filter("not kept").groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(gone))
+    joined = docs.join(lost, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left")
     data = F.encode("text", "UTF-8")
     begin = F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "UTF-8").alias("kept"))
-    folded = F.aggregate("__lost", begin, lambda s, x: F.struct(x.stop.alias("at"), F.concat(s.kept, F.substring(data, s.at + 1, F.greatest(x.start - s.at, F.lit(0)))).alias("kept")), lambda s: F.concat(s.kept, F.substring(data, s.at + 1, F.octet_length("text"))))
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.decode(folded, "UTF-8"))
-    return joined.withColumn("text", text).drop("__doc", "__version", "__lost")
+    folded = F.aggregate(gone, begin, lambda s, x: F.struct(x.stop.alias("at"), F.concat(s.kept, F.substring(data, s.at + 1, F.greatest(x.start - s.at, F.lit(0)))).alias("kept")), lambda s: F.concat(s.kept, F.substring(data, s.at + 1, F.octet_length("text"))))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.decode(folded, "UTF-8"))
+    return joined.withColumn("text", text).select(*own_columns(docs))
 
 
 def op7_substring_dedup(spark, sf_dir):
