@@ -9,7 +9,7 @@ Rare words travel in packed columns (a row for each target task and batch, not f
 stream, which keeps the shuffle near the size of the input. A frequent word never travels, and a word outside the HOT most
 frequent has at most one HOT-th of the corpus, so no task is hot.
 
-Defined cases: null text is empty and has no ids; equal rows, and rows that share a doc_id, are encoded each for itself; a null
+Defined cases: null or empty text has no ids; a very long text is encoded as a whole; equal rows, and rows that share a doc_id, are encoded each for itself; a null
 doc_id is carried along; a word of any length is one word; extra columns are kept out of the result.
 """
 
@@ -278,8 +278,8 @@ def encode_documents(docs: DataFrame, finish, names: list, vocabulary: str, hot:
     at_hand = spark.sparkContext.broadcast(table_of)  # at most hot words
     buckets = parts = max(8, -(-size // BUCKET_BYTES))
     rare = docs.mapInArrow(_rare_words(at_hand, parts), PACKET).repartition(parts, "target")
-    found = rare.mapInArrow(_encode(vocabulary, buckets), PACKET)
-    skeletons = docs.mapInArrow(_skeletons(at_hand, buckets), "target int, doc_id long, key long, skeleton binary")
+    found = rare.mapInArrow(_encode(vocabulary, buckets), PACKET).repartition(buckets, "target")
+    skeletons = docs.mapInArrow(_skeletons(at_hand, buckets), "target int, doc_id long, key long, skeleton binary").repartition(buckets, "target")
     schema = ", ".join(f"{n} {_spark_type(t)}" for n, t in names)
     return skeletons.groupBy("target").cogroup(found.groupBy("target")).applyInArrow(_assemble(at_hand, finish, names), schema)
 
