@@ -2,13 +2,15 @@
 
 Headers (id, digest, length) are shuffled by payload digest; the largest id of each digest stays a response and the others
 become revisits that name it. Records go out through Spark's own text writer, so files are committed by task, survive lost
-executors and may lie in any store; each file is a run of WARC/1.1 records. Reading takes whole files of bounded size,
-follows Content-Length from record to record, and joins revisits to the responses that they name.
+executors and may lie in any store; each file is a run of WARC/1.1 records, without a warcinfo record, which the format leaves
+open. Reading takes whole files of bounded size, follows Content-Length from record to record, and joins revisits to the responses
+that they name.
 
 Defined cases: null html is an empty payload; a payload below min_bytes is never a revisit; rows that repeat a page_id keep
 their own records, and where the largest page_id has a payload twice, one url is the response (rows equal in id, url and
-payload all are); a null page_id never becomes a
-response that others name while another id has the payload; extra columns of the pages are not archived.
+payload all are); a null page_id never becomes a response that others name while another id has the payload; a payload that
+is larger than a file's limit has a file of its own, up to the 2 GB of a cell; an empty table gives an empty result; extra
+columns of the pages are not archived.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from quarry.llm.common import cut, fresh_path, table
 
 CRLF = "\r\n"
 RECORD_DATE = "2024-01-01T00:00:00Z"
+#: Bytes of a file at most, upper ends of the size classes, and about what a record's head takes.
+FILE_BYTES, CLASS_BYTES, HEAD_BYTES = 128 << 20, (1 << 16, 1 << 20, 1 << 24), 1024
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -32,32 +36,39 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def clean_url(url: Column) -> Column:
+    """A url that cannot break a head's line."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", "")
+
+
 def record_id(page_id: Column, *more: Column) -> Column:
     """A urn:uuid made from what the record holds, so that a retried task writes the same one."""
     h = F.md5(F.concat_ws("/", F.lit("page"), F.coalesce(page_id.cast("string"), F.lit("null")), F.col("payload_digest"), *more))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
+def measured(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes and payload_digest of pages."""
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
+    return p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest and keeper (the id that a revisit names; null for a response)."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    heads = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    shared = cut(heads.filter("n > 1").select("payload_digest", "top"), "warc-shared")
+    """pages with payload, payload_bytes, payload_digest, and keeper and keeper_url, which a revisit names (null for a response)."""
+    p = measured(pages)
     tie = F.xxhash64("url", "payload_digest")
-    rows = p.join(shared, "payload_digest", "left").withColumn("is_top", F.col("page_id").eqNullSafe(F.col("top")))
-    # rows that repeat the top id would all be responses: one of them stays, by its url
-    same = rows.filter("top is not null and is_top").groupBy("payload_digest").agg(F.count("*").alias("tops"), F.min(tie).alias("first"))
-    same = cut(same.filter("tops > 1").select("payload_digest", "first"), "warc-tops")
-    rows = rows.join(same, "payload_digest", "left")
-    keeps = F.col("top").isNull() | (F.col("is_top") & (F.col("first").isNull() | (tie == F.col("first"))))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~keeps, F.col("top")).alias("keeper"))
+    heads = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", tie.alias("tie"), "url")).alias("top"), F.count("*").alias("n"))
+    shared = cut(heads.filter("n > 1").select("payload_digest", F.col("top.page_id").alias("keeper"), F.col("top.tie").alias("tie"), F.col("top.url").alias("keeper_url")), "warc-shared")
+    rows = p.join(shared, "payload_digest", "left")
+    keeps = F.col("keeper").isNull() | (F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("tie") == tie))
+    named = [F.when(~keeps, F.col(c)).alias(c) for c in ("keeper", "keeper_url")]
+    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", *named)
 
 
 def records(resolved: DataFrame) -> DataFrame:
     """One text per record: WARC head, blank line, block, and the first of the two line ends behind it."""
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "")
+    url = clean_url(F.col("url"))
     revisit = F.col("keeper").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     own = F.when(revisit, record_id(F.col("page_id"), F.lit("revisit"), F.hex(F.xxhash64("url")))).otherwise(record_id(F.col("page_id")))
@@ -67,15 +78,25 @@ def records(resolved: DataFrame) -> DataFrame:
         F.lit(CRLF + "WARC-Date: " + RECORD_DATE + CRLF + "WARC-Target-URI: "), url,
         F.lit(CRLF + "WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit(CRLF + "X-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.when(revisit, F.concat(F.lit(CRLF + "WARC-Profile: " + REVISIT_PROFILE + CRLF + "WARC-Refers-To: "), record_id(F.col("keeper")), F.lit(CRLF + "X-Refers-To-Page: "), F.col("keeper").cast("string"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(CRLF + "WARC-Profile: " + REVISIT_PROFILE + CRLF + "WARC-Refers-To: "), record_id(F.col("keeper")), F.lit(CRLF + "WARC-Refers-To-Target-URI: "), clean_url(F.col("keeper_url")), F.lit(CRLF + "WARC-Refers-To-Date: " + RECORD_DATE), F.lit(CRLF + "X-Refers-To-Page: "), F.col("keeper").cast("string"))).otherwise(F.lit("")),
         F.lit(CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: "), F.octet_length(block).cast("string"),
         F.lit(CRLF + CRLF),
     )
     return resolved.select(F.concat(head, block, F.lit(CRLF)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
-    records(resolve(pages, min_bytes)).write.option("lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of about file_bytes at most under path, or of one record that is larger.
+
+    Records go by size class (powers of 16), each class with as many records to a file as fit if all had its largest size.
+    """
+    resolved = resolve(pages, min_bytes)
+    kind = lambda size: sum(((size >= limit).cast("int") for limit in CLASS_BYTES), F.lit(0))
+    found = pages.select(kind(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k")).distinct().collect()  # a few classes
+    for k in sorted(r.k for r in found) or [0]:
+        largest = CLASS_BYTES[k] if k < len(CLASS_BYTES) else file_bytes
+        out = records(resolved.filter(kind(F.col("payload_bytes")) == k)).write.mode("append").option("lineSep", CRLF)
+        out.option("maxRecordsPerFile", max(1, file_bytes // (largest + HEAD_BYTES))).text(path)
 
 
 PARSED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("url", T.StringType()), T.StructField("stated_digest", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.StringType())])
