@@ -67,6 +67,22 @@ def test_one_row_of_each_component_stays(spark):
     assert got == sorted([(3, near), (5, third), (None, "a b c d e f g"), (9, ""), (9, ""), (None, None)], key=str)
 
 
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, folder):
+    """Columns called like those that operators add, a dotted one, and no rows at all."""
+    kinds = "doc_id long, text string, score double, kept_text double, n_lines int, `__lines` string, `__doc` string, `a.b` int, n_chars long"
+    one, two = "first line\n" + " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, one, 0.3, 0.4, 2, "l", "d", 5, 9), (None, two, 0.3, 0.4, 2, "l", "d", 5, 9), (3, None, 0.3, 0.4, 2, "l", "d", 5, 9), (3, "", 0.3, 0.4, 2, "l", "d", 5, 9)]
+    docs, none = spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert len(found) == 4 and {tuple(r)[2:8] for r in found} == {(0.3, 0.4, 2, "l", "d", 5)}, name
+        assert {(r.doc_id, r.text or "") for r in found} == {(i, t or "") for i, t, *_ in rows}
+        assert stage(spark, none, folder).count() == 0
+    assert P.STAGES[-1][1](spark, none, folder).count() == 0
+
+
 def test_run_equals_stages(spark, folder):
     rows = P.run(spark, folder).collect()
     assert {r.doc_id for r in rows} == set(range(240)) - {i for i in range(240) if i % 6 == 0} - {50, 52}

@@ -19,7 +19,7 @@ def table(spark, texts):
     return spark.createDataFrame([(i, t, "s", "x", 7) for i, t in enumerate(texts)], DOCS)
 
 
-ODD = [None, "", " ", "\n\n", "a", "A\nb \nB", "word " * 3000, "é ß ﬀ x", "same text here", "same text here", "\x00nul", "<|endoftext|> inside"]
+ODD = [None, "", " ", "\n\n", "a", "A\nb \nB", "word " * 3000, "é ß ﬀ x", "same text here", "same text here", "\x00nul", "<|endoftext|> inside", "a<|endoftext|><|endoftext|>b <|endoftext |>"]
 
 
 # packing
@@ -109,7 +109,6 @@ def test_pieces_and_places(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = pack.pack(pack.tokenized_pieces(table(spark, ODD))).collect()
     ids = defaultdict(dict)
     for r in rows:
@@ -162,13 +161,23 @@ def test_lines_of_nothing(spark):
     assert {r.n_dropped for r in null} == {2}
 
 
+def test_rows_are_documents_whatever_their_ids(spark):
+    """Repeated rows, and rows that share an id, each count; names of working and added columns are free."""
+    rows = [(1, "x\ny", 0.3, 5)] * 4 + [(1, "y\nz", 0.3, 5)] * 6 + [(2, "x\nq", 0.3, 5)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_text double, N_Lines int")
+    assert line_dedup.added_names(docs) == ["kept_text_", "n_lines_", "n_dropped"]
+    out = line_dedup.drop_common_lines(docs, min_docs=9).collect()
+    assert Counter(r.kept_text_ for r in out) == Counter({"": 4, "z": 6, "q": 5})
+    assert {(r.kept_text, r.N_Lines) for r in out} == {(0.3, 5)}
+
+
 # WARC
 
 
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/1", "body"), (2, "http://a/2", "body"), (3, "http://a/3", None), (4, "http://a/4", ""), (5, "http://a/5", "x\r\n\r\nWARC/1.1\r\nü"), (6, "http://a b/6", "body"), (7, None, "y" * 100_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    warc.write_archives(df, str(tmp_path / "w"), records_per_file=2)
+    warc.write_archives(df, str(tmp_path / "w"), file_bytes=140_000)
     raw = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert {i: raw[i].payload for i in (4, 5, 6, 7)} == {4: "", 5: pages[4][2], 6: "body", 7: "y" * 100_000}
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved_heads(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
@@ -258,6 +267,82 @@ def test_passages_are_caught_and_clean_texts_left(spark):
             assert after[i] == t
 
 
+def brute_spans(rows, radius=16, least=128):
+    """(doc_id, start, stop, keeper, kept) of repeated spans by the definition, one byte at a time."""
+    gear = [int(x) for x in chunk_dedup.GEAR]
+
+    def chunks_of(text):
+        body = text.replace("\0", " ").encode()
+        data = bytes(48) + body + bytes(48)
+        score = [0xFFFFFFFF] * len(data)
+        for p in range(1, len(data)):
+            if data[p] == 0 or data[p] & 0xC0 == 0x80:
+                continue
+            h = sum(gear[data[p - 1 - j]] << j for j in range(16) if p - 1 - j >= 0) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & 0xFFFFFFFF
+            h ^= h >> 12
+            space = lambda c: c == 32 or 9 <= c <= 13
+            score[p] = h >> 1 | (0 if space(data[p - 1]) and not space(data[p]) else 1 << 31)
+        cuts = [p for p in range(radius, len(data) - radius) if score[p] != 0xFFFFFFFF and score[p] < min(score[p - radius : p]) and score[p] <= min(score[p + 1 : p + radius + 1])]
+        edges = sorted({48, 48 + len(body), *(p for p in cuts if 48 <= p <= 48 + len(body))})
+        return [(a - 48, b - 48, data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    cut, holders = {}, defaultdict(set)
+    for doc, text in set(rows):
+        if doc is not None and text:
+            cut[doc, text] = chunks_of(text)
+            for _, _, c in cut[doc, text]:
+                holders[c].add(doc)
+    out = []
+    for (doc, _), own in cut.items():
+        runs = [[]]
+        for a, b, c in own:
+            if len(holders[c]) > 1:
+                if runs[-1] and runs[-1][-1][1] != a:
+                    runs.append([])
+                runs[-1].append((a, b, min(holders[c])))
+        for run in runs:
+            if run and run[-1][1] - run[0][0] >= least:
+                part = []
+                for a, b, keeper in [*run, (None, None, None)]:
+                    if part and (a is None or (keeper == doc) != (part[-1][2] == doc)):
+                        out.append((doc, part[0][0], part[-1][1], part[0][2], part[0][2] == doc))
+                        part = []
+                    part.append((a, b, keeper))
+    return sorted(out)
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    passages = [prose(rng, n) for n in (20, 45, 80)] + ["é ß " * 60, "a" * 400]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.4 else prose(rng, rng.randint(1, 40)) for _ in range(rng.randint(0, 5))]
+        rows.append((rng.choice([i, i // 2, None]) if i % 7 == 0 else i, rng.choice([" ", "\n", ""]).join(parts)))
+    rows += [(rows[3][0], rows[3][1]), (200, rows[5][1]), (201, None), (202, "")]
+    got = sorted(tuple(r) for r in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "start", "stop", "keeper", "kept").collect())
+    assert len(got) > 20 and got == brute_spans(rows)
+
+
+def test_long_texts_are_cut_alike_in_windows():
+    data = np.frombuffer((prose(random.Random(3), 3000) + "\0" * 60 + "b" * 500).encode(), np.uint8)
+    whole = chunk_dedup.cut_places(data, 16)
+    assert len(whole) > 300 and all((chunk_dedup.cut_places(data, 16, step) == whole).all() for step in (101, 1000))
+    a, b = whole[:-1], whole[1:]
+    names = chunk_dedup.digests(data, a, b)
+    assert len(set(names.tolist())) == len({data[i:j].tobytes() for i, j in zip(a, b, strict=True)})
+    twice = np.concatenate([data, data])
+    assert (chunk_dedup.digests(twice, a + len(data), b + len(data)) == names).all()
+
+
+def test_columns_called_like_working_ones_stay(spark):
+    t = prose(random.Random(6), 100)
+    docs = spark.createDataFrame([(1, t, 0.5, "k"), (2, t, 0.6, "l")], "doc_id long, text string, __doc double, __Gone string")
+    got = sorted(tuple(r) for r in chunk_dedup.drop_repeats(docs).collect())
+    assert got == [(1, t, 0.5, "k"), (2, "", 0.6, "l")]
+
+
 def test_insertions_do_not_shift_cuts(spark):
     rng = random.Random(9)
     base = prose(rng, 400)
