@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
-from quarry.catalog.retrieval import PLAIN_SQL, QTF, bm25_run, documents, passages, qtf_run
-from quarry.functions.text import ngrams, plain_tokens
+from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, qtf_run, top_sql
+from quarry.functions.text import gram_hashes, ngrams, plain_tokens
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
+from quarry.scratch import cut
 
 SHINGLE = 8
 
 
 def judged(spark, sf):
-    """query, id, gain: 2 where the document contains the passage, 1 where they share a shingle of eight words.
+    """query, id, gain: 2 where the document contains the passage, 1 where they share a shingle of eight words; a written table.
 
-    Only documents that share a shingle are compared as texts.
+    Shingles move as 64-bit hashes; only documents that share one are compared as texts.
     """
     docs, asked = documents(spark, sf, plain_tokens), passages(spark, sf, plain_tokens)
-    grams = asked.select("query", F.explode(ngrams(F.col("words"), SHINGLE)).alias("gram"))
-    met = docs.select("id", F.explode(ngrams(F.col("words"), SHINGLE)).alias("gram")).join(grams, "gram").select("query", "id").distinct()
-    rows = met.join(docs.select("id", "text"), "id").join(F.broadcast(asked.select("query", F.col("text").alias("passage"))), "query")
-    return rows.select("query", "id", F.when(F.contains("text", "passage"), 2).otherwise(1).alias("gain"))
+    grams = asked.select("query", F.explode(gram_hashes(F.col("words"), SHINGLE)).alias("gram")).distinct()
+    met = docs.select("id", F.explode_outer(gram_hashes(F.col("words"), SHINGLE)).alias("gram")).join(grams, "gram").select("query", "id").distinct()
+    rows = met.join(docs, "id").join(asked.select("query", F.col("text").alias("passage"), F.col("words").alias("asked")), "query")
+    rows = rows.filter(F.arrays_overlap(ngrams(F.col("words"), SHINGLE), ngrams(F.col("asked"), SHINGLE)))
+    return cut(rows.select("query", "id", F.when(F.contains("text", "passage"), 2).otherwise(1).alias("gain")), "judged")
 
 
 JUDGED = f""",
@@ -38,7 +40,8 @@ def passage_judgements(spark, sf):
 
 
 def run_of(spark, sf, k=100):
-    return L.top(qtf_run(spark, sf).filter("score > 0"), k).select("query", "id", "rank")
+    """The best k of each query; a written table."""
+    return cut(L.top(qtf_run(spark, sf).filter("score > 0"), k).select("query", "id", "rank"), "run")
 
 
 RUN = """,
@@ -58,8 +61,9 @@ ROUNDED = ", ".join(f"round({m}, 6)::DOUBLE AS {m}" for m in METRICS)
 AVERAGES = ", ".join(f"round(avg({m}), 6)::DOUBLE AS {m}" for m in METRICS)
 
 
-def per_query(spark, sf):
-    return E.per_query(run_of(spark, sf), judged(spark, sf))
+def per_query(spark, sf, good=None):
+    """Metrics of every judged query; a written table. good: judgements that are at hand."""
+    return cut(E.per_query(run_of(spark, sf), judged(spark, sf) if good is None else good), "per-query")
 
 
 @query("mrr_ndcg_hit", QTF + JUDGED + PER_QUERY + f"\nSELECT query, {ROUNDED} FROM pq")
@@ -72,8 +76,9 @@ kinds AS (SELECT query, CASE WHEN max(gain) = 2 THEN 'known' ELSE 'inferred' END
 SELECT CASE WHEN grouping(kind) = 1 THEN 'all_answerable' ELSE kind END AS subset, count(*) AS questions, {AVERAGES} FROM pq JOIN kinds USING (query) GROUP BY GROUPING SETS ((kind), ())""")
 def metrics_by_subset(spark, sf):
     """One pass for overlapping subsets: known (some document has the whole passage), inferred, and all."""
-    kinds = judged(spark, sf).groupBy("query").agg(F.when(F.max("gain") == 2, "known").otherwise("inferred").alias("kind"))
-    rows = per_query(spark, sf).join(kinds, "query")
+    good = judged(spark, sf)
+    kinds = good.groupBy("query").agg(F.when(F.max("gain") == 2, "known").otherwise("inferred").alias("kind"))
+    rows = per_query(spark, sf, good).join(kinds, "query")
     out = rows.rollup("kind").agg(F.grouping("kind").alias("g"), F.count("*").alias("questions"), *E.means(rows, METRICS))
     return out.select(F.when(F.col("g") == 1, "all_answerable").otherwise(F.col("kind")).alias("subset"), "questions", *METRICS)
 
@@ -110,18 +115,20 @@ SELECT lang AS category, CAST(sum(hit_5) AS BIGINT) AS passed, count(*) AS total
 def scorecard(spark, sf):
     """Passes and totals by category: the language of a question's best judged document."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    best = judged(spark, sf).join(docs, "id").groupBy("query").agg(F.min_by("lang", F.struct(-F.col("gain"), "id")).alias("category"))
-    return per_query(spark, sf).join(best, "query").groupBy("category").agg(F.sum("hit_5").cast("long").alias("passed"), F.count("*").alias("total"))
+    good = judged(spark, sf)
+    best = good.join(docs, "id").groupBy("query").agg(F.min_by("lang", F.struct(-F.col("gain"), "id")).alias("category"))
+    return per_query(spark, sf, good).join(best, "query").groupBy("category").agg(F.sum("hit_5").cast("long").alias("passed"), F.count("*").alias("total"))
 
 
 @query("arm_selection", QTF + JUDGED + PER_QUERY + """,
-arms AS (SELECT 'top_1' AS arm, 1 AS depth, avg(hit_1) AS recall, avg(ndcg_1) AS ndcg FROM pq UNION ALL SELECT 'top_3', 3, avg(hit_3), avg(ndcg_3) FROM pq UNION ALL SELECT 'top_5', 5, avg(hit_5), avg(ndcg_5) FROM pq)
-SELECT arm, depth, round(recall, 6)::DOUBLE AS recall, round(ndcg, 6)::DOUBLE AS ndcg FROM arms ORDER BY round(recall, 6) DESC, round(ndcg, 6) DESC, depth, arm LIMIT 1""")
+arms AS (SELECT 'top_1' AS arm, 1 AS depth, avg(hit_1) AS recall, avg(ndcg_1) AS ndcg, avg(mrr) AS mrr, count(*) FILTER (hit_1 = 0) AS missed FROM pq UNION ALL SELECT 'top_3', 3, avg(hit_3), avg(ndcg_3), avg(mrr), count(*) FILTER (hit_3 = 0) FROM pq UNION ALL SELECT 'top_5', 5, avg(hit_5), avg(ndcg_5), avg(mrr), count(*) FILTER (hit_5 = 0) FROM pq)
+SELECT arm, depth, missed, round(recall, 6)::DOUBLE AS recall, round(ndcg, 6)::DOUBLE AS ndcg FROM arms ORDER BY missed, round(recall, 6) DESC, round(ndcg, 6) DESC, round(mrr, 6) DESC, depth, arm LIMIT 1""")
 def arm_selection(spark, sf):
-    """The best arm by recall, then gain, then the lesser depth: one row, as that is what selection means."""
-    rows = per_query(spark, sf).agg(*[F.avg(m).alias(m) for m in METRICS])
-    arms = rows.select(F.explode(F.array(*[F.struct(F.lit(f"top_{k}").alias("arm"), F.lit(k).alias("depth"), F.round(f"hit_{k}", 6).alias("recall"), F.round(f"ndcg_{k}", 6).alias("ndcg")) for k in (1, 3, 5)])).alias("a")).select("a.*")
-    return arms.orderBy(F.desc("recall"), F.desc("ndcg"), "depth", "arm").limit(1)
+    """The best arm by six keys in turn: misses, recall, gain, reciprocal rank, depth, name; one row, as that is what selection means."""
+    rows = per_query(spark, sf).agg(*[F.avg(m).alias(m) for m in METRICS], *[F.count_if(F.col(f"hit_{k}") == 0).alias(f"missed_{k}") for k in (1, 3, 5)])
+    one = lambda k: F.struct(F.lit(f"top_{k}").alias("arm"), F.lit(k).alias("depth"), F.col(f"missed_{k}").alias("missed"), F.round(f"hit_{k}", 6).alias("recall"), F.round(f"ndcg_{k}", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"))
+    arms = rows.select(F.explode(F.array(*map(one, (1, 3, 5)))).alias("a")).select("a.*")
+    return arms.orderBy("missed", F.desc("recall"), F.desc("ndcg"), F.desc("mrr"), "depth", "arm").limit(1).drop("mrr")
 
 
 @query("evidence_recall_groups", QTF + JUDGED + RUN + """,
@@ -137,14 +144,14 @@ def evidence_recall_groups(spark, sf):
 
 
 @query("metamorphic_signature", QTF + """,
-q2 AS (SELECT item_id AS query, list_reverse(""" + PLAIN_SQL.format(t="text") + """) AS words FROM benchmark),
-sig AS (SELECT query, md5(array_to_string(list_sort(words), ' ')) AS base FROM q), sig2 AS (SELECT query, md5(array_to_string(list_sort(words), ' ')) AS variant FROM q2)
-SELECT query, base = variant AS same, base AS signature FROM sig JOIN sig2 USING (query)""")
+v AS (SELECT query, words AS base, CASE WHEN query % 3 = 1 THEN list_append(list_reverse(words), 'not') ELSE list_reverse(words) END AS variant FROM q)
+SELECT query, md5(array_to_string(list_sort(base), ' ')) = md5(array_to_string(list_sort(variant), ' ')) AS same, md5(array_to_string(list_sort(base), ' ')) AS signature FROM v""")
 def metamorphic_signature(spark, sf):
-    """A rewording that keeps the words (here: reversed) must keep the canonical signature."""
+    """A rewording that keeps the words has the same canonical signature, one that adds a word (every third here) has not."""
     asked = passages(spark, sf, plain_tokens)
+    variant = F.when(F.col("query") % 3 == 1, F.concat(F.reverse("words"), F.array(F.lit("not")))).otherwise(F.reverse("words"))
     sign = lambda c: F.md5(F.array_join(F.array_sort(c), " "))
-    return asked.select("query", (sign(F.col("words")) == sign(F.reverse("words"))).alias("same"), sign(F.col("words")).alias("signature"))
+    return asked.select("query", (sign(F.col("words")) == sign(variant)).alias("same"), sign(F.col("words")).alias("signature"))
 
 
 def arms(spark, sf):
@@ -153,9 +160,10 @@ def arms(spark, sf):
     return a.unionByName(L.top(qtf_run(spark, sf), 10).withColumn("arm", F.lit("weighed")))
 
 
-@query("arm_overlap")
+@query("arm_overlap", "WITH a AS (" + top_sql(bm25_sql(aliased, 1.5, 0.75), 10) + "), b AS (" + top_sql(QTF, 10) + """), u AS (SELECT query, id FROM a UNION ALL SELECT query, id FROM b),
+n AS (SELECT query, id, count(*) AS arms FROM u GROUP BY ALL) SELECT query, CAST(sum(CASE WHEN arms = 2 THEN 1 ELSE 0 END) AS BIGINT) AS shared, count(*) AS distinct_docs FROM n GROUP BY query""")
 def arm_overlap(spark, sf):
-    """How much two arms agree on their best ten (checked by a test, not by SQL)."""
+    """How much two arms agree on their best ten."""
     rows = arms(spark, sf)
     both = rows.groupBy("query", "id").agg(F.countDistinct("arm").alias("arms"))
     return both.groupBy("query").agg(F.sum(F.when(F.col("arms") == 2, 1).otherwise(0)).alias("shared"), F.count("*").alias("distinct_docs"))

@@ -11,8 +11,8 @@ from quarry.operators import facts as A
 CELLS = """
 WITH r AS (SELECT c_mktsegment AS segment, year(l_shipdate) AS value_year, year(o_orderdate) AS vintage, CAST(round(l_extendedprice, 4) AS DECIMAL(20, 4)) AS g, CAST(round(l_extendedprice * l_discount, 4) AS DECIMAL(20, 4)) AS d, CAST(round(l_quantity, 4) AS DECIMAL(20, 4)) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-w AS (SELECT segment, value_year, vintage, sum(g) AS gross, sum(-d) AS discount, sum(g - d) AS net, sum(q) AS quantity FROM r GROUP BY ALL),
-cells AS (SELECT 'gross' AS metric, segment, value_year, vintage, CAST(gross AS DECIMAL(20, 4)) AS value, 'AUD' AS unit, FALSE AS expense FROM w UNION ALL SELECT 'discount', segment, value_year, vintage, discount, 'AUD', TRUE FROM w
+w AS MATERIALIZED (SELECT segment, value_year, vintage, sum(g) AS gross, sum(-d) AS discount, sum(g - d) AS net, sum(q) AS quantity FROM r GROUP BY ALL),
+cells AS MATERIALIZED (SELECT 'gross' AS metric, segment, value_year, vintage, CAST(gross AS DECIMAL(20, 4)) AS value, 'AUD' AS unit, FALSE AS expense FROM w UNION ALL SELECT 'discount', segment, value_year, vintage, discount, 'AUD', TRUE FROM w
   UNION ALL SELECT 'net', segment, value_year, vintage, net, 'AUD', FALSE FROM w UNION ALL SELECT 'quantity', segment, value_year, vintage, quantity, 'units', FALSE FROM w),
 yearly AS (SELECT metric, segment, value_year, CAST(sum(value) AS DECIMAL(20, 4)) AS value FROM cells GROUP BY ALL)"""
 
@@ -35,10 +35,11 @@ def cells_unpivot(spark, sf):
 
 
 @query("cell_select_identity", CELLS + """
-SELECT metric, value_year, count(DISTINCT value) AS identities, CAST(CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS DOUBLE) AS value,
-  CASE WHEN count(DISTINCT value) = 1 THEN 'bound' WHEN count(DISTINCT value) = 0 THEN 'missing' ELSE 'conflicting' END AS status FROM cells GROUP BY metric, value_year""")
+SELECT metric, segment, value_year, count(DISTINCT value) AS identities, CAST(CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS DOUBLE) AS value,
+  CASE WHEN count(DISTINCT value) = 1 THEN 'bound' WHEN count(DISTINCT value) = 0 THEN 'missing' ELSE 'conflicting' END AS status FROM cells GROUP BY metric, segment, value_year""")
 def cell_select_identity(spark, sf):
-    return A.identity(cells(spark, sf), ["metric", "value_year"]).select("metric", "value_year", "identities", num("value"), "status")
+    """One identity for each measure, segment and year over all report vintages; vintages that differ conflict."""
+    return A.identity(cells(spark, sf), ["metric", "segment", "value_year"]).select("metric", "segment", "value_year", "identities", num("value"), "status")
 
 
 @query("common_vintage", CELLS + """,
@@ -156,12 +157,13 @@ def claim_operand_match(spark, sf):
 
 
 @query("reconcile_identities", CELLS + """,
-i AS (SELECT segment, value_year, max(CASE WHEN metric = 'gross' THEN value END) AS g, max(CASE WHEN metric = 'discount' THEN value END) AS d, max(CASE WHEN metric = 'net' THEN value END) AS n FROM yearly GROUP BY ALL)
+i AS (SELECT segment, value_year, max(CASE WHEN metric = 'gross' THEN value END) AS g, max(CASE WHEN metric = 'discount' THEN value END) AS d, max(CASE WHEN metric = 'net' THEN value END) + CASE WHEN segment LIKE 'M%' AND value_year % 3 = 0 THEN 1 ELSE 0 END AS n FROM yearly GROUP BY segment, value_year)
 SELECT coalesce(segment, 'ALL') AS segment, value_year, bool_and(g + d = n) AS holds, CAST(sum(g + d - n) AS DOUBLE) AS residual FROM i GROUP BY GROUPING SETS ((segment, value_year), (value_year))""")
 def reconcile_identities(spark, sf):
-    """gross + discount = net, for each segment and for their sum; fails closed on any residue."""
+    """gross + discount = net, for each segment and for their sum; fails closed on any residue. Some stated net values are one too large."""
     pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    rows = yearly(spark, sf).groupBy("segment", "value_year").agg((pick("gross") + pick("discount") - pick("net")).alias("r"))
+    wrong = F.when(F.col("segment").startswith("M") & (F.col("value_year") % 3 == 0), 1).otherwise(0)
+    rows = yearly(spark, sf).groupBy("segment", "value_year").agg((pick("gross") + pick("discount") - pick("net")).alias("r")).withColumn("r", F.col("r") - wrong)
     each = rows.groupBy("segment", "value_year").agg(F.bool_and(F.col("r") == 0).alias("holds"), F.sum("r").cast("double").alias("residual"))
     whole = rows.groupBy("value_year").agg(F.bool_and(F.col("r") == 0).alias("holds"), F.sum("r").cast("double").alias("residual")).withColumn("segment", F.lit("ALL"))
     return each.unionByName(whole)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
-from quarry.functions.text import plain_tokens, stem_words, tokens
+from quarry.functions.text import bag, plain_tokens, stem_words
 from quarry.operators import lexical as L
+from quarry.scratch import in_blocks
 
 TOKENS_SQL = "regexp_extract_all(lower({t}), '[a-z]+[0-9]*|[0-9]+(?:[.,][0-9]+)*')"
 ALIAS_SQL = "flatten([CASE x WHEN 'nim' THEN ['net','interest','margin'] WHEN 'npat' THEN ['net','profit','after','tax'] WHEN 'eps' THEN ['earnings','per','share'] WHEN 'dps' THEN ['dividend','per','share'] WHEN 'cet1' THEN ['common','equity','tier','1'] WHEN 'lcr' THEN ['liquidity','coverage','ratio'] ELSE [] END FOR x IN {k}])"
@@ -57,7 +58,7 @@ def passages(spark, sf, words):
 
 
 def bm25_run(spark, sf):
-    return L.bm25(documents(spark, sf, tokens), passages(spark, sf, tokens), 1.5, 0.75)
+    return L.bm25(documents(spark, sf, bag), passages(spark, sf, bag), 1.5, 0.75)
 
 
 @query("bm25_topk", top_sql(bm25_sql(aliased, 1.5, 0.75), 20))
@@ -117,7 +118,7 @@ def dense_topk(spark, sf):
 
 
 def label_lexical(spark, sf):
-    docs = documents(spark, sf, tokens)
+    docs = documents(spark, sf, bag)
     asked = label_queries(spark, sf).select("query", F.col("qid").alias("id")).join(docs, "id").select("query", F.array_distinct("words").alias("words"))
     return L.bm25(docs, asked, 1.5, 0.75)
 
@@ -151,7 +152,7 @@ boosted AS (SELECT f.query, f.id, round(f.score + CASE WHEN d.lang = o.lang THEN
 def hybrid_typed_boost(spark, sf):
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
     own = label_queries(spark, sf).select("query", F.col("qid").alias("id")).join(docs, "id").select("query", F.col("lang").alias("qlang"), F.col("source").alias("qsource"))
-    rows = fused(spark, sf).join(docs, "id").join(F.broadcast(own), "query")
+    rows = fused(spark, sf).join(docs, "id").join(own, "query")
     boost = F.when(F.col("lang") == F.col("qlang"), 0.08).otherwise(-0.04) + F.when(F.col("source") == F.col("qsource"), 0.04).otherwise(0.0) - F.when(F.col("n_chars") < 200, 0.005).otherwise(0.0)
     return L.top(rows.select("query", "id", F.round(F.col("score") + boost, 9).alias("score")), 20).select("query", "id", "score", "rank")
 
@@ -195,8 +196,8 @@ SCOPED = bm25_sql(aliased, 1.5, 0.75, docs="(SELECT d.* FROM documents d LEFT JO
 def scoped_topk_prefilter(spark, sf):
     """Scope and quality gate before ranking: statistics and ranks are of the scope alone."""
     labels = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
-    docs = documents(spark, sf, tokens).filter("lang = 'en'").join(labels, "id", "left").filter("coalesce(quality, 1) = 1")
-    return L.top(L.bm25(docs, passages(spark, sf, tokens), 1.5, 0.75), 10).select("query", "id", "score", "rank")
+    docs = documents(spark, sf, bag).filter("lang = 'en'").join(labels, "id", "left").filter("coalesce(quality, 1) = 1")
+    return L.top(L.bm25(docs, passages(spark, sf, bag), 1.5, 0.75), 10).select("query", "id", "score", "rank")
 
 
 DISTINCT = bm25_sql(aliased, 1.5, 0.75) + """,
@@ -223,7 +224,7 @@ def rerank_windows(spark, sf):
     """A stand-in for a cross-encoder: the best share of query words in any window of 64 words, windows half overlapping, over the best 20."""
     docs, asked = documents(spark, sf, plain_tokens), passages(spark, sf, plain_tokens)
     pool = L.top(qtf_run(spark, sf), 20).select("query", "id")
-    rows = pool.join(docs.select("id", "words"), "id").join(F.broadcast(asked.select("query", F.array_distinct("words").alias("asked"))), "query")
+    rows = pool.join(docs.select("id", "words"), "id").join(asked.select("query", F.array_distinct("words").alias("asked")), "query")
     starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(32))
     best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("asked", F.slice("words", i, 64)))))
     return L.top(rows.select("query", "id", F.round(best / F.size("asked"), 6).alias("score")), 5).select("query", "id", "score", "rank")
@@ -245,7 +246,8 @@ def concept_margin(spark, sf):
     part = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 12).alias("x"))
     centres = part.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select(F.col("label").alias("concept"), F.col("c.x").alias("c"))
     centres = centres.withColumn("n", F.sqrt(L.dot(F.col("c"), F.col("c"))))  # as many rows as labels
-    scored = rows.select("id", "v").crossJoin(F.broadcast(centres)).select("id", "concept", F.round(L.dot(F.col("v"), F.col("c")) / F.col("n"), 6).alias("score"))
+    against = lambda block: rows.select("id", "v").crossJoin(F.broadcast(block)).select("id", "concept", F.round(L.dot(F.col("v"), F.col("c")) / F.col("n"), 6).alias("score"))
+    scored = in_blocks(centres, "concept", L.BLOCK, against)
     best = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "concept"))).alias("all"))
     score, second = -F.col("all")[0]["minus"], -F.get("all", F.lit(1))["minus"]
     margin = F.round(score - second, 6)

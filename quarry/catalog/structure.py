@@ -92,10 +92,9 @@ def fixed_window_chunks(spark, sf):
 
 @query("sentence_chunks")
 def sentence_chunks(spark, sf):
-    """Chunks of at most 2,400 bytes that end at sentences where they can; sequential, so a table function."""
-    spark.udtf.register("sentence_chunks", S.SentenceChunks)
-    read(spark, sf, "documents").createOrReplaceTempView("quarry_documents")
-    return spark.sql("SELECT doc_id, c.start, c.stop, c.bytes FROM quarry_documents, LATERAL sentence_chunks(text, 2400) c")
+    """Chunks of at most 2,400 bytes that end at sentences where they can; sequential within a text, so Arrow batches."""
+    texts = read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return S.sentence_chunks(texts, 2400).withColumnRenamed("id", "doc_id")
 
 
 @query("row_groups", BLOCKS + """,
@@ -146,3 +145,39 @@ def page_markdown(spark, sf):
 @query("page_flags", "SELECT page_id, length(trim(html)) < 80 AS sparse, contains(html, chr(65533)) AS replacement FROM pages")
 def page_flags(spark, sf):
     return read(spark, sf, "pages").select("page_id", (F.char_length(F.btrim("html")) < 80).alias("sparse"), F.contains("html", F.lit("�")).alias("replacement"))
+
+
+@query("boundary_windows")
+def boundary_windows(spark, sf):
+    """Windows of 1,200 characters that end at a blank line, a line, a sentence or a space, and overlap by 150."""
+    texts = read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return S.boundary_windows(texts).withColumnRenamed("id", "doc_id")
+
+
+@query("header_rows", BLOCKS + """,
+m AS (SELECT page_id, pos, min(CASE WHEN length(text) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS at_head FROM b)
+SELECT page_id, count(*) FILTER (at_head = 1) AS header_rows, count(*) FILTER (at_head = 0) AS body_rows FROM m GROUP BY page_id""")
+def header_rows(spark, sf):
+    """Header rows are the leading marked ones only; a marked row below the first unmarked one is body."""
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks(spark, sf).withColumn("leading", F.min((F.char_length("text") < 40).cast("int")).over(w))
+    return rows.groupBy("page_id").agg(F.count_if(F.col("leading") == 1).alias("header_rows"), F.count_if(F.col("leading") == 0).alias("body_rows"))
+
+
+@query("best_bridge", BLOCKS + """,
+c AS (SELECT page_id, pos, tag, CASE WHEN regexp_matches(text, 'ing\\b') THEN 1 ELSE 0 END AS candidate, CASE WHEN regexp_matches(text, 'ing\\b') THEN length(text) % 7 ELSE 0 END AS score FROM b),
+p AS (SELECT x.page_id, x.pos AS start, y.pos AS stop FROM c x JOIN c y ON x.page_id = y.page_id AND y.pos > x.pos AND y.pos - x.pos <= 12 WHERE x.tag = 'li' AND y.tag = 'p'),
+u AS (SELECT p.page_id, start, stop, sum(c.score) AS score, sum(c.candidate) AS touched FROM p JOIN c ON c.page_id = p.page_id AND c.pos BETWEEN start AND stop GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, start, stop) AS nth FROM u WHERE touched > 0)
+SELECT page_id, start, stop, CAST(score AS BIGINT) AS score FROM r WHERE nth = 1""")
+def best_bridge(spark, sf):
+    """Of the bundles from a list item to a paragraph at most twelve places on that touch a candidate, the best of each page; prefix sums, then one aggregation."""
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.col("text").rlike("ing\\b")
+    rows = blocks(spark, sf).withColumn("candidate", hit.cast("int")).withColumn("own", F.when(hit, F.char_length("text") % 7).otherwise(0))
+    rows = rows.withColumn("n", F.sum("candidate").over(w)).withColumn("total", F.sum("own").over(w))
+    a = rows.filter("tag = 'li'").select("page_id", F.col("pos").alias("start"), (F.col("n") - F.col("candidate")).alias("n0"), (F.col("total") - F.col("own")).alias("t0"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("d")).withColumn("stop", F.col("start") + F.col("d"))
+    b = rows.filter("tag = 'p'").select("page_id", F.col("pos").alias("stop"), "n", "total")
+    bundles = a.join(b, ["page_id", "stop"]).filter("n > n0").withColumn("score", F.col("total") - F.col("t0"))
+    best = bundles.groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "start", "stop")).alias("m"))
+    return best.select("page_id", "m.start", "m.stop", (-F.col("m.minus")).alias("score"))

@@ -41,19 +41,34 @@ def clean_query(spark, sf):
     return read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", X.squash(t).alias("cleaned"))
 
 
-@query("spell_fix", """
-WITH w AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations WHERE role = 'user') WHERE length(x) >= 5),
-v AS (SELECT unnest(['there','these','other','still','thing','early','never','heart','least','their','interest','statement']) AS y),
-m AS (SELECT x, y, levenshtein(x, y) AS d FROM w CROSS JOIN v),
-r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) AS n FROM m WHERE d <= CASE WHEN length(x) >= 8 THEN 2 ELSE 1 END)
-SELECT x AS word, y AS fixed, d AS edits FROM r WHERE n = 1""")
+#: Words of the field that a repair may lead to, beside the words of the passages.
+FIELD = ["commonwealth", "australia", "interest", "dividend", "deposits", "customer", "statutory", "earnings", "expenses", "impairment", "liquidity", "margin", "share", "earning", "deposit", "shares", "customers", "margins", "expense"]
+
+
+@query("spell_fix", f"""
+WITH v AS (SELECT DISTINCT y FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS y FROM benchmark UNION ALL SELECT unnest({FIELD})) WHERE length(y) >= 5),
+w AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations WHERE role = 'user' UNION ALL SELECT unnest(['intrest', 'earnnings', 'depositts', 'custmers', 'liquidty', 'statutery'])) WHERE length(x) >= 5 AND x NOT IN (SELECT y FROM v)),
+vk AS (SELECT y, unnest(list_append([left(y, i) || substr(y, i + 2) FOR i IN range(length(y))], y)) AS k FROM v), wk AS (SELECT x, unnest(list_append([left(x, i) || substr(x, i + 2) FOR i IN range(length(x))], x)) AS k FROM w),
+m AS (SELECT DISTINCT x, y FROM wk JOIN vk USING (k)),
+r AS (SELECT x, y, (length(x) + length(y) - CASE WHEN length(x) = length(y) THEN 2 ELSE 1 END) / (length(x) + length(y))::DOUBLE AS ratio FROM m WHERE levenshtein(x, y) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y) AS n FROM r WHERE ratio >= 0.86)
+SELECT x AS word, y AS fixed, round(ratio, 6) AS ratio FROM t WHERE n = 1""")
 def spell_fix(spark, sf):
-    """The closest entry of a small vocabulary by edit distance, for distinct words of five letters or more."""
-    vocabulary = ["there", "these", "other", "still", "thing", "early", "never", "heart", "least", "their", "interest", "statement"]
-    words = read(spark, sf, "conversations").filter("role = 'user'").select(F.explode(X.found(F.col("text"), "[a-z]+")).alias("word")).distinct().filter(F.length("word") >= 5)
-    tried = words.select("word", F.explode(F.array(*map(F.lit, vocabulary))).alias("fixed")).withColumn("edits", F.levenshtein("word", "fixed"))
-    near = tried.filter(F.col("edits") <= F.when(F.length("word") >= 8, 2).otherwise(1))
-    return near.groupBy("word").agg(F.min(F.struct("edits", "fixed")).alias("m")).select("word", "m.fixed", F.col("m.edits").cast("long").alias("edits"))
+    """Words of five letters or more that the vocabulary lacks, each with the closest entry one edit away, if similar enough.
+
+    The vocabulary is of the passages and the field. Candidates share the word with at most one letter left out, so this is an equi-join.
+    """
+    words = lambda rows: rows.select(F.explode(X.found(F.col("text"), "[a-z]+")).alias("word"))
+    extra = lambda some: spark.createDataFrame([(w,) for w in some], "word string")
+    known = words(read(spark, sf, "benchmark")).unionByName(extra(FIELD)).filter(F.length("word") >= 5).distinct()
+    asked = words(read(spark, sf, "conversations").filter("role = 'user'")).unionByName(extra(["intrest", "earnnings", "depositts", "custmers", "liquidty", "statutery"])).filter(F.length("word") >= 5).distinct().join(known, "word", "left_anti")
+    shorter = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.concat(F.substring("word", F.lit(1), i), F.substring("word", i + 2, F.length("word"))))
+    keyed = lambda rows, name: rows.select("word", F.explode(F.concat(shorter, F.array("word"))).alias("k")).withColumnRenamed("word", name)
+    met = keyed(asked, "word").join(keyed(known, "fixed"), "k").select("word", "fixed").distinct().filter(F.levenshtein("word", "fixed") == 1)
+    total = F.length("word") + F.length("fixed")
+    ratio = (total - F.when(F.length("word") == F.length("fixed"), 2).otherwise(1)) / total
+    best = met.withColumn("ratio", ratio).filter("ratio >= 0.86").groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "fixed")).alias("m"))
+    return best.select("word", "m.fixed", F.round(-F.col("m.minus"), 6).alias("ratio"))
 
 
 @query("ngrams_overlap", """
@@ -126,6 +141,23 @@ def classify_cells(spark, sf):
     return numeric_cells(spark, sf).groupBy("doc_id", N.classify(F.col("cell")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("loose_numbers", CELLS + f"""
+SELECT doc_id, count(*) AS numbers, count(*) FILTER (contains(cell, '%')) AS percents, CAST(sum(CASE WHEN regexp_matches(trim(cell), '^[-(−]') THEN -v ELSE v END) AS DOUBLE) AS total FROM (
+  SELECT doc_id, cell, try_cast(regexp_replace(cell, '[^0-9.]', '', 'g') AS DECIMAL(20, 4)) AS v FROM c WHERE regexp_matches(trim(cell), '{LOOSE}') AND length(cell) - length(replace(cell, '%', '')) <= 1) WHERE v IS NOT NULL GROUP BY doc_id""")
+def loose_numbers(spark, sf):
+    """Cells read by the looser grammar as a signed value and whether it is a percentage."""
+    value, percent = N.loose_number(F.col("cell"))
+    rows = numeric_cells(spark, sf).withColumn("v", value).withColumn("percent", percent).filter("v is not null")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if("percent").alias("percents"), F.sum("v").cast("double").alias("total"))
+
+
+@query("compact_keys")
+def compact_keys(spark, sf):
+    """Names in compatibility form, without white space and case folded, and whether they have the shape of a number; Arrow batches, as the engine has no such form."""
+    rows = read(spark, sf, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" ﬁ ① Ｎｏ"), F.col("p_size").cast("string")).alias("name"))
+    return rows.select("p_partkey", X.compact(F.col("name")).alias("k"), F.btrim("name").rlike("^[-(]?[0-9][0-9,.]*[)%]*$").alias("numeric"))
+
+
 @query("number_sets", """
 WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[(][0-9][0-9,]*(?:[.][0-9]+)?[)]|[-+]?[0-9][0-9,]*(?:[.][0-9]+)?')) AS x FROM documents),
 v AS (SELECT doc_id, try_cast(CASE WHEN x LIKE '(%' THEN '-' ELSE '' END || regexp_replace(x, '[,()+]', '', 'g') AS DECIMAL(38, 6)) AS v FROM r)

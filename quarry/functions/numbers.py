@@ -33,6 +33,15 @@ def classify(text: Column) -> Column:
     )
 
 
+def loose_number(text: Column) -> tuple[Column, Column]:
+    """(decimal(20,4) or null, whether a percentage) of a cell by the looser grammar: a sign apart, a unicode minus, a percent sign in or out of parentheses."""
+    t = F.btrim(text)
+    bare = F.regexp_replace(t, "[^0-9.]", "").try_cast("decimal(20,4)")
+    percent = F.contains(text, F.lit("%"))
+    once = F.length(text) - F.length(F.regexp_replace(text, "%", "")) <= 1
+    return F.when(t.rlike(LOOSE) & once, F.when(t.rlike("^[-(\u2212]"), -bare).otherwise(bare)), percent
+
+
 def number_set(text: Column) -> Column:
     """Distinct signed numbers in prose as normalised decimals, sorted."""
     raw = F.regexp_extract_all(text, F.lit(SIGNED), F.lit(0))

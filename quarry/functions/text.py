@@ -28,6 +28,12 @@ def tokens(text: Column) -> Column:
     return F.concat(plain, expanded)
 
 
+def bag(text: Column) -> Column:
+    """The same words as tokens() has, abbreviations followed by what they stand for: for ranking, where order does not matter."""
+    out = lambda t: F.when(t.isin(*ALIASES), F.split(F.concat(t, F.lit(" "), _pick(t, ALIASES)), " ")).otherwise(F.array(t))
+    return F.flatten(F.transform(found(text, TOKEN), out))
+
+
 def _pick(t: Column, table: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in table.items():
@@ -69,6 +75,26 @@ def ngrams(words: Column, width: int) -> Column:
     return F.when(n >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(words: Column, width: int) -> Column:
+    """64-bit hashes of the word n-grams, repeats included, empty for fewer words than width. The last two bits are the width (3 at most, 0 for more)."""
+    n = F.size(words) - (width - 1)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width)).bitwiseAND(F.lit(-4)) + (width if width < 4 else 0))
+    return F.when(n >= 1, grams).otherwise(F.array().cast("array<bigint>"))
+
+
 def label_key(text: Column) -> Column:
     """A label without superscripts, parentheses and anything but letters and digits, for row matching."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, "¹²³⁰⁴⁵⁶⁷⁸⁹", "")), "\\([^()]*\\)", ""), "[^a-z0-9]+", "")
+
+
+def compact(text: Column) -> Column:
+    """Compatibility form, no white space, case folded."""
+    import pandas as pd
+
+    def run(values):
+        import unicodedata
+
+        return values.map(lambda v: None if v is None else "".join(unicodedata.normalize("NFKC", v).split()).casefold())
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}  # the engine reads these, and this module's are texts
+    return F.pandas_udf(run, "string")(text)

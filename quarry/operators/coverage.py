@@ -18,12 +18,14 @@ def interval_cover(spans: DataFrame, units: DataFrame, key: str) -> DataFrame:
     return joined.select(key, F.coalesce("covered", F.lit(0)).cast("long").alias("covered"), (complete | (F.col("length") == 0)).alias("complete"))
 
 
-def greedy_keep(items: Column, budget: int) -> Column:
-    """Ids kept when items (rank, size, id), in rank order, are taken while they fit; one that does not fit is skipped, not the end."""
+def greedy_keep(items: Column, budget: int, most: int | None = None) -> Column:
+    """Ids kept when items (rank, size, id), in rank order, are taken while they fit, `most` at most; one that does not fit is skipped, not the end."""
     begin = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
 
     def take(s, x):
         fits = s.used + x["size"] <= budget
+        if most is not None:
+            fits = fits & (F.size(s.ids) < most)
         return F.struct(F.when(fits, s.used + x["size"]).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.ids, F.array(x["id"].cast("long")))).otherwise(s.ids).alias("ids"))
 
     return F.aggregate(F.array_sort(items), begin, take, lambda s: s.ids)

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.scratch import cut, in_blocks
 
-def postings(docs: DataFrame, words: str = "words") -> DataFrame:
-    """id, term, tf and length of every document's terms."""
-    return docs.select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+#: Stands for a document among its own terms; no text has it as a word.
+WHOLE = ""
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, length, term and tf of the terms asked for in every document, and a row with the term WHOLE for each document; a written table.
+
+    Texts are read and cut into words once. Terms that nobody asks for are dropped before anything is shuffled.
+    """
+    # an outer explode, as an inner one has the optimiser filter by the size of the words, which cuts every text a second time
+    rows = docs.select("id", F.size("words").alias("length"), F.explode_outer(F.concat(F.array(F.lit(WHOLE)), "words")).alias("term"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    return cut(rows.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "postings")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float, b: float, weigh_query: bool = False, floor_length: bool = True) -> DataFrame:
     """query, id, score (rounded to six places) of every document that shares a term with a query.
 
-    docs: id, words. queries: query, words. weigh_query: a term counts as often as the query has it, else once. The queries' terms
-    are the stated query set and small beside the corpus, so the engine may broadcast them; postings are filtered by them before
-    anything is shuffled. Corpus size, lengths and document frequencies come from all documents.
+    docs: id, words (in any order). queries: query, words. weigh_query: a term counts as often as the query has it, else once. Corpus
+    size, lengths and document frequencies come from all documents; all of it from one written table of postings.
     """
-    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     asked = queries.select("query", F.explode("words").alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    met = docs.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    tf = met.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    found = postings(docs, asked)
+    whole = found.term == WHOLE
+    corpus = found.filter(whole).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tf = found.filter(~whole)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     mean = F.greatest(F.col("mean"), F.lit(1.0)) if floor_length else F.col("mean")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,16 +50,14 @@ def top(scored: DataFrame, k: int, by: str = "query", score: str = "score", key:
 
 
 def ngram_bonus(docs: DataFrame, queries: DataFrame, widths=(2, 3)) -> DataFrame:
-    """query, id, bonus: twice the width for each distinct n-gram of the query that the document has."""
-    from quarry.functions.text import ngrams
+    """query, id, bonus: twice the width for each distinct n-gram of the query that the document has. Grams move as 64-bit hashes."""
+    from quarry.functions.text import gram_hashes
 
-    out = None
-    for w in widths:
-        q = queries.select("query", F.explode(ngrams(F.col("words"), w)).alias("gram"))
-        d = docs.select("id", F.explode(ngrams(F.col("words"), w)).alias("gram"))
-        hit = d.join(q, "gram").groupBy("query", "id").agg((F.lit(2 * w) * F.count("*")).alias("bonus"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("query", "id").agg(F.sum("bonus").alias("bonus"))
+    both = lambda rows, key: rows.select(key, F.explode_outer(F.concat(*[gram_hashes(F.col("words"), w) for w in widths])).alias("gram"))
+    asked = both(queries, "query").filter("gram is not null").distinct()
+    hit = both(docs, "id").join(asked, "gram").distinct()
+    width = F.pmod("gram", F.lit(4))  # see gram_hashes
+    return hit.groupBy("query", "id").agg(F.sum(2 * width).alias("bonus"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,9 +65,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are broadcast at once.
+BLOCK = 4096
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, id, score: exact inner products of a stated query set (query, v) against all rows (id, v)."""
-    return vectors.crossJoin(F.broadcast(queries.withColumnRenamed("v", "qv"))).select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+    """query, id, score: exact inner products of a stated query set (query, v) against all rows (id, v), in blocks of queries."""
+
+    def against(block: DataFrame) -> DataFrame:
+        return vectors.crossJoin(F.broadcast(block.withColumnRenamed("v", "qv"))).select("query", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+
+    return in_blocks(queries, "query", BLOCK, against)
 
 
 def rrf(lists: DataFrame, constant: int = 60) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on hand-written rows."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -45,11 +47,59 @@ def test_ranking_does_not_depend_on_partitions(spark, parts):
     assert [r.id for r in lexical.top(rows, 4).orderBy("rank").collect()] == [4, 9, 14, 19]
 
 
-@pytest.mark.parametrize("text", ["", "word " * 900, "Ünïcode. " * 400, "x" * 5000, "a. b! c? " * 300])
-def test_cuts_reassemble(text):
-    spans = list(structure.cuts(text, 100))
-    assert "".join(text[a:b] for a, b in spans) == text
-    assert all(len(text[a:b].encode()) <= 100 for a, b in spans)
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab.!? \n\té\u2003\U0001f600", max_size=300), st.integers(4, 60))
+def test_chunks_tile_a_text_under_budget(text, budget):
+    """Chunks tile the text, none is too large, and none could have taken the next character without passing the budget or a break."""
+    ends = structure.Breaks(text).ends(budget)
+    begins = [0, *ends[:-1]] if ends else []
+    assert "".join(text[a:b] for a, b in zip(begins, ends, strict=True)) == text
+    size = lambda a, b: len(text[a:b].encode())
+    for a, b in zip(begins, ends, strict=True):
+        assert size(a, b) <= budget
+        if b < len(text) and size(a, b + 1) <= budget:  # ended early: behind white space, past the half of what the budget holds
+            assert text[b - 1].isspace()
+            room = max(e for e in range(b, len(text) + 1) if size(a, e) <= budget)
+            assert 2 * (b - a) > room - a - 1
+
+
+def test_chunks_end_with_sentences(spark):
+    rows = spark.createDataFrame([(1, "One two three. Four five six. Seven"), (2, "alpha beta gamma"), (3, ""), (4, None), (5, "para ones\n\npara two three")], "id long, text string")
+    got = {}
+    for r in structure.sentence_chunks(rows, 20).orderBy("id", "start").collect():
+        got.setdefault(r.id, []).append((r.start, r.stop, r.bytes))
+    assert got == {1: [(0, 15, 15), (15, 35, 20)], 2: [(0, 16, 16)], 5: [(0, 11, 11), (11, 25, 14)]}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=400))
+def test_windows_cover_a_text(text):
+    spans = structure.window_spans(text, 60, 30, 8)
+    assert all(0 < b - a <= 60 for a, b in spans) and (not text or (spans[0][0] == 0 and spans[-1][1] == len(text)))
+    for (_, stop), (start, _) in zip(spans[:-1], spans[1:], strict=True):
+        assert start == stop - 8
+        assert stop - 1 < len(text) and (text[stop - 1] in " \n" or text[stop - 60 + 30 : stop].count(" ") + text[stop - 60 + 30 : stop].count("\n") == 0)
+
+
+def test_names_in_compatibility_form(spark):
+    from quarry.functions import text as X
+
+    rows = spark.createDataFrame([("ﬁ Ⅳ Straße", "fiivstrasse"), (None, None), (" ", "")], "t string, want string")
+    assert all(r.got == r.want for r in rows.select(X.compact(F.col("t")).alias("got"), "want").collect())
+
+
+def test_scratch_tables_go_when_spent(spark):
+    from quarry import scratch
+
+    before = spark.conf.get(scratch._CLEANUP, None)
+    df = scratch.cut(spark.range(10).selectExpr("id", "id % 3 as k"), "t", by="k")
+    path = scratch._written[df].removeprefix("file:")
+    assert df.filter("k = 1").count() == 3 and __import__("os").path.isdir(path)
+    scratch.spend(df, None, spark.range(1))
+    assert not __import__("os").path.isdir(path) and spark.conf.get(scratch._CLEANUP, None) == before
+    seen = []
+    out = scratch.in_blocks(spark.range(100), "id", 30, lambda b: seen.append(1) or b)
+    assert sorted(r.id for r in out.collect()) == list(range(100)) and len(seen) == 4
 
 
 def test_wrong_arity_is_an_error(spark):
