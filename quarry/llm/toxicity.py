@@ -20,6 +20,7 @@ column gets underscores at its end.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -134,17 +135,29 @@ class Automaton:
         return self.found[word]
 
 
-def quoted(text: str, words: list, k: int) -> bool:
-    """Whether the words around the k-th (matches of WORD) make it a quotation: marks on both sides within the window, or a report before it."""
-    start, stop = words[k].span()
-    before = text[words[k - WINDOW - 1].end() if k > WINDOW else 0 : start]
-    after = text[stop : words[k + WINDOW + 1].start() if k + WINDOW + 1 < len(words) else len(text)]
+def surroundings(text: str, start: int, stop: int) -> tuple[str, str]:
+    """The text with the WINDOW words before start, and with the WINDOW words behind stop, up to the next word."""
+    reach, ends = 16 * WINDOW, []
+    while True:
+        low = max(0, start - reach)
+        ends = [m.end() for m in WORD.finditer(text, low, start)]
+        if low == 0 or len(ends) > WINDOW + 1:  # the first may be the rest of a word
+            break
+        reach *= 2
+    before = text[ends[-WINDOW - 1] if len(ends) > WINDOW else 0 : start]
+    begins = [m.start() for m in itertools.islice(WORD.finditer(text, stop), WINDOW + 1)]
+    return before, text[stop : begins[WINDOW]] if len(begins) > WINDOW else text[stop:]
+
+
+def quoted(text: str, start: int, stop: int) -> bool:
+    """Whether the words around a hit make it a quotation: marks on both sides within the window, or a report before it."""
+    before, after = surroundings(text, start, stop)
     opened = max((before.rfind(c) for c in OPEN), default=-1)
     closed = max((before.rfind(c) for c in CLOSE if c not in OPEN), default=-1)
     if opened > closed and "\n" not in before[opened:] and any(c in after.split("\n")[0] for c in CLOSE):
         if before[opened] != '"' or before.count('"') % 2:
             return True
-    return any(m.group() in REPORTS for m in words[max(0, k - REPORT_WINDOW) : k])
+    return any(w in REPORTS for w in WORD.findall(before)[-REPORT_WINDOW:])
 
 
 def features(text: str, lexicon: dict[str, float], machine: Automaton) -> list[float]:
@@ -155,10 +168,9 @@ def features(text: str, lexicon: dict[str, float], machine: Automaton) -> list[f
     if not hits:
         return [0.0] * 5
     abuse = misspelt = cited = top = 0.0
-    words = list(WORD.finditer(lower))
-    for k, word in enumerate(tokens):
-        if hit := hits.get(word):
-            if quoted(lower, words, k):
+    for m in WORD.finditer(lower):
+        if hit := hits.get(m.group()):
+            if quoted(lower, *m.span()):
                 cited += 1
             else:
                 abuse += 1
