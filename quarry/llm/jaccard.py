@@ -17,7 +17,7 @@ classes in different components still matter to each other. A token is crowded i
 pairs for each member. Plain tokens then give pairs, CROWD for each index row at most, which are verified one by one. Classes
 that meet in pairs of crowded tokens form families; a family is verified in blocks of bounded size, two at a time, as products
 of 0/1 matrices, and of the links in such a step only a spanning forest leaves it. No link is lost, and no row is made for each
-pair of a large group.
+pair of a large group. A token that meets only classes of unlike sizes, as rare words do by chance, is not indexed at all.
 
 Defined cases: null or empty text has an empty set and is its own component; rows with equal texts share a component; rows
 that share a doc_id but not their text are documents of their own; a null doc_id is never the smallest, and a component of
@@ -292,6 +292,21 @@ def cross_pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
     return met.groupBy("a", "b", "na", "nb", "xa", "xb").agg(F.count("*").alias("c")).filter(fits).select("a", "b")
 
 
+def size_band(percent: int):
+    """A number below 64 for the size of a set: sets that are close enough in size to link are in one band or in neighbouring ones."""
+    width = 1.001 * math.log(100 / percent) if percent < 100 else 1.0
+    return F.pmod(F.floor(F.ln("n") / width), F.lit(64)).cast("int")
+
+
+def may_have_partner():
+    """Whether some other class of a token's bucket may be close in size: bands has a bit for each band met, k counts the classes.
+
+    More classes than bands: two share one, and it may be this one's. Else another must be in a band beside it.
+    """
+    beside = F.expr("shiftleft(1L, pmod(band + 1, 64)) | shiftleft(1L, pmod(band + 63, 64))")
+    return (F.col("k") > F.bit_count("bands")) | (F.col("bands").bitwiseAND(beside) != 0)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id for each row of docs (doc_id, text)."""
     return component_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -308,9 +323,9 @@ def component_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     classes = cut(classes.select("cid", F.col("least.doc_id").alias("first"), F.col("least.version").alias("version"), "n", "prefix", F.size("prefix").alias("long")), "classes")
     rows = cut(prefixes.select("doc_id", "version", "n", "cid"), "rows")
     spend(prefixes)
-    tokens = classes.select("cid", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    bare = cut(tokens.join(shared.hint("merge"), "token"), "bare-index")
+    tokens = classes.select("cid", size_band(percent).alias("band"), F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands")).filter("k > 1")
+    bare = cut(tokens.join(shared.hint("merge"), "token").filter(may_have_partner()).select("cid", "token"), "bare-index")
     # partners have two prefix tokens in common at least, so a class that shares fewer with all others together has none
     met = bare.groupBy("cid").agg(F.count("*").alias("met")).filter("met > 1")
     alone = cut(met.join(classes.select("cid", "n", "long"), "cid").select("cid", "n", (F.col("long") - F.col("met")).alias("alone")), "alone")
