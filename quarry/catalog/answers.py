@@ -206,8 +206,8 @@ def contrast_candidates(spark, sf):
 
 
 METHODS = RRF + """,
-lists AS (SELECT 'bm25' AS method, query, id, score FROM s UNION ALL SELECT 'dense', query, id, score FROM dense UNION ALL SELECT 'hybrid', query, id, score FROM fused),
-mr AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, query ORDER BY score DESC, id) AS INTEGER) AS rank FROM lists)""".replace("lists AS", "arms AS").replace("FROM lists)", "FROM arms)")
+arms AS (SELECT 'bm25' AS method, query, id, score FROM s UNION ALL SELECT 'dense', query, id, score FROM dense UNION ALL SELECT 'hybrid', query, id, score FROM fused),
+mr AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, query ORDER BY score DESC, id) AS INTEGER) AS rank FROM arms)"""
 
 
 @query("retrieval_methods", METHODS + " SELECT method, query, id, score, rank FROM mr WHERE rank <= 5")

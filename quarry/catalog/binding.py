@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.catalog.figures import CELLS, cells
 from quarry.catalog.registry import query
 from quarry.functions import numbers as N
-from quarry.scratch import cut
+from quarry.scratch import cut, spend
 
 #: How each measure's row is labelled; the net row names its scope, by the parity of the report year.
 LABELS = {"gross": "Gross sales $m", "discount": "Discounts given $m", "quantity": "Units shipped"}
@@ -88,7 +88,9 @@ def bound(spark, sf):
     typed = typed.withColumn("period_end", F.when(F.col("yy").isNotNull(), F.concat(F.col("yy").cast("string"), F.lit("-12-31"))))
     status = F.when(F.col("basis").isNull(), "no_identity").when(F.col("period_end").isNull(), "no_date").when(F.col("value").isNull(), "not_a_number").when(~F.array_contains("native", F.col("value")), "not_on_page").otherwise("bound")
     unit = F.when(F.contains("label", F.lit("$m")), "AUD million")
-    return cut(typed.join(native(rows), ["company", "report_year"]).select("*", status.alias("status"), unit.alias("unit")), "bound")
+    out = cut(typed.join(native(rows), ["company", "report_year"]).select("*", status.alias("status"), unit.alias("unit")), "bound")
+    spend(rows)
+    return out
 
 
 @query("row_identity", PRINTED + "\nSELECT DISTINCT metric, company, report_year, label, basis, scope FROM identified")

@@ -164,11 +164,12 @@ def two_corpora(spark, sf):
 
 RECORDS = BLOCKS + """,
 per AS (SELECT page_id, page_id // 50 AS doc, bool_or(pos < 8 AND regexp_matches(lower(text), '\\bof\\b')) AS explicit, count(*) FILTER (length(text) < 40) >= 6 AS short FROM b GROUP BY page_id),
-seg AS (SELECT *, sum(CASE WHEN explicit THEN 0 WHEN short AND coalesce(lag(page_id) OVER (PARTITION BY doc ORDER BY page_id) = page_id - 1, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page_id) AS run FROM per),
+br AS (SELECT *, CASE WHEN explicit THEN 0 WHEN short AND coalesce(lag(page_id) OVER (PARTITION BY doc ORDER BY page_id) = page_id - 1, FALSE) THEN 0 ELSE 1 END AS broken FROM per),
+seg AS (SELECT *, sum(broken) OVER (PARTITION BY doc ORDER BY page_id) AS run FROM br),
 gl AS (SELECT page_id, max(CASE WHEN explicit THEN 1 ELSE 0 END) OVER (PARTITION BY doc, run ORDER BY page_id) = 1 AS glossary FROM seg)"""
 
 
-@query("record_view", RECORDS.replace("sum(CASE WHEN explicit THEN 0 WHEN short AND coalesce(lag(page_id) OVER (PARTITION BY doc ORDER BY page_id) = page_id - 1, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page_id) AS run FROM per", "sum(broken) OVER (PARTITION BY doc ORDER BY page_id) AS run FROM (SELECT *, CASE WHEN explicit THEN 0 WHEN short AND coalesce(lag(page_id) OVER (PARTITION BY doc ORDER BY page_id) = page_id - 1, FALSE) THEN 0 ELSE 1 END AS broken FROM per)") + """
+@query("record_view", RECORDS + """
 SELECT b.page_id, b.pos, CASE WHEN glossary AND tag = 'p' THEN 'definition' WHEN tag = 'li' THEN 'row' WHEN tag = 'p' THEN 'passage' ELSE 'label' END AS kind FROM b JOIN gl USING (page_id)""")
 def record_view(spark, sf):
     """Blocks as typed records. A glossary goes on over the pages that follow without a gap and look like one: a recursion over pages as runs."""

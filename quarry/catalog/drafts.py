@@ -123,17 +123,30 @@ d AS (SELECT company, report_year, metric, text, company || ':' || report_year |
   regexp_extract_all(text, '[0-9][0-9,]*') AS support, 'In ' || company || ' the figure was ' || regexp_extract(text, '= [(]?([0-9][0-9,]*)', 1) || CASE WHEN report_year % 3 = 0 THEN ', the highest ever at 987654321' ELSE '' END || CASE WHEN metric = 'quantity' THEN ' (units' ELSE '' END AS claim FROM rendered)"""
 
 
+def claim():
+    """A sentence about a rendered row; some claim too much, some do not close what they open."""
+    figure = F.regexp_extract("text", "= [(]?([0-9][0-9,]*)", 1)
+    return F.concat(F.lit("In "), "company", F.lit(" the figure was "), figure, F.when(F.col("report_year") % 3 == 0, ", the highest ever at 987654321").otherwise(""), F.when(F.col("metric") == "quantity", " (units").otherwise(""))
+
+
+def numbers(text):
+    return F.regexp_extract_all(text, F.lit(NUM), F.lit(0))
+
+
 def drafts(spark, sf):
     """Drafted claims over rendered rows as JSON: claim, citation, quote; some are wrong in one way or another."""
     rows = rendered(printed(spark, sf))
     year = F.col("report_year").cast("string")
     cite = F.concat_ws(":", "company", year, F.when(F.col("report_year") % 4 == 1, "missing").otherwise(F.col("metric")))
     quote = F.when(F.col("metric") == "net", F.replace(F.col("text"), F.lit("Full"), F.lit("Whole"))).when(F.col("metric") == "gross", F.substring("text", 1, 40)).otherwise(F.col("text"))
-    claim = F.concat(F.lit("In "), "company", F.lit(" the figure was "), F.regexp_extract("text", "= [(]?([0-9][0-9,]*)", 1), F.when(F.col("report_year") % 3 == 0, ", the highest ever at 987654321").otherwise(""), F.when(F.col("metric") == "quantity", " (units").otherwise(""))
-    body = F.to_json(F.struct(claim.alias("claim"), cite.alias("citation"), quote.alias("quote")))
+    body = F.to_json(F.struct(claim().alias("claim"), cite.alias("citation"), quote.alias("quote")))
     return rows.select("company", "report_year", "metric", "text", F.when(F.col("report_year") % 6 == 2, F.lit('{"claim": 5')).otherwise(body).alias("draft"))
 
 
+def claims(spark, sf):
+    return rendered(printed(spark, sf)).withColumn("claim", claim())
+
+
 DRAFT = "claim string, citation string, quote string"
 
 
@@ -146,7 +159,6 @@ def draft_checks(spark, sf):
     units = rendered(printed(spark, sf)).select(F.concat_ws(":", "company", F.col("report_year").cast("string"), "metric").alias("citation"), F.col("text").alias("unit"))
     rows = drafts(spark, sf).withColumn("d", F.from_json("draft", DRAFT, {"mode": "PERMISSIVE"})).select("company", "report_year", "metric", "text", "d.*")
     rows = rows.join(units, "citation", "left")
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(NUM), F.lit(0))
     outcome = F.when(F.col("citation").isNull() | F.col("claim").isNull(), "schema").when(F.col("unit").isNull(), "citation").when(~F.contains("unit", "quote"), "quote").when(F.col("quote") != F.col("unit"), "whole_row").when(F.size(F.array_except(numbers("claim"), numbers("text"))) > 0, "number").otherwise("accepted")
     return rows.select("company", "report_year", "metric", outcome.alias("outcome"))
 
@@ -156,12 +168,9 @@ SELECT company, report_year, metric, array_to_string(list_filter([CASE WHEN len(
   CASE WHEN regexp_matches(claim, '<[a-z]|[*]{2}') THEN 'markup' END, CASE WHEN regexp_matches(claim, '\\b(highest|lowest|best|largest) ever\\b') THEN 'superlative' END, CASE WHEN NOT regexp_matches(text, '[$]m|Units') THEN 'unit' END, CASE WHEN len(list_filter(regexp_extract_all(claim, '[0-9][0-9,]*'), lambda z: NOT list_contains(support, z))) > 0 THEN 'foreign_number' END], lambda z: z IS NOT NULL), ',') AS issues FROM d""")
 def statement_checks(spark, sf):
     """Everything that is wrong with a statement by itself: parentheses, company, markup, superlatives, units, numbers without support."""
-    rows = drafts(spark, sf)
-    year = F.col("report_year") % 3 == 0
-    claim = F.concat(F.lit("In "), "company", F.lit(" the figure was "), F.regexp_extract("text", "= [(]?([0-9][0-9,]*)", 1), F.when(year, ", the highest ever at 987654321").otherwise(""), F.when(F.col("metric") == "quantity", " (units").otherwise(""))
+    rows = claims(spark, sf)
     count = lambda p: F.size(F.regexp_extract_all("claim", F.lit(p), F.lit(0)))
-    foreign = F.size(F.array_except(F.regexp_extract_all("claim", F.lit(NUM), F.lit(0)), F.regexp_extract_all("text", F.lit(NUM), F.lit(0)))) > 0
-    rows = rows.withColumn("claim", claim)
+    foreign = F.size(F.array_except(numbers("claim"), numbers("text"))) > 0
     issues = F.array_compact(F.array(F.when(count("[(]") != count("[)]"), "parentheses"), F.when(~F.contains("claim", "company"), "company"), F.when(F.col("claim").rlike("<[a-z]|[*]{2}"), "markup"), F.when(F.col("claim").rlike("\\b(highest|lowest|best|largest) ever\\b"), "superlative"), F.when(~F.col("text").rlike("[$]m|Units"), "unit"), F.when(foreign, "foreign_number")))
     return rows.select("company", "report_year", "metric", F.array_join(issues, ",").alias("issues"))
 
@@ -170,23 +179,16 @@ def statement_checks(spark, sf):
 SELECT company, report_year, metric, claim FROM d WHERE NOT regexp_matches(claim, '\\bever\\b') AND len(list_filter(regexp_extract_all(claim, '[0-9][0-9,]*'), lambda z: NOT list_contains(support, z))) = 0 AND NOT (contains(text, 'continuing') AND contains(text, 'including discontinued'))""")
 def supported_statements(spark, sf):
     """Only statements of one scope, without superlatives, and without a number that their evidence lacks."""
-    base = statement_rows(spark, sf)
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(NUM), F.lit(0))
     one = ~(F.contains("text", F.lit("continuing")) & F.contains("text", F.lit("including discontinued")))
-    return base.filter(~F.col("claim").rlike("\\bever\\b") & (F.size(F.array_except(numbers("claim"), numbers("text"))) == 0) & one).select("company", "report_year", "metric", "claim")
-
-
-def statement_rows(spark, sf):
-    claim = F.concat(F.lit("In "), "company", F.lit(" the figure was "), F.regexp_extract("text", "= [(]?([0-9][0-9,]*)", 1), F.when(F.col("report_year") % 3 == 0, ", the highest ever at 987654321").otherwise(""), F.when(F.col("metric") == "quantity", " (units").otherwise(""))
-    return rendered(printed(spark, sf)).withColumn("claim", claim)
+    return claims(spark, sf).filter(~F.col("claim").rlike("\\bever\\b") & (F.size(F.array_except(numbers("claim"), numbers("text"))) == 0) & one).select("company", "report_year", "metric", "claim")
 
 
 @query("numeric_support", RENDERED + """
-SELECT company, report_year, metric, list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '31 Dec [0-9]{2}', '', 'g'), '^[^|]*[|]', ''), '[0-9][0-9,]*'))) AS support_list, len(regexp_extract_all(text, '=')) > 1 AS explained FROM rendered""".replace("list_sort(list_distinct(", "array_to_string(list_sort(list_distinct(").replace("'[0-9][0-9,]*'))) AS support_list", "'[0-9][0-9,]*'))), ' ') AS support_list"))
+SELECT company, report_year, metric, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '31 Dec [0-9]{2}', '', 'g'), '^[^|]*[|]', ''), '[0-9][0-9,]*'))), ' ') AS support_list, len(regexp_extract_all(text, '=')) > 1 AS explained FROM rendered""")
 def numeric_support(spark, sf):
     """The numbers that a row may support: its figures, not its dates nor its prefix; and whether there is more than one figure."""
     bare = F.regexp_replace(F.regexp_replace("text", "31 Dec [0-9]{2}", ""), "^[^|]*[|]", "")
-    support = F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(NUM), F.lit(0))))
+    support = F.array_sort(F.array_distinct(numbers(bare)))
     return rendered(printed(spark, sf)).select("company", "report_year", "metric", F.array_join(support, " ").alias("support_list"), (F.size(F.regexp_extract_all("text", F.lit("="), F.lit(0))) > 1).alias("explained"))
 
 

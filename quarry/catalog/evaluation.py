@@ -9,7 +9,7 @@ from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents
 from quarry.functions.text import gram_hashes, ngrams, plain_tokens
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
-from quarry.scratch import cut
+from quarry.scratch import cut, spend
 
 SHINGLE = 8
 
@@ -63,7 +63,10 @@ AVERAGES = ", ".join(f"round(avg({m}), 6)::DOUBLE AS {m}" for m in METRICS)
 
 def per_query(spark, sf, good=None):
     """Metrics of every judged query; a written table. good: judgements that are at hand."""
-    return cut(E.per_query(run_of(spark, sf), judged(spark, sf) if good is None else good), "per-query")
+    run, own = run_of(spark, sf), judged(spark, sf) if good is None else None
+    out = cut(E.per_query(run, own if good is None else good), "per-query")
+    spend(run, own)
+    return out
 
 
 @query("mrr_ndcg_hit", QTF + JUDGED + PER_QUERY + f"\nSELECT query, {ROUNDED} FROM pq")

@@ -85,11 +85,21 @@ plan_query("plan_behaviour", "Answer, clarify or abstain, with the reason.", beh
 
 #: Concepts that a question without a named measure may mean, by words that stand for them.
 CONCEPTS = [("nim", has("\\bmargin\\b")), ("cash_profit", has("\\b(?:earn|make|made) money\\b|\\bcash result\\b")), ("operating_expenses", has("\\b(?:costs?|spending)\\b")), ("gross_loans", has("\\blending\\b|\\bloans?\\b")), ("customer_deposits", has("\\bdeposits?\\b")), ("cet1", has("\\bcapital\\b")), ("lcr", has("\\bliquidity\\b")), ("dividend_per_share", has("\\bdividends?\\b"))]
+
+
+def nearest_concept(name: str):
+    """The concept is the first in the list whose words the question has; a measure that is no concept never is."""
+    at = next((i for i, (n, _) in enumerate(CONCEPTS) if n == name), None)
+    if at is None:
+        return has("^$") & ~has("^$")
+    return CONCEPTS[at][1] & ~anyof([t for _, t in CONCEPTS[:at]]) if at else CONCEPTS[at][1]
+
+
 INTERIM = has("half year|six months|half yearly|\\bh ?[12]\\b|quarter|march|december")
 plan_query(
     "semantic_fallback_plan",
     "The named measures, else the nearest concept by its words; and whether an explanation prefers annual comparisons.",
-    metrics=every([(n, t | (size("tags", "=", 0) & dict(CONCEPTS).get(n, has("^$")) & ~anyof([x for _, x in CONCEPTS[: [c for c, _ in CONCEPTS].index(n)]] if n in dict(CONCEPTS) and n != "nim" else [has("^$") & ~has("^$")]))) for n, t in P.MEASURES]),
+    metrics=every([(n, t | (size("tags", "=", 0) & nearest_concept(n))) for n, t in P.MEASURES]),
     annual_explanation=flag(~INTERIM & has("\\bfy ?[0-9]|annual|year|prior")),
 )
 
@@ -201,6 +211,7 @@ def request_cross_product(spark, sf):
 
 # routes ------------------------------------------------------------------------------------------------------------
 
+#: The patterns by which a question's route is told, in this section and in the rewriting below.
 KNOWN = size("tags", ">", 0) | has("\\b(?:profit|npat|earnings|net income)\\b")
 CONCEPTUAL = ~size("years", ">", 1) & ~has("\\b(?:calculate|by how much|how much|percentage change|grew|growth|increased|decreased)\\b") & has("^(?:define\\b|what (?:does|do)\\b.*mean|what is meant\\b|(?:does|do)\\b.{0,160}\\b(?:mean|refer to|represent)\\b|(?:what is|what s|explain) (?:the )?(?:difference|distinction)\\b|(?:is|are)\\b.*(?:same as|equivalent|same thing)|how (?:does|do)\\b.*differ)|\\bdefinition of\\b")
 DEFINITION = CONCEPTUAL | has("\\bdefin(?:e|ition)\\b|\\bmeaning\\b|\\bstands? for\\b|\\bwhat\\b.*\\bmean\\b") | (KNOWN & has("^what (?:is|are)\\b") & ~has("\\b(?:fy ?)?20[0-9]{2}\\b|\\b(?:cba|nab|commonwealth|national australia)\\b") & ~has("\\b(?:change|growth|amount|value|figure|total)\\b"))

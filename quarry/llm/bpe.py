@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 from array import array
 
@@ -163,9 +164,9 @@ def _rare_words(hot, parts: int):
             for part in slices(batch, "text", BLOCK_BYTES):
                 words, keys, places = [], [], []
                 for doc, cell in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    rare = [w.encode() for w in find(cell or "") if w not in known]
+                    rare = list(itertools.filterfalse(known.__contains__, find(cell or "")))
                     if rare:
-                        words += rare
+                        words += map(str.encode, rare)
                         keys.append(np.full(len(rare), row_key(doc, cell.encode()), np.int64))
                         places.append(np.arange(len(rare)))
                 if words:
@@ -217,7 +218,8 @@ def _skeletons(hot, buckets: int):
                 for doc, cell in zip(docs.to_pylist(), part.column("text").to_pylist(), strict=True):
                     text = cell or ""
                     keys.append(row_key(doc, text.encode()))
-                    rows.append(pack_planes(np.array([known.get(w, hole) for w in find(text)], np.uint32)))
+                    found = find(text)
+                    rows.append(pack_planes(np.fromiter(map(known.get, found, itertools.repeat(hole)), np.uint32, len(found))))
                 k = np.array(keys, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((k % buckets).astype(np.int32)), docs, pa.array(k), pa.array(rows, pa.binary())], names=["target", "doc_id", "key", "skeleton"])
 

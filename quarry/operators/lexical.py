@@ -19,7 +19,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     # an outer explode, as an inner one has the optimiser filter by the size of the words, which cuts every text a second time
     rows = docs.select("id", F.size("words").alias("length"), F.explode_outer(F.concat(F.array(F.lit(WHOLE)), "words")).alias("term"))
-    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(WHOLE).alias("term"))).distinct()
     return cut(rows.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "postings")
 
 

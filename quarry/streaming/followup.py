@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.scratch import fresh_path
+
 OUT = "conv_id long, turn long, resolved string"
 
 
@@ -34,8 +35,7 @@ def resolve(turns: DataFrame) -> DataFrame:
 
 def resolve_all(spark, path: str) -> DataFrame:
     """Drive the stream over what is at path and return all it gave; results go to files, not to memory."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{folder.rstrip('/')}/quarry/{tempfile.gettempprefix()}-{id(spark)}-{pd.Timestamp.now().value}" if folder else "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
+    base = fresh_path(spark, "stream")
     schema = "conv_id long, turn long, role string, text string"
     # a stream reads folders: one file is read as its folder, filtered by name
     parent, _, name = path.rpartition("/")
