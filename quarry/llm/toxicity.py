@@ -294,7 +294,7 @@ def learn(sample: DataFrame) -> dict:
     return {"lexicon": lexicon, "fuzzy": kept, "weights": fit_logistic(x, y).tolist()}
 
 
-def _scores(shared, column: str, name: str):
+def _scores(shared, column: int, name: str):
     def run(batches):
         model = shared.value
         machine = Automaton(model["lexicon"], model["fuzzy"])
@@ -309,9 +309,11 @@ def _scores(shared, column: str, name: str):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with score added (see score_name)."""
-    name = score_name(docs)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), "text", name), schema)
+    # mapInArrow looks its columns up by name and takes a dot in one for a field of a struct
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    scored = plain.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), "score"), schema)
+    return scored.toDF(*docs.columns, score_name(docs))
 
 
 def score_name(docs: DataFrame) -> str:
