@@ -181,21 +181,6 @@ def conditional_summary(spark, sf):
 
 # retrieval by request --------------------------------------------------------------------------------------------------
 
-BY_REQUEST = bm25_sql(aliased, 1.5, 0.75) + """,
-scoped AS (SELECT s.query, s.id, s.score, d.lang AS scope FROM s JOIN documents d ON d.doc_id = s.id WHERE d.lang IN ('en', 'de')),
-r AS (SELECT *, row_number() OVER (PARTITION BY query, scope ORDER BY score DESC, id) AS depth FROM scoped)"""
-
-
-@query("request_retrieval", BY_REQUEST + ", i AS (SELECT query, id, scope, depth, row_number() OVER (PARTITION BY query ORDER BY depth, scope, id) AS position FROM r WHERE depth <= 4) SELECT query, scope, id, CAST(depth AS INTEGER) AS depth, CAST(position AS INTEGER) AS position FROM i")
-def request_retrieval(spark, sf):
-    """One retrieval for each request (a passage in a scope), all at once by windows over the request, then interleaved by depth."""
-    scoped = documents(spark, sf, bag).filter(F.col("lang").isin("en", "de")).select("id", F.col("lang").alias("scope"))
-    rows = L.bm25(documents(spark, sf, bag), passages(spark, sf, bag), 1.5, 0.75).join(scoped, "id").withColumn("request", F.struct("query", "scope"))
-    best = L.top(rows, 4, by="request").withColumnRenamed("rank", "depth")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("depth", "scope", "id"))
-    return best.select("query", "scope", "id", "depth", place.alias("position"))
-
-
 @query("contrast_candidates", DENSE + """,
 f AS (SELECT d.query, d.id, d.score FROM dense d JOIN documents x ON x.doc_id = d.id WHERE regexp_matches(x.text, '[0-9]') AND regexp_matches(lower(x.text), '\\b(?:and|und|et|y)\\b')),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) SELECT query, id, score, rank FROM r WHERE rank <= 2""")
