@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
 from quarry.catalog.retrieval import DENSE, LABEL_TEXTS, aliased, dense_run, label_queries, passages, plain_sql
-from quarry.functions.text import bag, plain_tokens
+from quarry.functions.text import bag, bag_counts, plain_tokens
 from quarry.operators import index as I
 from quarry.operators import lexical as L
 from quarry.scratch import cut
@@ -15,7 +15,7 @@ FACETS = ("lang", "source")
 
 
 def corpus_index(spark, sf):
-    return I.of_table(spark, f"{sf}/documents.parquet", "doc_id", "text", bag, FACETS)
+    return I.of_table(spark, f"{sf}/documents.parquet", "doc_id", "text", bag_counts, FACETS)
 
 
 def scoped_sql(queries: str, scopes: str, k1=1.5, b=0.75) -> str:

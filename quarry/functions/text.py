@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,21 @@ def bag(text: Column) -> Column:
     return F.flatten(F.transform(found(text, TOKEN), out))
 
 
+def bag_counts(lowered: str) -> Counter:
+    """What bag() has, counted, in plain Python for tasks that hold whole texts."""
+    out = Counter(re.findall(TOKEN, lowered))
+    for short, meaning in ALIASES.items():
+        if n := out.get(short):
+            for word in meaning.split():
+                out[word] += n
+    return out
+
+
+def plain_counts(lowered: str) -> Counter:
+    """What plain_tokens() has, counted."""
+    return Counter(re.findall(PLAIN_TOKEN, lowered))
+
+
 def _pick(t: Column, table: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in table.items():

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions.text import plain_tokens
+from quarry.functions.text import plain_counts
 from quarry.operators import index as I
 
 SCHEMA = "id long, text string, lang string, source string"
@@ -36,7 +36,7 @@ def test_search_is_that_of_scoring_everything(spark, seed, block):
     terms = [f"t{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choices(terms, weights=[40 / (j + 1) for j in range(40)], k=rng.choice([1, 3, 30]))), rng.choice(["en", "de", "", None]), rng.choice(["a", "b", "", None])) for i in range(300)]
     rows += [(1000, None, "en", "a"), (1001, "", "en", None), (1002, "only one here", "fr", "z"), *[(2000 + i, "t1 t2 t3", "en", "a") for i in range(8)]]
-    index = I.build(spark.createDataFrame(rows, SCHEMA), plain_tokens, ("lang", "source"), block_docs=block)
+    index = I.build(spark.createDataFrame(rows, SCHEMA), plain_counts, ("lang", "source"), block_docs=block)
     asked = [(f"{n}/{scope}", scope, words) for n, words in enumerate([["t1", "t2", "t3"], ["t39", "t0"], ["only", "t5", "t5"], ["nowhere"], []]) for scope in (I.ALL, "source=", "lang=en", "lang=fr", "source=b", "source=none", "lang=")]
     best, blocks = I.search(spark, index, spark.createDataFrame(asked, "request string, scope string, words array<string>"), 4)
     got = {}
@@ -57,17 +57,17 @@ def test_a_second_query_reads_no_text(spark, tmp_path):
     rows = [(i, f"word{i % 7} word{i % 3} common", "en", "s") for i in range(50)]
     path = str(tmp_path / "docs.parquet")
     spark.createDataFrame(rows, SCHEMA).write.parquet(path)
-    index = I.of_table(spark, path, "id", "text", plain_tokens, ("lang", "source"))
-    assert I.of_table(spark, path, "id", "text", plain_tokens, ("lang", "source")) is index
+    index = I.of_table(spark, path, "id", "text", plain_counts, ("lang", "source"))
+    assert I.of_table(spark, path, "id", "text", plain_counts, ("lang", "source")) is index
     ask = spark.createDataFrame([("q", "lang=en", ["word3", "word1"])], "request string, scope string, words array<string>")
     first = I.search(spark, index, ask, 5)[0].collect()
     shutil.rmtree(path)
     assert I.search(spark, index, ask, 5)[0].collect() == first and first
     spark.createDataFrame(rows[:20], SCHEMA).write.parquet(path)
-    assert I.of_table(spark, path, "id", "text", plain_tokens, ("lang", "source")) is not index
+    assert I.of_table(spark, path, "id", "text", plain_counts, ("lang", "source")) is not index
 
 
 def test_no_documents(spark):
-    index = I.build(spark.createDataFrame([], SCHEMA), plain_tokens, ("lang", "source"))
+    index = I.build(spark.createDataFrame([], SCHEMA), plain_counts, ("lang", "source"))
     ask = spark.createDataFrame([("q", I.ALL, ["x"])], "request string, scope string, words array<string>")
     assert I.search(spark, index, ask, 5)[0].collect() == []
