@@ -13,30 +13,31 @@ from quarry.streaming.files import drain, stream_of
 
 #: The names that a follow-up may replace.
 ENTITY = "(?i)\\b(?:CBA|Commonwealth Bank(?: of Australia)?|NAB|National Australia Bank)\\b"
-#: Batches that the turns come in, and by how many turns one may come late.
-BATCHES, LATE = 5, 2
+#: Parts that the turns come in, by how many turns one may come late, and the most turns in a file, which is a batch of the stream.
+BATCHES, LATE, FILE_TURNS = 5, 2, 1_000_000
 
 
 @query("followup_events", FOLLOW + f"""
 SELECT conv_id, turn, inherits, CASE WHEN inherits AND len(entities) = 1 AND len(before_entities) = 1 THEN regexp_replace(previous, '{ENTITY}', entities[1], 'g')
   WHEN inherits AND len(years) = 1 AND len(before_years) = 1 THEN regexp_replace(previous, '20[0-9]{{2}}', years[1], 'g') ELSE a END AS resolved FROM g""")
 def followup_events(spark, sf):
-    """Follow-ups from a stream: user turns come in five batches, late and interleaved, and end as they would in one table.
+    """Follow-ups from a stream: user turns come in five parts, late and interleaved, and end as they would in one table.
 
     A turn's number stands for its minute, from the first on, as a watermark starts at nought. A last row, of no conversation, moves the watermark past all turns.
     """
     base = fresh_path(spark, "turns")
     rows = asked(spark, sf).select("conv_id", "turn", "a", "entities", "years", F.timestamp_seconds((F.col("turn") + 1) * 60).alias("at"))
     nth = F.least(F.floor((F.col("turn") + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(LATE + 1))) / LATE), F.lit(BATCHES - 1)).cast("int")
-    staged = rows.withColumn("batch", nth)
-    staged.write.partitionBy("batch").parquet(f"{base}/staged")
+    rows.withColumn("batch", nth).write.partitionBy("batch").parquet(f"{base}/staged")
+    staged = spark.read.schema(f"{turns.TURNS}, batch int").parquet(f"{base}/staged")
+    sizes = {r.batch: r["count"] for r in staged.groupBy("batch").count().collect()}
     end = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("a"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("years"), F.lit("2100-01-01").cast("timestamp").alias("at"))
-    come = lambda part: part.write.mode("append").parquet(f"{base}/come")
     for k in range(BATCHES + 1):
-        come(end if k == BATCHES else spark.read.schema(f"{turns.TURNS}, batch int").parquet(f"{base}/staged").filter(F.col("batch") == k).drop("batch"))
-        with scoped(spark, turns.STATE):
-            out = turns.in_order(stream_of(spark, f"{base}/come", turns.TURNS), f"{2 * LATE} minutes")
-            drain(out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), f"{base}/checkpoint")
+        part = end.coalesce(1) if k == BATCHES else staged.filter(F.col("batch") == k).drop("batch").repartition(-(-sizes.get(k, 1) // FILE_TURNS))
+        part.write.mode("append").parquet(f"{base}/come")
+    with scoped(spark, turns.STATE):
+        out = turns.in_order(stream_of(spark, f"{base}/come", turns.TURNS, 1), f"{2 * LATE} minutes")
+        drain(out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append"), f"{base}/checkpoint")
     inherits, resolved = turns.resolved(ENTITY)
     return spark.read.schema(turns.OUT).parquet(f"{base}/out").filter("conv_id is not null").select("conv_id", "turn", inherits.alias("inherits"), resolved.alias("resolved"))
 

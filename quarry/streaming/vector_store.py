@@ -105,7 +105,7 @@ def append(store: Store, stream: str, texts: DataFrame, batch: int, encode: Call
     last = done.agg(F.max(F.struct("part", "chain")).alias("c"), F.count("*").alias("n")).first()
     part, before = last.n, last.c.chain if last.n else GENESIS
     named = texts.select(content_hash(F.col("text")).alias("content_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    fresh = named.join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.first("text").alias("text"))
+    fresh = named.groupBy("content_hash").agg(F.first("text").alias("text")).join(known, "content_hash", "left_anti")  # copies meet before they move
     path = f"{store.folder}/parts/part={part}"
     encode(fresh).select("content_hash", F.col("vector").cast(store.vector).alias("vector")).write.mode("overwrite").parquet(path)  # what a broken attempt left goes
     row = spark.createDataFrame([(part, stream, batch, spark.read.schema(store.schema).parquet(path).count(), _digest(spark, store, part).first().digest, before)], COMMIT.rpartition(",")[0])
