@@ -6,8 +6,10 @@ occurrences of a word meet in one task, which encodes it once. Ids travel back b
 skeleton (the ranks of its frequent words, with holes) by position. Decoding looks ids up in the token-byte table.
 
 Rare words travel in packed columns (a row for each target task and batch, not for each word), and a skeleton as a compressed
-stream, which keeps the shuffle near the size of the input. A frequent word never travels, and a word outside the HOT most
-frequent has at most one HOT-th of the corpus, so no task is hot.
+stream, which keeps the shuffle below the size of the input. A frequent word never travels. Which words are frequent is counted on
+pre-tokens between single spaces, punctuation included; should a word escape that count (long runs of white space, say) and still
+make up more than 1 / SALTED of the words that one block of text sends, its occurrences there are dealt to all tasks by document and place, so
+that no task is hot whatever the counts say.
 
 Defined cases: null or empty text has no ids; a very long text is encoded as a whole; equal rows, and rows that share a doc_id, are encoded each for itself; a null
 doc_id is carried along; a word of any length is one word; extra columns are kept out of the result.
@@ -16,6 +18,7 @@ doc_id is carried along; a word of any length is one word; extra columns are kep
 from __future__ import annotations
 
 import base64
+import collections
 import functools
 import hashlib
 import itertools
@@ -28,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, spend, table
 from quarry.llm.pack import encoding
 from quarry.llm.shingles import slices
 
-HOT, TASK_HOT, BLOCK_BYTES, BUCKET_BYTES = 1 << 18, 1 << 17, 8 << 20, 32 << 20
+HOT, TASK_HOT, BLOCK_BYTES, BUCKET_BYTES, SALTED = 1 << 18, 1 << 17, 8 << 20, 32 << 20, 256
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -75,31 +78,44 @@ def decimals(n: int) -> list[str]:
 
 
 def _frequent(batches):
-    """Words between spaces as a cheap stand-in for pre-tokens: which words are kept at hand decides over speed, not over ids.
+    """Pre-tokens and how often they occur, counted on the distinct strings between single spaces, each split once for a block of text.
 
-    The row without a word counts bytes.
+    A pre-token takes one space at most, before it, so the count is exact but for runs of white space and for what a text begins
+    with. It decides over speed, never over ids. The row without a word counts bytes.
     """
-    total: dict[str, int] = {}
+    find = splitter()
+    total: dict[str, int] = collections.defaultdict(int)
     size = 0
     for batch in batches:
         for part in slices(batch, "text", 2 * BLOCK_BYTES):
             text = pc.fill_null(part.column("text"), "")
             size += pc.sum(pc.binary_length(text)).as_py() or 0
             counts = pc.split_pattern(text, pattern=" ").flatten().value_counts()
-            counts = counts.filter(pc.greater_equal(counts.field("counts"), 3))
-            for w, k in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
-                w = w.rstrip(".,;:!?\n")
-                total[w] = total.get(w, 0) + k
+            for string, k in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                for w in find(" " + string):
+                    total[w] += k
     top = sorted(total.items(), key=lambda x: -x[1])[:TASK_HOT]
     yield pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in top)], pa.string()), pa.array([size, *(k for _, k in top)], pa.int64())], names=["word", "n"])
 
 
 def frequent_words(docs: DataFrame, hot: int = HOT) -> tuple[list[str], int]:
-    """At most hot pre-tokens, most frequent first, with and without a leading space; and the bytes of all texts."""
+    """At most hot pre-tokens, the most frequent ones; and the bytes of all texts.
+
+    A histogram of the counts, in steps of a 32nd of an octave, says from which count on there are no more than hot words; only these
+    come to the driver.
+    """
     counts = cut(docs.select("text").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     size = counts.filter("word is null").first()
-    words = [r.word for r in counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(hot // 2).collect()]
-    return [x for w in words for x in (" " + w, w)], size.n if size else 0
+    words = counts.filter("word is not null and n > 1").withColumn("step", F.floor(F.log2("n") * 32))
+    room, least = hot, None
+    for r in words.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # 2,048 rows at most
+        room -= r.k
+        if room < 0:
+            break
+        least = r.step
+    kept = [] if least is None else [r.word for r in words.filter(F.col("step") >= least).select("word").collect()]
+    spend(counts)
+    return sorted(kept), size.n if size else 0
 
 
 def pack_planes(x: np.ndarray) -> bytes:
@@ -153,8 +169,16 @@ def opened(batch_or_table):
         yield unpack_planes(sizes.as_py()), np.repeat(np.frombuffer(keys.as_py(), "<i8"), unpack_planes(runs.as_py())), unpack_planes(places.as_py()), unpack(data.as_py())
 
 
+def dealt(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, parts: int) -> np.ndarray:
+    """The target of each word by its hash; a word with more than 1 / SALTED of all entries goes to many targets, by document and place."""
+    _, word, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    crowded = (count > max(SALTED, len(hashes) // SALTED))[word]
+    salt = np.where(crowded, ((keys >> 7) + (places >> 10)) & 0xFFFF, 0).astype(np.uint64)
+    return ((hashes.astype(np.uint64) + salt) % np.uint64(parts)).astype(np.int64)
+
+
 def _rare_words(hot, parts: int):
-    """Packets of the words that are not at hand, by the hash of the word."""
+    """Packets of the words that are not at hand, by the hash of the word; the hash of a word that crowds its block is salted."""
 
     def run(batches):
         import xxhash
@@ -170,8 +194,8 @@ def _rare_words(hot, parts: int):
                         keys.append(np.full(len(rare), row_key(doc, cell.encode()), np.int64))
                         places.append(np.arange(len(rare)))
                 if words:
-                    targets = np.fromiter(map(hashed, words), np.uint32, len(words)) % parts
-                    yield packets(targets, parts, words, np.concatenate(keys), np.concatenate(places))
+                    key, place = np.concatenate(keys), np.concatenate(places)
+                    yield packets(dealt(np.fromiter(map(hashed, words), np.uint32, len(words)), key, place, parts), parts, words, key, place)
 
     return run
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import ann, bpe, jaccard, shingles, topk, toxicity
+from quarry.llm.common import cut
 from quarry.llm.components import components
 from quarry.llm.vectors import usable
 
@@ -260,6 +262,28 @@ def test_neighbours_recall(spark):
     assert hits / n >= 0.9 and not any(r.query_id >= 5000 or r.vec_id >= 5000 for r in found)
 
 
+@pytest.mark.parametrize("scale", [1e-320, 1e-200, 1.0, 1e200, 1e307])
+def test_neighbours_of_any_magnitude(spark, scale):
+    """Squares of the components would vanish or overflow; the answer is that of the vectors at scale one."""
+    x = np.random.default_rng(9).integers(-9, 10, size=(80, 4)).astype(float)
+    x[(x == 0).all(axis=1)] = 1
+    rows = usable(spark.createDataFrame([(i, [float(c * scale) for c in v], "more") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(rows, rows.filter("vec_id % 40 = 0")).collect())
+    cos = lambda a, b: float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+    for q in (0, 40):
+        want = sorted((-round(cos(x[q], x[i]), 9), i) for i in range(80) if i != q)[:5]
+        own = [r for r in got if r[0] == q]
+        assert [r[1] for r in own] == [1, 2, 3, 4, 5] and all(abs(-w[0] - r[3]) < (1e-2 if scale < 1e-300 else 1e-8) for w, r in zip(want, own, strict=True))
+
+
+def test_a_repeated_id_lies_in_many_shards(spark):
+    x = np.random.default_rng(2).normal(size=(600, 6))
+    rows = cut(usable(spark.createDataFrame([(7 if i % 2 else i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "rows")
+    graphs = ann.build_graphs(rows, 5, 6, shard_rows=60)
+    holds = sum(bool((np.frombuffer(r.ids, "<i8") == 7).any()) for r in graphs.select("ids").collect())
+    assert holds == graphs.count() >= 8
+
+
 def test_prune_keeps_diverse_edges():
     points = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0, 1]], np.float32)
     points /= np.linalg.norm(points, axis=1)[:, None]
@@ -292,3 +316,39 @@ def test_encoding_of_nothing(spark):
     import public_tokenizers
 
     assert bpe.encoded(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path(bpe.VOCABULARY)).count() == 0
+
+
+def test_the_commonest_pre_tokens_never_travel(spark):
+    """Of the thousand commonest pre-tokens, punctuation and line breaks among them, none is left to the shuffle."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    split = bpe.splitter()
+    counted = Counter(w for r in docs.collect() for w in split(r.text or ""))
+    known, size = bpe.frequent_words(docs)
+    assert size == sum(len((r.text or "").encode()) for r in docs.collect())
+    common = [w for w, _ in counted.most_common(1000)]
+    assert {".", ",", "\n"} & set(common) and not set(common) - set(known)
+    few, _ = bpe.frequent_words(docs, 100)
+    assert 50 < len(few) <= 100 and set(few) <= {w for w, _ in counted.most_common(130)}
+
+
+def test_a_word_that_crowds_a_block_goes_to_many_tasks():
+    hashes = np.array([5] * 40_000 + list(range(100, 40_100)), np.uint32)
+    keys, places = np.arange(80_000, dtype=np.int64) * 7919, np.arange(80_000) % 3000
+    targets = bpe.dealt(hashes, keys, places, 16)
+    assert np.bincount(targets[:40_000], minlength=16).max() < 40_000 / 8
+    assert (targets[40_000:] == hashes[40_000:] % 16).all()
+    alone = bpe.dealt(hashes[:40_000], np.zeros(40_000, np.int64), np.arange(40_000), 16)
+    assert np.bincount(alone, minlength=16).max() < 40_000 / 8
+
+
+def test_words_that_escape_the_count_are_encoded_alike(spark):
+    """No word at hand, few words at hand, and runs of white space that the count does not see."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    encode = bpe.encoding(path).encode_ordinary
+    texts = ["a" + " " * k + "b\n\n  \tc" for k in range(40)] * 20 + ["x . y , z ." * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (0, 3, 1000):
+        got = bpe.encode_documents(docs, lambda ids: (ids.tolist(),), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], path, hot).collect()
+        assert sorted((r.doc_id, tuple(r.ids)) for r in got) == [(i, tuple(encode(t))) for i, t in enumerate(texts)]
