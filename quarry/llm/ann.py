@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over robust-pruned directed graphs, one per shard.
 
-Rows are dealt to shards of bounded size by a hash of their id. A shard's graph is built by inserting rows in growing batches:
+Rows are dealt to shards of bounded size by a hash of their id and vector. A shard's graph is built by inserting rows in growing batches:
 greedy beam searches over the graph so far propose neighbours, relaxed distance pruning keeps a diverse set of edges (an edge
 goes when a kept neighbour is closer to its end by the factor alpha), reverse edges are added and pruned alike. Queries are
 answered by beam search in every shard, the whole beam rescored in double precision on the original vectors, and merged. Vectors of
@@ -11,7 +11,7 @@ Every row is indexed. Graphs are built once and written, a row for each shard; q
 task holds one shard and one chunk. Searches of a batch walk in step, as matrix operations.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components take no part; a shorter vector ends
-in zeros; rows with the query's own vec_id are not its candidates; rows that repeat a vec_id are candidates each for itself, and
+in zeros; components of any magnitude (rows are scaled by powers of two, which changes no cosine); rows with the query's own vec_id are not its candidates; rows that repeat a vec_id are candidates each for itself, and
 as query one of them is asked, the one whose vector sorts first; ties go to the smaller vec_id; with fewer candidates than asked, all are returned; a row
 without vec_id takes no part; extra columns are left out.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, scoped, spend, table, tasks_for
-from quarry.llm.vectors import best_per_query, by_chunks, matrix, usable
+from quarry.llm.vectors import best_per_query, by_chunks, matrix, scaled, usable
 
 TOP, SHARD_ROWS, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, QUERY_CHUNK, STEP = 5, 4096, 32, 64, 128, 1.2, 8192, 512
 FOUND = "query_id long, vec_id long, score double"
@@ -138,7 +138,7 @@ def _build_shard(top: int, width: int, degree: int):
     def run(shard: pa.Table) -> pa.Table:
         ids, rows = shard.column("vec_id").to_numpy(), matrix(shard.column("v"), width)
         order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order]
+        ids, rows = ids[order], scaled(rows[order])
         points, node = np.unique((rows / np.sqrt((rows * rows).sum(axis=1))[:, None]).astype(np.float32), axis=0, return_inverse=True)
         # of the ids of equal vectors, top + 1 are enough: one may be the query's own, and smaller ids win ties
         _, vector = np.unique(rows, axis=0, return_inverse=True)
@@ -158,6 +158,7 @@ def _build_shard(top: int, width: int, degree: int):
 def _search_graphs(chunk, top: int, width: int, beam: int, degree: int):
     def run(batches):
         qid, q = chunk.value
+        q = scaled(q)
         unit = (q / np.linalg.norm(q, axis=1)[:, None]).astype(np.float32)
         for batch in batches:
             for g in batch.to_pylist():
@@ -186,7 +187,7 @@ def _search_graphs(chunk, top: int, width: int, beam: int, degree: int):
 
 def build_graphs(vectors: DataFrame, top: int, width: int, degree: int = DEGREE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The written graphs of all shards of vectors (vec_id, v without zero vectors; a written table)."""
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(tasks_for(vectors.count(), shard_rows)))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(tasks_for(vectors.count(), shard_rows)))
     return cut(vectors.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard(top, width, degree), GRAPH), "ann-graphs")
 
 

@@ -33,6 +33,15 @@ def matrix(column, width: int | None = None) -> np.ndarray:
     return out
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component of each is between a half and one: squares neither overflow nor vanish.
+
+    Cosines stay as they are to the last bit wherever the plain squares can be had.
+    """
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, initial=0))
+    return np.ldexp(rows, -exponent[:, None])
+
+
 def by_chunks(queries: DataFrame, per_chunk: int, width: int, search) -> DataFrame | None:
     """search(ids, vectors) for chunk after chunk of the queries, each of about per_chunk rows; the written results together, or None.
 
