@@ -9,6 +9,7 @@ from quarry.catalog.registry import query, read
 from quarry.catalog.retrieval import STEM_SQL, TOKENS_SQL, aliased
 from quarry.functions import numbers as N
 from quarry.functions import text as X
+from quarry.operators.similar_words import closest
 
 WS = "[ \\t\\n\\r\\f\\x0B]+"
 
@@ -45,30 +46,57 @@ def clean_query(spark, sf):
 FIELD = ["commonwealth", "australia", "interest", "dividend", "deposits", "customer", "statutory", "earnings", "expenses", "impairment", "liquidity", "margin", "share", "earning", "deposit", "shares", "customers", "margins", "expense"]
 
 
-@query("spell_fix", f"""
-WITH v AS (SELECT DISTINCT y FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS y FROM benchmark UNION ALL SELECT unnest({FIELD})) WHERE length(y) >= 5),
-w AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations WHERE role = 'user' UNION ALL SELECT unnest(['intrest', 'earnnings', 'depositts', 'custmers', 'liquidty', 'statutery'])) WHERE length(x) >= 5 AND x NOT IN (SELECT y FROM v)),
-vk AS (SELECT y, unnest(list_append([left(y, i) || substr(y, i + 2) FOR i IN range(length(y))], y)) AS k FROM v), wk AS (SELECT x, unnest(list_append([left(x, i) || substr(x, i + 2) FOR i IN range(length(x))], x)) AS k FROM w),
-m AS (SELECT DISTINCT x, y FROM wk JOIN vk USING (k)),
-r AS (SELECT x, y, (length(x) + length(y) - CASE WHEN length(x) = length(y) THEN 2 ELSE 1 END) / (length(x) + length(y))::DOUBLE AS ratio FROM m WHERE levenshtein(x, y) = 1),
-t AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y) AS n FROM r WHERE ratio >= 0.86)
-SELECT x AS word, y AS fixed, round(ratio, 6) AS ratio FROM t WHERE n = 1""")
-def spell_fix(spark, sf):
-    """Words of five letters or more that the vocabulary lacks, each with the closest entry one edit away, if similar enough.
+SLIPS = ["intrest", "earnnings", "depositts", "custmers", "liquidty", "statutery", "commonwelth", "impairmants", "comonwealthh", "dividned"]
 
-    The vocabulary is of the passages and the field. Candidates share the word with at most one letter left out, so this is an equi-join.
-    """
+#: The closest entries by matching blocks: every pair of words within the edit distance, its blocks split again and again.
+CLOSEST_SQL = f"""
+v AS (SELECT DISTINCT y FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS y FROM benchmark UNION ALL SELECT unnest({FIELD})) WHERE length(y) >= 5),
+w AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM conversations WHERE role = 'user' UNION ALL SELECT unnest({SLIPS})) WHERE length(x) >= 5 AND x NOT IN (SELECT y FROM v)),
+m AS (SELECT x, y FROM w JOIN v ON abs(length(x) - length(y)) * 100 <= 14 * (length(x) + length(y)) WHERE levenshtein(x, y) * 100 <= 14 * (length(x) + length(y))),
+blocks AS (SELECT x, y, 1 AS a, length(y) + 1 AS a2, 1 AS b, length(x) + 1 AS b2, CAST(0 AS BIGINT) AS k FROM m
+  UNION ALL SELECT x, y, s.a, s.a2, s.b, s.b2, s.k FROM (SELECT x, y, unnest([{{'a': a, 'a2': -t.i, 'b': b, 'b2': -t.j, 'k': t.k}}, {{'a': t.k - t.i, 'a2': a2, 'b': t.k - t.j, 'b2': b2, 'k': CAST(0 AS BIGINT)}}]) AS s
+    FROM (SELECT *, list_max(flatten([[{{'k': len(list_filter(range(1, least(a2 - i, b2 - j) + 1), lambda n: substr(y, i, n) = substr(x, j, n))), 'i': -i, 'j': -j}} FOR j IN range(b, b2)] FOR i IN range(a, a2)])) AS t
+      FROM blocks WHERE a < a2 AND b < b2) WHERE t.k > 0)),
+r AS (SELECT x, y, 2 * sum(k) / (length(x) + length(y))::DOUBLE AS ratio FROM blocks GROUP BY x, y),
+fixes AS (SELECT x, y, ratio FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y DESC) AS n FROM r WHERE ratio >= 0.86) WHERE n = 1)"""
+
+
+def fixes(spark, sf):
+    """word, fixed, ratio of the users' words that need a repair and have one."""
     words = lambda rows: rows.select(F.explode(X.found(F.col("text"), "[a-z]+")).alias("word"))
     extra = lambda some: spark.createDataFrame([(w,) for w in some], "word string")
     known = words(read(spark, sf, "benchmark")).unionByName(extra(FIELD)).filter(F.length("word") >= 5).distinct()
-    asked = words(read(spark, sf, "conversations").filter("role = 'user'")).unionByName(extra(["intrest", "earnnings", "depositts", "custmers", "liquidty", "statutery"])).filter(F.length("word") >= 5).distinct().join(known, "word", "left_anti")
-    shorter = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.concat(F.substring("word", F.lit(1), i), F.substring("word", i + 2, F.length("word"))))
-    keyed = lambda rows, name: rows.select("word", F.explode(F.concat(shorter, F.array("word"))).alias("k")).withColumnRenamed("word", name)
-    met = keyed(asked, "word").join(keyed(known, "fixed"), "k").select("word", "fixed").distinct().filter(F.levenshtein("word", "fixed") == 1)
-    total = F.length("word") + F.length("fixed")
-    ratio = (total - F.when(F.length("word") == F.length("fixed"), 2).otherwise(1)) / total
-    best = met.withColumn("ratio", ratio).filter("ratio >= 0.86").groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "fixed")).alias("m"))
-    return best.select("word", "m.fixed", F.round(-F.col("m.minus"), 6).alias("ratio"))
+    asked = words(read(spark, sf, "conversations").filter("role = 'user'")).unionByName(extra(SLIPS)).filter(F.length("word") >= 5).distinct()
+    return closest(asked.join(known, "word", "left_anti"), known)
+
+
+@query("spell_fix", f"WITH RECURSIVE {CLOSEST_SQL} SELECT x AS word, y AS fixed, round(ratio, 6) AS ratio FROM fixes")
+def spell_fix(spark, sf):
+    """Words of five letters or more that the vocabulary lacks, each with the closest entry by matching blocks, if similar enough.
+
+    The vocabulary is of the passages and the field. Some slips of the field's words join the users' words.
+    """
+    return fixes(spark, sf).select("word", "fixed", F.round("ratio", 6).alias("ratio"))
+
+
+@query("repaired_turns", f"""WITH RECURSIVE {CLOSEST_SQL},
+u AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS parts FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, text, unnest(parts) AS part, unnest(range(len(parts))) AS nth FROM u),
+f AS (SELECT p.*, y FROM p LEFT JOIN fixes ON lower(part) = x)
+SELECT conv_id, turn, md5(regexp_replace(string_agg(coalesce(y, part), '' ORDER BY nth), '(?i)\\bFY[ ]*(24|25)\\b', 'FY20\\1', 'g')) AS repaired, coalesce(string_agg(DISTINCT part || '>' || y, ' ' ORDER BY part || '>' || y), '') AS changes FROM f GROUP BY conv_id, turn, text""")
+def repaired_turns(spark, sf):
+    """User turns with each misspelt word replaced and two-digit years written out, and every change. A turn meets only its own repairs."""
+    turns = read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text").filter("text <> ''")
+    key = ["conv_id", "turn", "digest"]
+    turns = turns.withColumn("digest", F.md5("text")).withColumn("parts", F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)))
+    met = turns.select(*key, F.explode(F.array_distinct("parts")).alias("part")).filter(F.length("part") >= 5).join(fixes(spark, sf).select(F.col("word"), "fixed"), F.lower("part") == F.col("word"))
+    per = met.groupBy(*key).agg(F.collect_set(F.struct("part", "fixed")).alias("changes"))
+    rows = turns.join(per, key, "left").withColumn("changes", F.array_sort(F.coalesce("changes", F.array().cast("array<struct<part: string, fixed: string>>"))))
+    fix = F.map_from_entries("changes")
+    text = F.array_join(F.transform("parts", lambda p: F.coalesce(F.element_at(fix, p), p)), "")
+    text = F.regexp_replace(text, "(?i)\\bFY[ ]*(24|25)\\b", "FY20$1")
+    named = F.array_sort(F.transform("changes", lambda c: F.concat(c.part, F.lit(">"), c.fixed)))
+    return rows.select("conv_id", "turn", F.md5(text).alias("repaired"), F.array_join(named, " ").alias("changes"))
 
 
 @query("ngrams_overlap", """
