@@ -99,7 +99,7 @@ def _frequent(batches):
 
 
 def frequent_words(docs: DataFrame, hot: int = HOT) -> tuple[list[str], int]:
-    """At most hot pre-tokens, the most frequent ones; and the bytes of all texts.
+    """At most hot pre-tokens, most frequent first, so that skeletons hold small ranks; and the bytes of all texts.
 
     A histogram of the counts, in steps of a 32nd of an octave, says from which count on there are no more than hot words; only these
     come to the driver.
@@ -113,9 +113,9 @@ def frequent_words(docs: DataFrame, hot: int = HOT) -> tuple[list[str], int]:
         if room < 0:
             break
         least = r.step
-    kept = [] if least is None else [r.word for r in words.filter(F.col("step") >= least).select("word").collect()]
+    kept = [] if least is None else [(-r.n, r.word) for r in words.filter(F.col("step") >= least).select("word", "n").collect()]
     spend(counts)
-    return sorted(kept), size.n if size else 0
+    return [w for _, w in sorted(kept)], size.n if size else 0
 
 
 def pack_planes(x: np.ndarray) -> bytes:
