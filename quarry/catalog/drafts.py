@@ -15,8 +15,9 @@ from quarry.catalog.registry import query, read
 from quarry.catalog.structure import BLOCKS, blocks, headed
 from quarry.operators import coverage as C
 from quarry.operators import structure as S
+from quarry.operators.seal import differences, seal
 from quarry.plans import intent as P
-from quarry.scratch import cut
+from quarry.scratch import cut, fresh_path
 
 # chunk constraints -----------------------------------------------------------------------------------------------------
 
@@ -192,16 +193,49 @@ def numeric_support(spark, sf):
     return rendered(printed(spark, sf)).select("company", "report_year", "metric", F.array_join(support, " ").alias("support_list"), (F.size(F.regexp_extract_all("text", F.lit("="), F.lit(0))) > 1).alias("explained"))
 
 
-@query("sealed_manifest", """
-WITH s AS (SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS seal, count(*) AS members FROM documents GROUP BY lang), n AS (SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS seal FROM documents WHERE doc_id % 1009 <> 1008 OR lang <> 'de' GROUP BY lang)
-SELECT s.lang, members, s.seal = n.seal AS intact FROM s LEFT JOIN n USING (lang)""")
+def _seal_sql(name, source):
+    """The seal of source by lang and doc_id, level by level, as operators/seal.py defines it."""
+    cell = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    out = f"""{name}r AS (SELECT lang AS part, doc_id AS node, sha256({cell('doc_id::VARCHAR')} || {cell('source')} || {cell('text')}) AS c, count(*) AS k FROM {source} GROUP BY ALL),
+{name}0 AS (SELECT part, node, sha256(string_agg(c || ':' || k, ',' ORDER BY c, k)) AS digest, sum(k) AS members FROM {name}r GROUP BY part, node)"""
+    for n in range(1, 7):
+        up = "node >> 12" if n < 6 else "CAST(0 AS BIGINT)"
+        out += f",\n{name}{n} AS (SELECT part, {up} AS node, sha256(string_agg(coalesce(node, -9223372036854775808) || ':' || digest, ',' ORDER BY node NULLS FIRST)) AS digest, sum(members) AS members FROM {name}{n - 1} GROUP BY part, {up})"
+    return out
+
+
+#: What has happened to the documents since the seal: a text changed, a row lost, a row added, each here and there.
+LATER_SQL = "later AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 1009 = 7 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 1009 <> 1008 OR lang <> 'de' UNION ALL SELECT doc_id + 1000000007, lang, source, text FROM documents WHERE doc_id % 2003 = 5)"
+
+
+def sealed_and_later(spark, sf):
+    """Paths of the seals of the documents and of what has become of them, and the roots."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    kept = docs.filter((F.col("doc_id") % 1009 != 1008) | (F.col("lang") != "de")).withColumn("text", F.when(F.col("doc_id") % 1009 == 7, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    later = kept.unionByName(docs.filter("doc_id % 2003 = 5").withColumn("doc_id", F.col("doc_id") + 1000000007))
+    paths = fresh_path(spark, "seal"), fresh_path(spark, "seal")
+    return paths, [seal(rows, "lang", "doc_id", ["doc_id", "source", "text"], p) for rows, p in zip((docs, later), paths, strict=True)]
+
+
+@query("sealed_manifest", f"""WITH {LATER_SQL},
+{_seal_sql("s", "documents")},
+{_seal_sql("t", "later")}
+SELECT s6.part AS lang, s6.members::BIGINT AS members, s6.digest AS seal, coalesce(s6.digest = t6.digest, FALSE) AS intact FROM s6 LEFT JOIN t6 ON s6.part IS NOT DISTINCT FROM t6.part""")
 def sealed_manifest(spark, sf):
-    """A sealed set against what is there now, by counts and sums of member hashes, which no task has to hold in order."""
-    docs = read(spark, sf, "documents").select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    kept = (F.col("doc_id") % 1009 != 1008) | (F.col("lang") != "de")
-    total = lambda test: F.sum(F.when(test, F.col("h").cast("decimal(38,0)")))
-    per = docs.groupBy("lang").agg(F.count("*").alias("members"), (total(F.lit(True)) == total(kept)).alias("same"), (F.count("*") == F.count_if(kept)).alias("all"))
-    return per.select("lang", "members", (F.col("same") & F.col("all")).alias("intact"))
+    """The seal of each language's documents, and whether what is there now still has it."""
+    _, (then, now) = sealed_and_later(spark, sf)
+    now = now.select(F.col("part").alias("there"), F.col("root").alias("found"))
+    met = then.join(now, F.col("part").eqNullSafe(F.col("there")), "left")
+    return met.select(F.col("part").alias("lang"), "members", F.col("root").alias("seal"), F.coalesce(F.col("root") == F.col("found"), F.lit(False)).alias("intact"))
+
+
+@query("seal_differences", f"""WITH {LATER_SQL}, a AS (SELECT lang, doc_id, list_sort(list(source || '/' || text)) AS old FROM documents GROUP BY ALL), b AS (SELECT lang, doc_id, list_sort(list(source || '/' || text)) AS new FROM later GROUP BY ALL)
+SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN new IS NULL THEN 'lost' WHEN old IS NULL THEN 'added' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id = b.doc_id WHERE old IS DISTINCT FROM new""")
+def seal_differences(spark, sf):
+    """The documents that a broken seal is about, found from the roots down without comparing texts."""
+    paths, _ = sealed_and_later(spark, sf)
+    return differences(spark, *paths).select(F.col("part").alias("lang"), F.col("node").alias("doc_id"), "status")
 
 
 # sections and excerpts -------------------------------------------------------------------------------------------------
