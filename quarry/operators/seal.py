@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.scratch import cut
+
 BITS, LEVELS, NAMED = 12, 6, 1000
 
 
@@ -71,8 +73,8 @@ def differences(spark, sealed: str, present: str) -> DataFrame:
     bad = _unlike(spark.read.parquet(f"{sealed}/root"), spark.read.parquet(f"{present}/root"))
     for n in reversed(range(LEVELS)):
         some = bad.select("part", "node").limit(NAMED + 1).collect()
-        if len(some) <= NAMED:
-            bad = spark.createDataFrame(some, bad.select("part", "node").schema)
+        few = bad.select("part", "node")
+        bad = spark.createDataFrame(some, few.schema) if len(some) <= NAMED else cut(few, "unlike")
         old, new = (_children(spark.read.parquet(f"{p}/level={n}"), bad, some if len(some) <= NAMED else None) for p in (sealed, present))
         bad = _unlike(old, new)
     return bad
