@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
-from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, qtf_run, top_sql
-from quarry.functions.text import gram_hashes, ngrams, plain_tokens
+from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, plain_sql, qtf_run, stem_sql, top_sql
+from quarry.functions.text import gram_hashes, ngrams, plain_tokens, stem_words
 from quarry.operators import evaluation as E
+from quarry.operators import ledger as G
 from quarry.operators import lexical as L
-from quarry.scratch import cut, spend
+from quarry.scratch import cut, fresh_path, spend
 
 SHINGLE = 8
 
@@ -170,3 +171,59 @@ def arm_overlap(spark, sf):
     rows = arms(spark, sf)
     both = rows.groupBy("query", "id").agg(F.countDistinct("arm").alias("arms"))
     return both.groupBy("query").agg(F.sum(F.when(F.col("arms") == 2, 1).otherwise(0)).alias("shared"), F.count("*").alias("distinct_docs"))
+
+
+#: Arms: how texts are indexed, and how they are ranked (k1, b, query terms weighed); the simplest first.
+CORPORA = {"plain": (plain_tokens, plain_sql), "stemmed": (stem_words, stem_sql)}
+METHODS = {"set": (1.5, 0.75, False), "weighed": (0.9, 0.4, True)}
+ARMS = [(c, m) for m in METHODS for c in CORPORA]
+#: Scored beside the chosen arm on the reserved questions.
+BASELINES = [("plain", "set"), ("stemmed", "set")]
+
+
+def arm_rows(spark, sf, arms, questions):
+    """G.ROWS of the arms, as one job: the best ten of each judged question."""
+    runs = None
+    for corpus, method in arms:
+        words, (k1, b, weigh) = CORPORA[corpus][0], METHODS[method]
+        run = L.top(L.bm25(documents(spark, sf, words), passages(spark, sf, words).join(questions, "query", "left_semi"), k1, b, weigh_query=weigh), 10)
+        run = run.select(F.lit(corpus).alias("corpus"), F.lit(method).alias("method"), "query", "id", "rank")
+        runs = run if runs is None else runs.unionByName(run)
+    first = runs.join(questions, ["query", "id"]).groupBy("corpus", "method", "query").agg(F.min("rank").alias("first"))
+    every = F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), F.lit(m).alias("method")) for c, m in arms]))
+    asked = questions.select("query").distinct().select("query", every.alias("arm")).select("query", "arm.*")
+    return asked.join(first, ["corpus", "method", "query"], "left").select("corpus", "method", F.col("query").cast("long").alias("query"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("first") <= 5, 1.0).otherwise(0.0).alias("hit"))
+
+
+def _arm_sql(corpus, method):
+    k1, b, weigh = METHODS[method]
+    return f"SELECT '{corpus}' AS corpus, '{method}' AS method, query, id, rank FROM ({top_sql(bm25_sql(CORPORA[corpus][1], k1, b, weigh=weigh), 10)})"
+
+
+_pairs = lambda arms: ", ".join(f"('{c}', '{m}', {n})" for n, (c, m) in enumerate(arms))
+
+
+@query("phased_arms", QTF + JUDGED + f""",
+runs AS ({" UNION ALL ".join(_arm_sql(c, m) for c, m in ARMS)}),
+arm(corpus, method, nth) AS (VALUES {_pairs(ARMS)}),
+firsts AS (SELECT corpus, method, query, min(rank) AS first FROM runs JOIN judged USING (query, id) GROUP BY ALL),
+scored AS (SELECT CASE WHEN md5(query::VARCHAR) < '8' THEN 'development' ELSE 'reserved' END AS phase, a.corpus, a.method, nth, j.query, coalesce(1.0 / first, 0)::DOUBLE AS mrr, CASE WHEN first <= 5 THEN 1 ELSE 0 END::DOUBLE AS hit
+  FROM (SELECT DISTINCT query FROM judged) j CROSS JOIN arm a LEFT JOIN firsts USING (corpus, method, query)),
+mean AS (SELECT phase, corpus, method, nth, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit FROM scored GROUP BY ALL),
+pick AS (SELECT corpus, method FROM mean WHERE phase = 'development' ORDER BY mrr DESC, hit DESC, nth LIMIT 1),
+late AS (SELECT m.* FROM mean m WHERE phase = 'reserved' AND ((corpus, method) IN (SELECT corpus, method FROM pick) OR (corpus, method) IN (VALUES {", ".join(f"('{c}', '{m}')" for c, m in BASELINES)}))),
+last AS (SELECT corpus, method FROM late ORDER BY mrr DESC, hit DESC, nth LIMIT 1)
+SELECT s.phase, s.corpus, s.method, s.query::BIGINT AS query, round(s.mrr, 6) AS mrr, s.hit, (s.corpus, s.method) IN (SELECT corpus, method FROM pick) AS chosen FROM scored s WHERE phase = 'development'
+UNION ALL SELECT s.phase, s.corpus, s.method, s.query::BIGINT, round(s.mrr, 6), s.hit, (s.corpus, s.method) IN (SELECT corpus, method FROM last) FROM scored s JOIN late USING (phase, corpus, method)""")
+def phased_arms(spark, sf):
+    """All arms on the development questions, then the chosen one and the baselines on the reserved ones; each phase is scored once, in a ledger."""
+    own = judged(spark, sf)
+    questions = own.filter("gain > 0").select("query", "id", F.when(F.md5(F.col("query").cast("string")) < "8", "development").otherwise("reserved").alias("phase"))
+    configuration = f"{list(CORPORA)} {METHODS} {SHINGLE}"
+    ledger = G.Ledger(fresh_path(spark, "ledger"), configuration)
+    of = lambda phase: questions.filter(F.col("phase") == phase).select("query", "id")
+    G.score(spark, ledger, "development", lambda: arm_rows(spark, sf, ARMS, of("development")), ARMS)
+    later = list(dict.fromkeys([G.chosen(spark, ledger, "development"), *BASELINES]))
+    G.score(spark, ledger, "reserved", lambda: arm_rows(spark, sf, later, of("reserved")), ARMS)
+    spend(own)
+    return G.results(spark, ledger, ["development", "reserved"]).withColumn("mrr", F.round("mrr", 6))
