@@ -43,7 +43,7 @@ class Grid:
 
     def __init__(self, bounds, split: list[np.ndarray] | None = None):
         self.bounds, self.low, self.high = bounds, np.array(bounds[:2]), np.array(bounds[2:])
-        self.split = split
+        self.split, self.sets = split, [set(cells.tolist()) for cells in split or ()]
 
     def steps(self, values: np.ndarray, axis: int) -> np.ndarray:
         """The column (axis 0) or row of values within the range; never falls as values grow, so comparing steps is safe."""
@@ -58,30 +58,30 @@ class Grid:
         """The name of the leaf that each code lies in: its level, then its code at that level."""
         level = np.zeros(len(codes), np.int64)
         for k, cells in enumerate(self.split):  # a split cell lies in split cells, so their number is the level
-            level += np.isin(codes >> 2 * (LEVELS - k), cells)
+            if not len(cells):
+                break
+            up = codes >> 2 * (LEVELS - k)
+            level += cells[np.minimum(np.searchsorted(cells, up), len(cells) - 1)] == up
         return (level << 2 * LEVELS) | (codes >> 2 * (LEVELS - level))
 
-    def laid(self, box) -> list[tuple[int, bool]]:
-        """(cell, whole) for a box (x0, y0, x1, y1): the cells that it covers whole, none inside another, and leaves that it covers in part."""
-        at = []
-        for axis in (0, 1):
-            a, b = box[axis], box[axis + 2]
-            if b < self.low[axis] or a > self.high[axis]:
-                return []
-            first = -1 if a <= self.low[axis] else int(self.steps(np.array([a]), axis)[0])
-            last = SIDE if b >= self.high[axis] else int(self.steps(np.array([b]), axis)[0])
-            at.append((first, last))
-        out, todo = [], [(0, 0, 0, 0)]
+    def spans(self, low: np.ndarray, high: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last steps that sides reach; one beyond the range where a side reaches all of it. A side that lies outside is (SIDE, -1)."""
+        first = np.where(low <= self.low[axis], -1, self.steps(low, axis))
+        last = np.where(high >= self.high[axis], SIDE, self.steps(high, axis))
+        outside = (high < self.low[axis]) | (low > self.high[axis])
+        return np.where(outside, SIDE, first), np.where(outside, -1, last)
+
+    def laid(self, left: int, right: int, low: int, high: int) -> list[tuple[int, bool]]:
+        """(cell, whole) for a box from step left to right and from low to high: the cells that it covers whole, none inside another, and leaves that it covers in part."""
+        out, todo = [], [(0, 0, 0, 0)] if left <= right and low <= high else []
         while todo:
             level, code, column, row = todo.pop()
             size = SIDE >> level
-            spans = ((column * size, (column + 1) * size - 1), (row * size, (row + 1) * size - 1))
-            if any(f > hi or e < lo for (f, e), (lo, hi) in zip(at, spans)):
+            x, y = column * size, row * size
+            if left > x + size - 1 or right < x or low > y + size - 1 or high < y:
                 continue
-            whole = all(f < lo and e > hi for (f, e), (lo, hi) in zip(at, spans))
-            cells = self.split[level] if level < LEVELS else ()
-            k = np.searchsorted(cells, code) if len(cells) else 0
-            if whole or k >= len(cells) or cells[k] != code:
+            whole = left < x and right > x + size - 1 and low < y and high > y + size - 1
+            if whole or level == LEVELS or code not in self.sets[level]:
                 out.append(((level << 2 * LEVELS) | code, whole))
             else:
                 todo += [(level + 1, code * 4 + q, column * 2 + (q & 1), row * 2 + (q >> 1)) for q in range(4)]
@@ -100,10 +100,10 @@ def _coded(grid: Grid, names, name: str, of):
 def _lay(grid: Grid):
     def run(batches):
         for b in batches:
-            sides = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in ("x0", "y0", "x1", "y1")], 1)
+            x0, y0, x1, y1 = (b.column(n).to_numpy(zero_copy_only=False) for n in ("x0", "y0", "x1", "y1"))
             nth, cells, whole = [], [], []
-            for k, box in enumerate(sides):
-                for cell, w in grid.laid(box):
+            for k, box in enumerate(zip(*(v.tolist() for v in (*grid.spans(x0, x1, 0), *grid.spans(y0, y1, 1))))):
+                for cell, w in grid.laid(*box):
                     nth.append(k), cells.append(cell), whole.append(w)
             taken = b.take(pa.array(nth, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64()), pa.array(whole, pa.bool_())], names=[*b.schema.names, "cell", "whole"])
@@ -151,7 +151,7 @@ def smallest_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     coded = both.mapInArrow(_coded(grid, ("x", "y"), "code", lambda g, c: c), _ddl(both, "code long"))
     grid = Grid(grid.bounds, split_cells(coded.select("code"), max(LEAST, -(-both.count() // CELLS))))
     laid = cut(sound.mapInArrow(_lay(grid), _ddl(sound, "cell long", "whole boolean")), "laid")
-    at = places.mapInArrow(_coded(grid, ("x", "y"), "cell", lambda g, c: g.leaves(c)), _ddl(places, "cell long"))
+    at = cut(places.mapInArrow(_coded(grid, ("x", "y"), "cell", lambda g, c: g.leaves(c)), _ddl(places, "cell long")), "places-in-leaves")
     parts = at.join(laid.filter("not whole"), "cell").filter("x >= x0 and x <= x1 and y >= y0 and y <= y1").select("x", "y", "box")
     # the smallest box over whole cells, handed down: a row for each cell at most, so for a few times LEVELS * CELLS
     best = laid.filter("whole").groupBy("cell").agg(F.min("box").alias("box"))
@@ -160,5 +160,5 @@ def smallest_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     known = leaf.select(F.col("cell").alias("leaf"), F.explode(above).alias("cell")).join(best, "cell").groupBy("leaf").agg(F.min("box").alias("box"))
     wholes = at.join(known, at.cell == known.leaf).select("x", "y", "box")
     out = cut(parts.unionByName(wholes).groupBy("x", "y").agg(F.min("box").alias("box")), "smallest-box")
-    spend(places, laid)
+    spend(places, laid, at)
     return out
