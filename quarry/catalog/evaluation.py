@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
-from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, plain_sql, qtf_run, stem_sql, top_sql
-from quarry.functions.text import gram_hashes, ngrams, plain_tokens, stem_words
+from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, plain_sql, qtf_run, top_sql
+from quarry.functions.text import bag, bag_counts, gram_hashes, ngrams, plain_counts, plain_tokens
 from quarry.operators import evaluation as E
+from quarry.operators import index as I
 from quarry.operators import ledger as G
 from quarry.operators import lexical as L
 from quarry.scratch import cut, fresh_path, spend
@@ -173,21 +174,23 @@ def arm_overlap(spark, sf):
     return both.groupBy("query").agg(F.sum(F.when(F.col("arms") == 2, 1).otherwise(0)).alias("shared"), F.count("*").alias("distinct_docs"))
 
 
-#: Arms: how texts are indexed, and how they are ranked (k1, b, query terms weighed); the simplest first.
-CORPORA = {"plain": (plain_tokens, plain_sql), "stemmed": (stem_words, stem_sql)}
-METHODS = {"set": (1.5, 0.75, False), "weighed": (0.9, 0.4, True)}
+#: Arms: how texts are indexed, and k1 and b of their ranking; the simplest first.
+CORPORA = {"plain": (plain_counts, plain_tokens, plain_sql), "aliased": (bag_counts, bag, aliased)}
+METHODS = {"steep": (1.5, 0.75), "flat": (0.9, 0.4)}
 ARMS = [(c, m) for m in METHODS for c in CORPORA]
 #: Scored beside the chosen arm on the reserved questions.
-BASELINES = [("plain", "set"), ("stemmed", "set")]
+BASELINES = [("plain", "steep"), ("aliased", "steep")]
 
 
 def arm_rows(spark, sf, arms, questions):
-    """G.ROWS of the arms, as one job: the best ten of each judged question."""
+    """G.ROWS of the arms: the best ten of each judged question, from one index for each corpus that all its arms and phases share."""
     runs = None
     for corpus, method in arms:
-        words, (k1, b, weigh) = CORPORA[corpus][0], METHODS[method]
-        run = L.top(L.bm25(documents(spark, sf, words), passages(spark, sf, words).join(questions, "query", "left_semi"), k1, b, weigh_query=weigh), 10)
-        run = run.select(F.lit(corpus).alias("corpus"), F.lit(method).alias("method"), "query", "id", "rank")
+        counts, words, _ = CORPORA[corpus]
+        asked = passages(spark, sf, words).join(questions, "query", "left_semi").select(F.struct("query").alias("request"), F.lit(I.ALL).alias("scope"), "words")
+        best, blocks = I.search(spark, I.of_table(spark, f"{sf}/documents.parquet", "doc_id", "text", counts, ("lang", "source")), asked, 10, *METHODS[method])
+        spend(blocks)
+        run = best.select(F.lit(corpus).alias("corpus"), F.lit(method).alias("method"), "request.query", "id", "rank")
         runs = run if runs is None else runs.unionByName(run)
     first = runs.join(questions, ["query", "id"]).groupBy("corpus", "method", "query").agg(F.min("rank").alias("first"))
     every = F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), F.lit(m).alias("method")) for c, m in arms]))
@@ -196,8 +199,7 @@ def arm_rows(spark, sf, arms, questions):
 
 
 def _arm_sql(corpus, method):
-    k1, b, weigh = METHODS[method]
-    return f"SELECT '{corpus}' AS corpus, '{method}' AS method, query, id, rank FROM ({top_sql(bm25_sql(CORPORA[corpus][1], k1, b, weigh=weigh), 10)})"
+    return f"SELECT '{corpus}' AS corpus, '{method}' AS method, query, id, rank FROM ({top_sql(bm25_sql(CORPORA[corpus][2], *METHODS[method]), 10)})"
 
 
 _pairs = lambda arms: ", ".join(f"('{c}', '{m}', {n})" for n, (c, m) in enumerate(arms))
