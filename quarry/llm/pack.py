@@ -113,12 +113,13 @@ def fits_into(items: tuple, bins: tuple) -> bool:
     return False
 
 
-def fillings(gap: int, left: np.ndarray, slack: int, width: int = 6, most: int = 4) -> list[tuple]:
+def fillings(gap: int, left: np.ndarray, slack: int, width: int = 6, most: int = 4, work: list | None = None) -> list[tuple]:
     """Undominated sets of lengths that fill gap with a waste of at most slack, best first.
 
     One piece that fills the gap dominates all else. A filling is dominated by another into whose pieces it fits. Sets of up to
-    `most` pieces are looked at, for each head the best rest; left: counts by length.
+    `most` pieces are looked at, for each head the best rest; left: counts by length. work[0] grows by the tails looked at.
     """
+    work = [0] if work is None else work
     if gap <= 0 or not left[1 : gap + 1].any():
         return [()]
     if left[gap]:
@@ -127,6 +128,7 @@ def fillings(gap: int, left: np.ndarray, slack: int, width: int = 6, most: int =
 
     def best(room: int, used: tuple, depth: int) -> tuple:
         """The fullest tail no larger than the last piece used."""
+        work[0] += 1
         cap = min(room, used[-1]) if used else room
         for x in range(cap, 0, -1):
             if left[x] > used.count(x):
@@ -241,15 +243,19 @@ def bins_of(patterns) -> int:
     return sum(n for _, n in patterns)
 
 
-def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=(1.1, 1.05, 1.15, 1.02, 1.3)) -> list[tuple[tuple, int]]:
+#: Tails that one search looks at before it ends with its next full packing, some 11 s of one thread.
+WORK = 600_000
+
+
+def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=(1.1, 1.05, 1.15, 1.02, 1.3), most_work: int = WORK) -> list[tuple[tuple, int]]:
     """Patterns with multiplicities that place every piece: bin completion with branch and bound.
 
     Branches go depth first from the largest piece left; of the undominated fillings the one with the largest sum of powers comes
     first, which saves small pieces for gaps that need them. Each exponent in weights is one search with its share of nodes, and
     what one search finds is the next one's incumbent. A descent to a full packing takes about one node for each length, so each
     search gets two for each length besides its share. These searches branch over a few good fillings; a last one branches over all
-    undominated ones. A filling is always applied as often as the counts allow. nodes bounds the search, never the result: when it
-    runs out, the best packing so far stands.
+    undominated ones. A filling is always applied as often as the counts allow. nodes and most_work (counted, so that
+    results repeat) bound each search, never the result: when one runs out, the best packing so far stands.
     """
     counts = counts.astype(np.int64)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
@@ -257,8 +263,8 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = 6000, weights=
     for weight in weights:
         if bins_of(best) <= bound:
             break
-        best = _search(counts, capacity, best, bound, weight, share)
-    return best if bins_of(best) <= bound else _search(counts, capacity, best, bound, weights[0], share, every=True)
+        best = _search(counts, capacity, best, bound, weight, share, most_work)
+    return best if bins_of(best) <= bound else _search(counts, capacity, best, bound, weights[0], share, most_work, every=True)
 
 
 def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
@@ -268,20 +274,20 @@ def best_fit_filling(gap: int, left: np.ndarray) -> tuple:
     return items
 
 
-def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int, every: bool = False):
-    """The best packing that a search with this weight finds within nodes, the last descent to its end; best is the incumbent.
+def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int, most_work: int, every: bool = False):
+    """The best packing that a search with this weight finds within nodes and most_work, the last descent to its end; best is the incumbent.
 
     every: branch over all undominated fillings, after the good ones.
     """
     total = int((np.arange(len(counts)) * counts).sum())
     path: list[tuple[tuple, int]] = []
-    spent, down = 0, True
+    spent, down, work = 0, True, [0]
 
     def expand(left, waste):
         large = int(np.flatnonzero(left)[-1])
         left[large] -= 1
         slack = (bins_of(best) - 1) * capacity - total - waste
-        found = {*fillings(capacity - large, left, slack, most=3), best_fit_filling(capacity - large, left)}
+        found = {*fillings(capacity - large, left, slack, most=3, work=work), best_fit_filling(capacity - large, left)}
         rest = all_fillings(capacity - large, left.copy()) if every else ()
         if large < capacity and left[capacity - large]:
             found, rest = {(capacity - large,)}, ()
@@ -291,7 +297,7 @@ def _search(counts, capacity: int, best, bound: int, weight: float, nodes: int,
 
     first = counts.copy()
     stack = [(first, 0, expand(first, 0), 0)] if counts.any() else []
-    while stack and (down or spent < nodes):
+    while stack and (down or (spent < nodes and work[0] < most_work)):
         left, waste, options, depth = stack[-1]
         del path[depth:]
         down = False
