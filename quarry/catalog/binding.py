@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.catalog.figures import CELLS, cells
 from quarry.catalog.registry import query
 from quarry.functions import numbers as N
+from quarry.functions.text import ascii_words
 from quarry.scratch import cut, spend
 
 #: How each measure's row is labelled; the net row names its scope, by the parity of the report year.
@@ -77,7 +78,7 @@ def identity(column: int):
 def century(header, report_year):
     """The year of a two-digit column date in the report's century; null of a comparison."""
     own = (F.floor(report_year / 100) * 100).cast("int") + F.substring(header, -2, 2).try_cast("int")
-    return F.when(~F.lower(header).rlike("\\bvs?\\b|%"), own)
+    return F.when(~F.lower(header).rlike(ascii_words("\\bvs?\\b|%")), own)
 
 
 def bound(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.catalog.binding import PRINTED, grid, printed
 from quarry.catalog.registry import query, read
 from quarry.catalog.structure import BLOCKS, blocks, headed
+from quarry.functions.text import ascii_words
 from quarry.operators import coverage as C
 from quarry.operators import structure as S
 from quarry.scratch import cut, fresh_path
@@ -174,7 +175,7 @@ SELECT b.page_id, b.pos, CASE WHEN glossary AND tag = 'p' THEN 'definition' WHEN
 def record_view(spark, sf):
     """Blocks as typed records. A glossary goes on over the pages that follow without a gap and look like one: a recursion over pages as runs."""
     rows = cut(blocks(spark, sf), "blocks")
-    per = rows.groupBy("page_id").agg(F.bool_or((F.col("pos") < 8) & F.lower("text").rlike("\\bof\\b")).alias("explicit"), (F.count_if(F.char_length("text") < 40) >= 6).alias("short")).withColumn("doc", F.floor(F.col("page_id") / 50))
+    per = rows.groupBy("page_id").agg(F.bool_or((F.col("pos") < 8) & F.lower("text").rlike(ascii_words("\\bof\\b"))).alias("explicit"), (F.count_if(F.char_length("text") < 40) >= 6).alias("short")).withColumn("doc", F.floor(F.col("page_id") / 50))
     order = Window.partitionBy("doc").orderBy("page_id")
     follows = F.coalesce(F.lag("page_id").over(order) == F.col("page_id") - 1, F.lit(False))
     per = per.withColumn("broken", F.when(F.col("explicit"), 0).when(F.col("short") & follows, 0).otherwise(1))

@@ -13,6 +13,7 @@ from quarry.catalog.evaluation import JUDGED, QTF, judged
 from quarry.catalog.planning import NORM, asked
 from quarry.catalog.registry import query, read
 from quarry.catalog.structure import BLOCKS, blocks, headed
+from quarry.functions.text import ascii_words
 from quarry.operators import coverage as C
 from quarry.operators import structure as S
 from quarry.operators.seal import differences, seal
@@ -264,7 +265,7 @@ SELECT page_id, pos, CASE WHEN leads AND tag = 'p' THEN 'driver_list' WHEN regex
 def prefer_driver_list(spark, sf):
     """One section a page: a complete list with its lead, else a direct passage, else the first."""
     rows = blocks(spark, sf).filter("tag <> 'h1'").withColumn("leads", F.coalesce(F.lead("tag").over(Window.partitionBy("page_id").orderBy("pos")), F.lit("")) == "li")
-    rank = F.when(F.col("leads") & (F.col("tag") == "p"), 0).when(F.col("text").rlike("(?i)\\bthe\\b"), 1).otherwise(2)
+    rank = F.when(F.col("leads") & (F.col("tag") == "p"), 0).when(F.col("text").rlike(ascii_words("(?i)\\bthe\\b")), 1).otherwise(2)
     best = rows.groupBy("page_id").agg(F.min(F.struct(rank.alias("rank"), "pos")).alias("m"))
     return best.select("page_id", "m.pos", F.when(F.col("m.rank") == 0, "driver_list").when(F.col("m.rank") == 1, "direct").otherwise("any").alias("preference"))
 

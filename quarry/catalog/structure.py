@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.catalog.registry import query, read
+from quarry.functions.text import ascii_words
 from quarry.operators import structure as S
 
 BLOCKS = r"""
@@ -173,7 +174,7 @@ SELECT page_id, start, stop, CAST(score AS BIGINT) AS score FROM r WHERE nth = 1
 def best_bridge(spark, sf):
     """Of the bundles from a list item to a paragraph at most twelve places on that touch a candidate, the best of each page; prefix sums, then one aggregation."""
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col("text").rlike("ing\\b")
+    hit = F.col("text").rlike(ascii_words("ing\\b"))
     rows = blocks(spark, sf).withColumn("candidate", hit.cast("int")).withColumn("own", F.when(hit, F.char_length("text") % 7).otherwise(0))
     rows = rows.withColumn("n", F.sum("candidate").over(w)).withColumn("total", F.sum("own").over(w))
     a = rows.filter("tag = 'li'").select("page_id", F.col("pos").alias("start"), (F.col("n") - F.col("candidate")).alias("n0"), (F.col("total") - F.col("own")).alias("t0"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("d")).withColumn("stop", F.col("start") + F.col("d"))

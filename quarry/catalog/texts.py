@@ -37,7 +37,7 @@ def stem_words(spark, sf):
 FROM conversations WHERE role = 'user'""")
 def clean_query(spark, sf):
     """User turns without politeness and format instructions."""
-    t = F.regexp_replace("text", "(?i)\\b(please|kindly|thanks|thank you)\\b[.,!]?", "")
+    t = F.regexp_replace("text", X.ascii_words("(?i)\\b(please|kindly|thanks|thank you)\\b[.,!]?"), "")
     t = F.regexp_replace(t, "(?i),?[ ]*as originally reported", "")
     return read(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", X.squash(t).alias("cleaned"))
 
@@ -94,7 +94,7 @@ def repaired_turns(spark, sf):
     rows = turns.join(per, key, "left").withColumn("changes", F.array_sort(F.coalesce("changes", F.array().cast("array<struct<part: string, fixed: string>>"))))
     fix = F.map_from_entries("changes")
     text = F.array_join(F.transform("parts", lambda p: F.coalesce(F.element_at(fix, p), p)), "")
-    text = F.regexp_replace(text, "(?i)\\bFY[ ]*(24|25)\\b", "FY20$1")
+    text = F.regexp_replace(text, X.ascii_words("(?i)\\bFY[ ]*(24|25)\\b"), "FY20$1")
     named = F.array_sort(F.transform("changes", lambda c: F.concat(c.part, F.lit(">"), c.fixed)))
     return rows.select("conv_id", "turn", F.md5(text).alias("repaired"), F.array_join(named, " ").alias("changes"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import ascii_words
+
 #: Numeric grammars. Blank and dash are never zero.
 STRICT = "^(-?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?|[(]([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?[)])%?$"
 LOOSE = "^(([-+\u2212][ \\t\u00a0]?)?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)([.][0-9]+)?[ \\t\u00a0]*%?|[(][ \\t\u00a0]*([0-9]{1,3}(,[0-9]{3})+|[0-9]+)([.][0-9]+)?[ \\t\u00a0]*%?[ \\t\u00a0]*[)][ \\t\u00a0]*%?)$"
@@ -57,14 +59,14 @@ def column_date(text: Column) -> Column:
     """ISO date of a column header such as `30 Jun 25` or `Sep 2025` (then the month's last day); null of comparisons."""
     form = "(?:([0-9]{1,2}) +)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +(20[0-9]{2}|[0-9]{2})\\b"
     low = F.lower(text)
-    day, month, year = (F.regexp_extract(low, form, i) for i in (1, 2, 3))
+    day, month, year = (F.regexp_extract(low, ascii_words(form), i) for i in (1, 2, 3))
     number = F.lit(None).cast("int")
     for i, m in enumerate(MONTHS, 1):
         number = F.when(month == m, i).otherwise(number)
     full = F.when(F.length(year) == 2, year.try_cast("int") + 2000).otherwise(year.try_cast("int"))
     first = F.try_make_date(full, number, F.lit(1)) if hasattr(F, "try_make_date") else F.make_date(full, number, F.lit(1))
     date = F.when(day == "", F.last_day(first)).otherwise(F.date_add(first, day.try_cast("int") - 1))
-    return F.when(low.rlike("\\bvs?\\b|%") | (month == ""), F.lit(None).cast("string")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    return F.when(low.rlike(ascii_words("\\bvs?\\b|%")) | (month == ""), F.lit(None).cast("string")).otherwise(F.date_format(date, "yyyy-MM-dd"))
 
 
 def unit_scale(unit: Column) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import ascii_words
 from quarry.plans.rules import Test, among, anyof, changed, every, first, flag, found, has, size
 
 #: Entities with the names they go by.
@@ -119,7 +120,7 @@ def restrictions(entity: str):
 def first_match(text: Column, rules, default: str | None) -> Column:
     out = F.lit(default).cast("string")
     for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(text.rlike(ascii_words(pattern)), name).otherwise(out)
     return out
 
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import ascii_words
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -34,7 +36,7 @@ class Test:
 
 def has(pattern: str, of: str = "s") -> Test:
     """The text column `of` matches the pattern somewhere. Patterns use what Java and RE2 read alike."""
-    return Test(lambda: F.col(of).rlike(pattern), f"regexp_matches({of}, {quoted(pattern)})")
+    return Test(lambda: F.col(of).rlike(ascii_words(pattern)), f"regexp_matches({of}, {quoted(pattern)})")
 
 
 def among(name: str, of: str = "tags") -> Test:
@@ -86,7 +88,7 @@ def flag(test: Test) -> Value:
 
 def found(pattern: str, of: str, group: int = 0) -> Value:
     """All matches (of a group), in order."""
-    return Value(lambda: F.regexp_extract_all(of, F.lit(pattern), F.lit(group)), f"regexp_extract_all({of}, {quoted(pattern)}, {group})")
+    return Value(lambda: F.regexp_extract_all(of, F.lit(ascii_words(pattern)), F.lit(group)), f"regexp_extract_all({of}, {quoted(pattern)}, {group})")
 
 
 def changed(of: str, *steps: tuple[str, str]) -> Value:
@@ -95,7 +97,7 @@ def changed(of: str, *steps: tuple[str, str]) -> Value:
     def column() -> Column:
         out = F.col(of)
         for pattern, by in steps:
-            out = F.regexp_replace(out, pattern, by)
+            out = F.regexp_replace(out, ascii_words(pattern), by)
         return out
 
     sql = of
