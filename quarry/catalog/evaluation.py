@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.catalog.registry import query, read
-from quarry.catalog.retrieval import QTF, aliased, bm25_run, bm25_sql, documents, passages, plain_sql, qtf_run, top_sql
-from quarry.functions.text import bag, bag_counts, gram_hashes, ngrams, plain_counts, plain_tokens
+from quarry.catalog.registry import query
+from quarry.catalog.retrieval import QTF, aliased, bm25_best, bm25_sql, documents, passages, plain_sql, qtf_best, top_sql
+from quarry.functions.text import bag, bag_counts, plain_counts, plain_tokens
 from quarry.operators import evaluation as E
 from quarry.operators import index as I
 from quarry.operators import ledger as G
@@ -17,16 +17,8 @@ SHINGLE = 8
 
 
 def judged(spark, sf):
-    """query, id, gain: 2 where the document contains the passage, 1 where they share a shingle of eight words; a written table.
-
-    Shingles move as 64-bit hashes; only documents that share one are compared as texts.
-    """
-    docs, asked = documents(spark, sf, plain_tokens), passages(spark, sf, plain_tokens)
-    grams = asked.select("query", F.explode(gram_hashes(F.col("words"), SHINGLE)).alias("gram")).distinct()
-    met = docs.select("id", F.explode_outer(gram_hashes(F.col("words"), SHINGLE)).alias("gram")).join(grams, "gram").select("query", "id").distinct()
-    rows = met.join(docs, "id").join(asked.select("query", F.col("text").alias("passage"), F.col("words").alias("asked")), "query")
-    rows = rows.filter(F.arrays_overlap(ngrams(F.col("words"), SHINGLE), ngrams(F.col("asked"), SHINGLE)))
-    return cut(rows.select("query", "id", F.when(F.contains("text", "passage"), 2).otherwise(1).alias("gain")), "judged")
+    """query, id, gain: 2 where the document contains the passage, 1 where they share a shingle of eight words; lang and source of the document. A written table."""
+    return E.shared_grams(documents(spark, sf, plain_tokens), passages(spark, sf, plain_tokens), SHINGLE, "lang", "source")
 
 
 JUDGED = f""",
@@ -38,12 +30,12 @@ judged AS (SELECT m.query, m.id, CASE WHEN contains(x.text, b.text) THEN 2 ELSE
 
 @query("passage_judgements", QTF + JUDGED + "\nSELECT query, id, gain FROM judged")
 def passage_judgements(spark, sf):
-    return judged(spark, sf)
+    return judged(spark, sf).select("query", "id", "gain")
 
 
 def run_of(spark, sf, k=100):
     """The best k of each query; a written table."""
-    return cut(L.top(qtf_run(spark, sf).filter("score > 0"), k).select("query", "id", "rank"), "run")
+    return qtf_best(spark, sf, k).filter("score > 0").select("query", "id", "rank")
 
 
 RUN = """,
@@ -108,7 +100,7 @@ SELECT k, count(*) AS questions, round(avg(CASE WHEN top < 20 * k THEN 1.0 ELSE
 def refusal_rate(spark, sf):
     """How many questions a score gate refuses, at three gates."""
     asked = passages(spark, sf, plain_tokens).select("query")
-    best = asked.join(qtf_run(spark, sf).groupBy("query").agg(F.max("score").alias("top")), "query", "left").fillna(0.0, ["top"])
+    best = asked.join(qtf_best(spark, sf, 1).select("query", F.col("score").alias("top")), "query", "left").fillna(0.0, ["top"])
     rows = best.select("query", "top", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("k"))
     return rows.groupBy("k").agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("top") < 20 * F.col("k"), 1.0).otherwise(0.0)), 6).alias("refused"))
 
@@ -119,9 +111,8 @@ one AS (SELECT DISTINCT query, lang, hit_5 FROM src)
 SELECT lang AS category, CAST(sum(hit_5) AS BIGINT) AS passed, count(*) AS total FROM one GROUP BY lang""")
 def scorecard(spark, sf):
     """Passes and totals by category: the language of a question's best judged document."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     good = judged(spark, sf)
-    best = good.join(docs, "id").groupBy("query").agg(F.min_by("lang", F.struct(-F.col("gain"), "id")).alias("category"))
+    best = good.groupBy("query").agg(F.min_by("lang", F.struct(-F.col("gain"), "id")).alias("category"))
     return per_query(spark, sf, good).join(best, "query").groupBy("category").agg(F.sum("hit_5").cast("long").alias("passed"), F.count("*").alias("total"))
 
 
@@ -141,8 +132,7 @@ grp AS (SELECT j.query, x.source, count(*) AS alternatives, count(r.id) AS found
 SELECT query, count(*) AS groups, count(first) AS met, round(count(first) / count(*), 6)::DOUBLE AS recall, coalesce(round(1.0 / min(first), 6), 0)::DOUBLE AS rr, count(first) = count(*) AS complete FROM grp GROUP BY query""")
 def evidence_recall_groups(spark, sf):
     """Each source is an evidence group; any judged document of it in the run meets it."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
-    rows = judged(spark, sf).join(docs, "id").join(run_of(spark, sf), ["query", "id"], "left")
+    rows = judged(spark, sf).join(run_of(spark, sf), ["query", "id"], "left")
     groups = rows.groupBy("query", "source").agg(F.min("rank").alias("first"))
     n, met = F.count("*"), F.count("first")
     return groups.groupBy("query").agg(n.alias("groups"), met.alias("met"), F.round(met / n, 6).alias("recall"), F.coalesce(F.round(1.0 / F.min("first"), 6), F.lit(0.0)).alias("rr"), (met == n).alias("complete"))
@@ -161,8 +151,8 @@ def metamorphic_signature(spark, sf):
 
 def arms(spark, sf):
     """Runs of two rankers under one schema, for comparisons."""
-    a = L.top(bm25_run(spark, sf), 10).withColumn("arm", F.lit("set"))
-    return a.unionByName(L.top(qtf_run(spark, sf), 10).withColumn("arm", F.lit("weighed")))
+    a = bm25_best(spark, sf, 10).withColumn("arm", F.lit("set"))
+    return a.unionByName(qtf_best(spark, sf, 10).withColumn("arm", F.lit("weighed")))
 
 
 @query("arm_overlap", "WITH a AS (" + top_sql(bm25_sql(aliased, 1.5, 0.75), 10) + "), b AS (" + top_sql(QTF, 10) + """), u AS (SELECT query, id FROM a UNION ALL SELECT query, id FROM b),
