@@ -3,8 +3,8 @@
 Space is quartered again and again (Z-order codes of LEVELS bits a side); a cell is split as long as it holds more than its share of points
 and box corners. At most n / limit cells of a level are split, which is CELLS at most, so the tree's split cells (LEVELS * CELLS numbers at
 most) are known to every task. A box is laid over the tree from the top: where it covers a whole cell it stops there, and only the
-smallest such box of a cell counts; where it covers a part of a leaf it is a candidate for the points in that leaf, an equi-join. Only where more points
-than a cell's share lie within 2**-LEVELS of the range of each other is a leaf crowded; adaptive execution may split its join.
+smallest such box of a cell counts; where it covers a part of a leaf it is a candidate for the points in that leaf, which meet them by area, smallest
+first, and leave with the first that holds them. Only where more points than a cell's share lie within 2**-LEVELS of the range of each other is a leaf crowded.
 
 A null or non-finite coordinate has no container; a box with such a side, or with a side that ends before it begins, holds nothing. Sides belong to the box. Of boxes
 of one area the smallest id wins. Points at one place are looked up once. Empty tables give an empty result or points without box.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +112,35 @@ def _lay(grid: Grid):
     return run
 
 
+#: Points that a task holds against one stretch of boxes, and boxes of the first stretch.
+POINTS, STRETCH = 1 << 15, 32
+
+
+def _first_box(points: pa.Table, boxes: pa.Table) -> pa.Table:
+    """x, y, box of the points of a leaf that a box of it holds. Boxes come by area, so a point is done with the first that holds it; no pair is kept."""
+    names = ["x", "y", "box"]
+    if not len(points) or not len(boxes):
+        return pa.Table.from_arrays([points.column("x").slice(0, 0), points.column("y").slice(0, 0), boxes.column("box").slice(0, 0)], names=names)
+    held = boxes.column("box").combine_chunks()
+    keys = pa.Table.from_arrays(held.flatten(), names=[str(k) for k in range(held.type.num_fields)])
+    order = pc.sort_indices(keys, sort_keys=[(k, "ascending") for k in keys.column_names])
+    left, low, right, high = (boxes.column(c).to_numpy()[order.to_numpy()] for c in ("x0", "y0", "x1", "y1"))
+    xs, ys = points.column("x").to_numpy(), points.column("y").to_numpy()
+    found = np.full(len(xs), -1)
+    for p in range(0, len(xs), POINTS):
+        todo, begin, stretch = np.arange(p, min(p + POINTS, len(xs))), 0, STRETCH
+        while len(todo) and begin < len(left):
+            s = slice(begin, begin + stretch)
+            x, y = xs[todo, None], ys[todo, None]
+            hit = (x >= left[s]) & (x <= right[s]) & (y >= low[s]) & (y <= high[s])
+            met = hit.any(axis=1)
+            found[todo[met]] = begin + hit[met].argmax(axis=1)
+            todo, begin = todo[~met], begin + stretch
+            stretch = max(STRETCH, STRETCH * POINTS // max(1, len(todo)))  # so many comparisons at once, for fewer points more boxes
+    some = pa.array(np.flatnonzero(found >= 0))
+    return pa.Table.from_arrays([points.column("x").take(some), points.column("y").take(some), held.take(order.take(pa.array(found[found >= 0])))], names=names)
+
+
 def _ddl(df: DataFrame, *more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + list(more))
 
@@ -152,13 +182,13 @@ def smallest_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     grid = Grid(grid.bounds, split_cells(coded.select("code"), max(LEAST, -(-both.count() // CELLS))))
     laid = cut(sound.mapInArrow(_lay(grid), _ddl(sound, "cell long", "whole boolean")), "laid")
     at = cut(places.mapInArrow(_coded(grid, ("x", "y"), "cell", lambda g, c: g.leaves(c)), _ddl(places, "cell long")), "places-in-leaves")
-    parts = at.join(laid.filter("not whole"), "cell").filter("x >= x0 and x <= x1 and y >= y0 and y <= y1").select("x", "y", "box")
     # the smallest box over whole cells, handed down: a row for each cell at most, so for a few times LEVELS * CELLS
     best = laid.filter("whole").groupBy("cell").agg(F.min("box").alias("box"))
     leaf = at.select("cell").distinct().withColumn("level", F.shiftright("cell", 2 * LEVELS).cast("int"))
     above = F.expr(f"transform(sequence(0, level), k -> shiftleft(cast(k as bigint), {2 * LEVELS}) | shiftright(cell & {4**LEVELS - 1}L, 2 * (level - k)))")
     known = leaf.select(F.col("cell").alias("leaf"), F.explode(above).alias("cell")).join(best, "cell").groupBy("leaf").agg(F.min("box").alias("box"))
-    wholes = at.join(known, at.cell == known.leaf).select("x", "y", "box")
-    out = cut(parts.unionByName(wholes).groupBy("x", "y").agg(F.min("box").alias("box")), "smallest-box")
+    everywhere = [F.lit(float(v)).alias(c) for c, v in (("x0", "-inf"), ("y0", "-inf"), ("x1", "inf"), ("y1", "inf"))]
+    held = laid.filter("not whole").drop("whole").unionByName(known.select(*everywhere, "box", F.col("leaf").alias("cell")))
+    out = cut(at.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(_first_box, _ddl(places, f"box {held.schema['box'].dataType.simpleString()}")), "smallest-box")
     spend(places, laid, at)
     return out

@@ -119,6 +119,22 @@ def test_boxes_as_brute_force(spark, monkeypatch, least):
     assert boxed(spark, points, held) == smallest(points, held)
 
 
+@pytest.mark.parametrize("points, stretch", [(7, 2), (1 << 15, 32)])
+def test_a_leaf_gives_a_row_for_each_point(monkeypatch, points, stretch):
+    """However many boxes hold a point, the leaf keeps no pair of the two."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(boxes, "POINTS", points)
+    monkeypatch.setattr(boxes, "STRETCH", stretch)
+    r = random.Random(points)
+    at = [(float(x), float(y)) for x, y in {(r.randrange(12), r.randrange(12)) for _ in range(90)}]
+    held = [(k, x := float(r.randrange(10)), y := float(r.randrange(10)), x + r.randrange(5), y + r.randrange(5)) for k in range(70)]
+    r.shuffle(held)
+    rows = [{"x0": x0, "y0": y0, "x1": x1, "y1": y1, "box": {"area": (x1 - x0) * (y1 - y0), "id": i}} for i, x0, y0, x1, y1 in held]
+    got = boxes._first_box(pa.Table.from_pylist([{"x": x, "y": y} for x, y in at]), pa.Table.from_pylist(rows)).to_pylist()
+    assert len(got) == len(smallest(at, held)) and {(g["x"], g["y"]): g["box"]["id"] for g in got} == smallest(at, held)
+
+
 def test_boxes_that_hold_nothing(spark):
     inf, nan = float("inf"), float("nan")
     points = [(1.0, 1.0), (None, 1.0), (nan, 1.0), (inf, 1.0)]
