@@ -5,6 +5,9 @@ on the driver and their ids go to every task; all others are exploded with posit
 occurrences of a word meet in one task, which encodes it once. Ids travel back by document and are put into the document's
 skeleton (the ranks of its frequent words, with holes) by position. Decoding looks ids up in the token-byte table.
 
+Rare words and skeletons come from one split of each text and leave in one shuffle, which is read twice: for the words, and for the
+skeletons once the words have ids.
+
 Rare words travel in packed columns (a row for each target task and batch, not for each word), and a skeleton as a compressed
 stream, which keeps the shuffle below the size of the input. A frequent word never travels. Which words are frequent is counted on
 pre-tokens between single spaces, punctuation included; should a word escape that count (long runs of white space, say) and still
@@ -73,8 +76,22 @@ def piece_encoder(path: str):
 
 
 @functools.lru_cache(maxsize=2)
-def decimals(n: int) -> list[str]:
-    return [str(i) for i in range(n)]
+def byte_column(path: str) -> pa.Array:
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
+@functools.lru_cache(maxsize=2)
+def decimals(n: int) -> pa.Array:
+    """Each id in decimal, with a comma."""
+    return pa.array([f"{i}," for i in range(n)], pa.large_string())
+
+
+def joined(column: pa.Array, ids) -> memoryview:
+    """The bytes of the column's values at ids, one after the other."""
+    if not len(ids):
+        return memoryview(b"")
+    _, ends, data = column.take(pa.array(np.asarray(ids, np.uint32))).buffers()
+    return memoryview(b"" if data is None else data)[: np.frombuffer(ends, np.int64)[len(ids)]]
 
 
 def _frequent(batches):
@@ -90,8 +107,11 @@ def _frequent(batches):
         for part in slices(batch, "text", 2 * BLOCK_BYTES):
             text = pc.fill_null(part.column("text"), "")
             size += pc.sum(pc.binary_length(text)).as_py() or 0
-            counts = pc.split_pattern(text, pattern=" ").flatten().value_counts()
-            for string, k in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+            strings, counts = pc.split_pattern(text, pattern=" ").flatten().value_counts().flatten()
+            single = pc.ascii_is_alpha(strings)  # letters alone are one pre-token with the space before them
+            for w, k in zip(strings.filter(single).to_pylist(), counts.filter(single).to_pylist(), strict=True):
+                total[" " + w] += k
+            for string, k in zip(strings.filter(pc.invert(single)).to_pylist(), counts.filter(pc.invert(single)).to_pylist(), strict=True):
                 for w in find(" " + string):
                     total[w] += k
     top = sorted(total.items(), key=lambda x: -x[1])[:TASK_HOT]
@@ -177,25 +197,47 @@ def dealt(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, parts: int)
     return ((hashes.astype(np.uint64) + salt) % np.uint64(parts)).astype(np.int64)
 
 
-def _rare_words(hot, parts: int):
-    """Packets of the words that are not at hand, by the hash of the word; the hash of a word that crowds its block is salted."""
+#: What one split of a text leaves behind: skeletons (with doc_id and key) or packets, the other columns being null.
+SPLIT = PACKET + ", doc_id long, key long, skeleton binary"
+COLUMNS = [x.split()[0] for x in SPLIT.split(", ")]
+
+
+def of_kind(batch_or_table, column: str):
+    """The rows that have a value in the column."""
+    return batch_or_table.filter(pc.is_valid(batch_or_table.column(column)))
+
+
+def _split(hot, parts: int):
+    """For each row of the documents its skeleton, the frequent words by rank (rare ones have the number of frequent ones), by the row's key; and packets of the
+    rare words, by the hash of the word; the hash of a word that crowds its block is salted."""
+
+    def filled(known: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known[c] if c in known else pa.nulls(n, pa.int64() if c in ("doc_id", "key") else pa.binary()) for c in COLUMNS], names=COLUMNS)
 
     def run(batches):
         import xxhash
 
         find, known, hashed = splitter(), hot.value[0], xxhash.xxh32_intdigest
+        hole = len(known)
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
-                words, keys, places = [], [], []
-                for doc, cell in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    rare = list(itertools.filterfalse(known.__contains__, find(cell or "")))
-                    if rare:
-                        words += map(str.encode, rare)
-                        keys.append(np.full(len(rare), row_key(doc, cell.encode()), np.int64))
-                        places.append(np.arange(len(rare)))
+                docs, keys, rows, words, places = part.column("doc_id"), [], [], [], []
+                for doc, cell in zip(docs.to_pylist(), part.column("text").to_pylist(), strict=True):
+                    text = cell or ""
+                    keys.append(row_key(doc, text.encode()))
+                    found = find(text)
+                    ranks = np.fromiter(map(known.get, found, itertools.repeat(hole)), np.uint32, len(found))
+                    rows.append(pack_planes(ranks))
+                    rare = np.flatnonzero(ranks == hole)
+                    words += [found[i].encode() for i in rare.tolist()]
+                    places.append(len(rare))
+                k = np.array(keys, np.int64)
+                yield filled({"target": pa.array((k % parts).astype(np.int32)), "doc_id": docs, "key": pa.array(k), "skeleton": pa.array(rows, pa.binary())}, len(k))
                 if words:
-                    key, place = np.concatenate(keys), np.concatenate(places)
-                    yield packets(dealt(np.fromiter(map(hashed, words), np.uint32, len(words)), key, place, parts), parts, words, key, place)
+                    many = np.array(places)
+                    key, place = np.repeat(k, many), np.arange(len(words)) - np.repeat(np.cumsum(many) - many, many)
+                    sent = packets(dealt(np.fromiter(map(hashed, words), np.uint32, len(words)), key, place, parts), parts, words, key, place)
+                    yield filled({c: sent.column(c) for c in sent.schema.names}, sent.num_rows)
 
     return run
 
@@ -214,7 +256,7 @@ def _encode(path: str, buckets: int):
 
         entries, keys, places = [], [], []
         for batch in batches:
-            for sizes, key, place, data in opened(batch):
+            for sizes, key, place, data in opened(of_kind(batch, "sizes")):
                 ends = np.cumsum(sizes).tolist()
                 entries += [ids_of(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 keys.append(key)
@@ -230,26 +272,6 @@ def _encode(path: str, buckets: int):
     return run
 
 
-def _skeletons(hot, buckets: int):
-    """For each row of the documents its frequent words by rank; rare words have the number of frequent ones."""
-
-    def run(batches):
-        find, known = splitter(), hot.value[0]
-        hole = len(known)
-        for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
-                docs, keys, rows = part.column("doc_id"), [], []
-                for doc, cell in zip(docs.to_pylist(), part.column("text").to_pylist(), strict=True):
-                    text = cell or ""
-                    keys.append(row_key(doc, text.encode()))
-                    found = find(text)
-                    rows.append(pack_planes(np.fromiter(map(known.get, found, itertools.repeat(hole)), np.uint32, len(found))))
-                k = np.array(keys, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((k % buckets).astype(np.int32)), docs, pa.array(k), pa.array(rows, pa.binary())], names=["target", "doc_id", "key", "skeleton"])
-
-    return run
-
-
 def gather(begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """flat[begin[i] : begin[i] + size[i]] for all i, one after the other."""
     ends = np.cumsum(size)
@@ -260,7 +282,8 @@ def gather(begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
 def _assemble(hot, finish, names):
     """Ids of each row of a bucket, in order: frequent words by rank, rare ones from the packets by key and place."""
 
-    def run(skeletons: pa.Table, found: pa.Table) -> pa.Table:
+    def run(left: pa.Table, found: pa.Table) -> pa.Table:
+        skeletons = of_kind(left, "skeleton")
         _, hot_size, hot_ids = hot.value
         sizes, keys, places, data = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
         for s, k, p, d in opened(found):
@@ -302,12 +325,11 @@ def encode_documents(docs: DataFrame, finish, names: list, vocabulary: str, hot:
     ids = [encode(w.encode()) for w in words]
     table_of = ({w: i for i, w in enumerate(words)}, np.array([len(x) for x in ids], np.int64), np.array([t for x in ids for t in x], "<u4"))
     at_hand = spark.sparkContext.broadcast(table_of)  # at most hot words
-    buckets = parts = max(8, -(-size // BUCKET_BYTES))
-    rare = docs.mapInArrow(_rare_words(at_hand, parts), PACKET).repartition(parts, "target")
-    found = rare.mapInArrow(_encode(vocabulary, buckets), PACKET).repartition(buckets, "target")
-    skeletons = docs.mapInArrow(_skeletons(at_hand, buckets), "target int, doc_id long, key long, skeleton binary").repartition(buckets, "target")
+    parts = max(8, -(-size // BUCKET_BYTES))
+    split = docs.mapInArrow(_split(at_hand, parts), SPLIT).repartition(parts, "target")  # both sides below read this shuffle; a filter here would part it in two
+    found = split.mapInArrow(_encode(vocabulary, parts), PACKET).repartition(parts, "target")
     schema = ", ".join(f"{n} {_spark_type(t)}" for n, t in names)
-    return skeletons.groupBy("target").cogroup(found.groupBy("target")).applyInArrow(_assemble(at_hand, finish, names), schema)
+    return split.groupBy("target").cogroup(found.groupBy("target")).applyInArrow(_assemble(at_hand, finish, names), schema)
 
 
 def _spark_type(t) -> str:
@@ -321,16 +343,13 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def decode(ids, path: str) -> bytes:
     """Bytes of ids by the token-byte table."""
-    known = token_bytes(path)
-    return b"".join([known[i] for i in ids])
+    return bytes(joined(byte_column(path), ids))
 
 
 def _digests(path: str):
     def finish(ids: np.ndarray):
-        some = ids.tolist()
-        names = decimals(len(token_bytes(path)))
-        text = ",".join([names[i] for i in some]).encode()
-        return len(some), hashlib.sha256(text).hexdigest(), hashlib.sha256(decode(some, path)).hexdigest()
+        text = joined(decimals(len(byte_column(path))), ids)[:-1]
+        return len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(joined(byte_column(path), ids)).hexdigest()
 
     return finish
 

@@ -352,3 +352,21 @@ def test_words_that_escape_the_count_are_encoded_alike(spark):
     for hot in (0, 3, 1000):
         got = bpe.encode_documents(docs, lambda ids: (ids.tolist(),), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], path, hot).collect()
         assert sorted((r.doc_id, tuple(r.ids)) for r in got) == [(i, tuple(encode(t))) for i, t in enumerate(texts)]
+
+
+def test_texts_are_split_once_for_words_and_skeletons(spark):
+    """The words that travel and the skeletons come from one pass over the texts: its shuffle is written once and read twice."""
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, f"some words {i} and zq{i}x") for i in range(40)], "doc_id long, text string")
+    got = bpe.encoded(docs, public_tokenizers.path(bpe.VOCABULARY))
+    assert len(got.collect()) == 40
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("MapInArrow") == 2
+
+
+def test_joined_values():
+    column = pa.array([b"", b"ab", b"c"], pa.large_binary())
+    assert bytes(bpe.joined(column, np.array([2, 1, 0, 1], np.uint32))) == b"cabab"
+    assert bytes(bpe.joined(column, (0,))) == bytes(bpe.joined(column, [])) == b""
+    assert bytes(bpe.joined(bpe.decimals(12), [11, 0])) == b"11,0,"
