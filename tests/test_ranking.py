@@ -100,3 +100,17 @@ def test_shared_grams_are_compared_word_by_word(spark, monkeypatch):
     kind = "array<string>, text string"
     got = evaluation.shared_grams(spark.createDataFrame(docs, f"id long, words {kind}").repartition(3), spark.createDataFrame(asked, f"query long, words {kind}"), 3)
     assert rows_of(got) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["hybrid_rrf", "hybrid_typed_boost", "three_list_fusion"])
+def test_label_queries_leave_a_row_for_each_document_too(spark, monkeypatch, name):
+    written = {}
+
+    def spied(df, name, by=None, real=lexical.cut):
+        out = real(df, name, by)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lexical, "cut", spied)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written["postings"] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
